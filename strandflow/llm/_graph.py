@@ -1,0 +1,68 @@
+"""Connected components of large edge tables."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandflow.llm._store import materialize
+
+
+class Forest:
+    """Disjoint sets over positions 0..n-1; the root of a set is its smallest position."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = x = p[p[x]]
+        return x
+
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each batch as stars around the smallest node of each of their components."""
+    for b in batches:
+        u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        f = Forest(len(nodes))
+        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+            f.union(x, y)
+        root = np.array([f.find(x) for x in range(len(nodes))], np.int64)
+        leaf = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (u long, v long), in any direction, repeats allowed -> (node, root): the smallest node of its component.
+
+    Only nodes that are not their own root are listed. Alternating large-star and small-star steps: each node tells its
+    larger (then its smaller) neighbours of its smallest one, until all components are stars. Steps are joins and grouped
+    minima; each is written to the shared folder, which cuts the lineage. Edge counts never grow.
+    """
+    e = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = materialize(small.distinct(), "small-star")
+        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from strandflow.llm.mixing import op10_mixing_weights
+from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op10_mixing_weights": op10_mixing_weights,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op3_ngram_jaccard": OP3_SQL,
 }
