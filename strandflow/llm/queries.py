@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
@@ -9,6 +10,7 @@ from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op7_lm_scoring": op7_lm_scoring,
     "op10_mixing_weights": op10_mixing_weights,
 }
 
