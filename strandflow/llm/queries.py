@@ -6,10 +6,12 @@ from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from strandflow.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_toxicity": op5_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op10_mixing_weights": op10_mixing_weights,
 }
