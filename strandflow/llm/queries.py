@@ -6,6 +6,7 @@ from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from strandflow.llm.topk_search import OP8_SQL, op8_topk_search
 from strandflow.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -13,10 +14,12 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_topk_search": op8_topk_search,
     "op10_mixing_weights": op10_mixing_weights,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_ngram_jaccard": OP3_SQL,
+    "op8_topk_search": OP8_SQL,
 }
