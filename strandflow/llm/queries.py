@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
+from strandflow.llm.packing import op9_best_fit_packing
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from strandflow.llm.topk_search import OP8_SQL, op8_topk_search
 from strandflow.llm.toxicity import op5_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_topk_search": op8_topk_search,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing_weights": op10_mixing_weights,
 }
 
