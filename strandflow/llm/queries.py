@@ -9,11 +9,13 @@ from strandflow.llm.packing import op9_best_fit_packing
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from strandflow.llm.topk_search import OP8_SQL, op8_topk_search
 from strandflow.llm.toxicity import op5_toxicity
+from strandflow.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -23,5 +25,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_ngram_jaccard": OP3_SQL,
+    "op6_warc": OP6_SQL,
     "op8_topk_search": OP8_SQL,
 }
