@@ -23,11 +23,16 @@ ASK = "bucket int, block int, body binary"
 ANSWER = "block int, bucket int, kind int, body binary"
 
 
-def in_blocks(docs: DataFrame, *columns: str, per_partition: int = 4) -> tuple[DataFrame, int]:
-    """docs with a block number, from the row's id and text so that neither null ids nor repeated rows gather in one."""
-    n = per_partition * shuffle_partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), *columns), n
+def in_blocks(docs: DataFrame, *columns: str, per_partition: int = 2) -> tuple[DataFrame, int]:
+    """docs with a block number, and the number of buckets: one for two shuffle partitions.
+
+    The number comes from the row's id and text, so that neither null ids nor one id's rows gather in a block. A question
+    has a row for each block and bucket: as many rows as a shuffle between all partitions has segments.
+    """
+    partitions = shuffle_partitions(docs.sparkSession)
+    buckets = -(-partitions // 2)
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(per_partition * partitions)).cast("int")
+    return docs.select(block.alias("block"), *columns), buckets
 
 
 def bucket_bounds(n: int) -> np.ndarray:
