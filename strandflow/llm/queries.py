@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandflow.llm.html_extraction import op1_html_extraction
 from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
@@ -12,6 +13,7 @@ from strandflow.llm.toxicity import op5_toxicity
 from strandflow.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
