@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandflow.llm.fingerprints import op4_imatch_fingerprints
 from strandflow.llm.html_extraction import op1_html_extraction
 from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_imatch_fingerprints": op4_imatch_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
