@@ -122,7 +122,8 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
         "positions",
         F.when(F.col("__passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__passes") - 1, F.lit(0))), when_due)),
     ).withColumn("position", F.element_at("positions", 1))
-    return d.select(*keep, *added).orderBy("position")
+    # Documents that are not taken have no position; the hash spreads them over the sort's ranges.
+    return d.orderBy("position", "__h").select(*keep, *added)
 
 
 def op10_mixing_weights(spark, sf_dir: str) -> DataFrame:
