@@ -59,8 +59,8 @@ def targets(sources: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: f
     )
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Add size, source_size, target, taken and positions to docs, range-sorted by first position.
+def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, seed: int = 17, ordered: bool = True) -> DataFrame:
+    """Add size, source_size, target, taken and positions to docs, range-sorted by first position (unless not ordered).
 
     A source is passed in the order of a seeded hash, as often as its target asks; the last pass ends
     within one document, of which the first words are taken. ``positions`` holds one value in [0, 1) for each
@@ -77,6 +77,9 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
         "__h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
     )
     d = d.withColumn("__range", F.shiftrightunsigned(F.col("__h"), 64 - RANGES_LOG2).cast("int"))
+    # The source in two columns without nulls: the join and the window below then share one exchange of the documents.
+    d = d.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__none", F.col("source").isNull())
+    key = ["__source", "__none", "__range"]
 
     ranges = d.groupBy("source", "__range").agg(F.sum("size").alias("range_size"))
     total = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), schedules, share, most)
@@ -84,8 +87,9 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(so_far), F.lit(0))).alias("r")
     total = total.alias("t")
     ranges = ranges.join(total, F.expr("r.source <=> t.source")).select(
-        F.col("r.source").alias("__source"),
-        F.col("__range").alias("__r"),
+        F.coalesce("r.source", F.lit("")).alias("__source"),
+        F.col("r.source").isNull().alias("__none"),
+        "__range",
         "range_start",
         "source_size",
         "low",
@@ -95,12 +99,11 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
     )
     # All hashes of a range have the same leading bits, so their signed order is that of the remaining ones.
     within = (
-        Window.partitionBy("source", "__range")
+        Window.partitionBy(*key)
         .orderBy("__h", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    d = d.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(ranges, F.expr("source <=> __source AND __range = __r"))
+    d = d.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, key)
     start = F.col("range_start") + F.col("__before")
     d = (
         d.withColumn("__start", start)
@@ -123,7 +126,24 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
         F.when(F.col("__passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__passes") - 1, F.lit(0))), when_due)),
     ).withColumn("position", F.element_at("positions", 1))
     # Documents that are not taken have no position; the hash spreads them over the sort's ranges.
-    return d.orderBy("position", "__h").select(*keep, *added)
+    return (d.orderBy("position", "__h") if ordered else d).select(*keep, *added)
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix itself: docs' rows as often as they are taken, in the order of their training positions.
+
+    Of a document that the mix ends in, the first words are given, joined by one space; n_chars, if there is such a column, follows. Documents of which nothing
+    is taken are not in the mix.
+    """
+    keep = docs.columns
+    m = mix(docs, ordered=False, **parameters).where("taken > 0").select(*keep, "size", "taken", F.posexplode("positions").alias("__pass", "__position"))
+    left = F.least(F.col("size"), F.col("taken") - F.col("__pass") * F.col("size"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    m = m.withColumn("__cut", left < F.col("size")).withColumn("text", F.when(F.col("__cut"), F.array_join(F.slice(words, 1, left.cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in keep:
+        kind = dict(docs.dtypes)["n_chars"]
+        m = m.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return m.orderBy("__position").select(*keep)
 
 
 def op10_mixing_weights(spark, sf_dir: str) -> DataFrame:

@@ -262,17 +262,18 @@ def _large_cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def nodes_and_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) a row of docs, and (node, root) for the nodes that link with others."""
+    """(block, doc_id, n_shingles, node) a row of docs, and (node, root) for the nodes that link with others."""
     blocks, n = in_blocks(docs, "doc_id", "text")
 
     def name(_, rows, __):
         s = _Sets(rows, k)
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"].combine_chunks(), pa.array(s.sizes.astype(np.int64)), pa.array(s.node.view(np.int64))], names=["doc_id", "n_shingles", "node"]
+            [rows["block"].combine_chunks(), rows["doc_id"].combine_chunks(), pa.array(s.sizes.astype(np.int64)), pa.array(s.node.view(np.int64))],
+            names=["block", "doc_id", "n_shingles", "node"],
         )
 
     frequency = materialize(answered_frequency(blocks, k, n), "frequency")
-    nodes = materialize(by_block(blocks, None, name, "doc_id long, n_shingles long, node long"), "nodes")
+    nodes = materialize(by_block(blocks, None, name, "block int, doc_id long, n_shingles long, node long"), "nodes")
     sizes = nodes.where("n_shingles > 0").groupBy("n_shingles").agg(F.approx_count_distinct("node").alias("c"))
     sizes = [(r[0], r[1]) for r in sizes.where("n_shingles <= 4096").collect()]
     stats = frequency.agg(F.sum(F.octet_length("body")).alias("asked")).first()
@@ -321,6 +322,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return d.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without near-duplicates: of each component the document with the smallest id stays, once, with all its columns but one named block.
+
+    Documents without shingles (null texts, texts without words) all stay. Of a component in which no document has an id, one document stays.
+    """
+    nodes, found = nodes_and_components(docs, k, num, den)
+    d = nodes.where("n_shingles > 0").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "block", "node")
+    kept = d.groupBy("root").agg(F.min(order).alias("kept")).select("kept.block", "kept.doc_id", "kept.node")
+    blocks, _ = in_blocks(docs, *[c for c in docs.columns if c != "block"])
+
+    def pick(_, rows: pa.Table, kept: pa.Table):
+        s = _Sets(rows, k)
+        wanted = set(zip(kept["doc_id"].to_pylist(), kept["node"].to_pylist(), strict=True))
+        names = list(zip(rows["doc_id"].to_pylist(), s.node.view(np.int64).tolist(), strict=True))
+        texts = rows["text"].to_pylist()
+        first: dict = {}
+        for i, x in enumerate(names):
+            if s.sizes[i] and x in wanted and (x not in first or texts[i] < texts[first[x]]):
+                first[x] = i
+        stay = sorted([*np.flatnonzero(s.sizes == 0).tolist(), *first.values()])
+        yield from rows.drop(["block"]).take(stay).to_batches()
+
+    return by_block(blocks, kept, pick, blocks.drop("block").schema)
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 4, 85, 100)
 
