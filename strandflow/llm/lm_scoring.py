@@ -23,7 +23,7 @@ from strandflow.llm._store import materialize
 from strandflow.llm._words import PIECE, byte_rows, mix64, read_words
 
 U = np.uint64
-DEPTH = 7
+DEPTH = 5
 END = mix64(np.array([0xE0D], U))[0]  # the end of a text, as a word
 STATS = -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -94,23 +94,22 @@ def _from_planes(body: bytes, n: int, at: int = 8) -> np.ndarray:
     return out.view(">u8").ravel().astype(U)
 
 
-def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray | None) -> pa.RecordBatch:
+def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
     edges = np.array([-(-(b << 16) // n) for b in range(n)], U) << _PLACE
     cut = np.append(np.searchsorted(keys, edges), len(keys))
     rows = [b for b in range(n) if cut[b] < cut[b + 1]]
     bodies = [
-        np.int64(cut[b + 1] - cut[b]).tobytes() + _planes(keys[cut[b] : cut[b + 1]]) + (b"" if counts is None else counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes())
+        np.int64(cut[b + 1] - cut[b]).tobytes() + _planes(keys[cut[b] : cut[b + 1]]) + counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()
         for b in rows
     ]
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "block", "body"])
 
 
 def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and counts if there are any."""
+    """Keys and counts (of a block in 4 bytes, of the model in 8)."""
     n = int(np.frombuffer(body, np.int64, 1)[0])
     at = 8 + n * (DEPTH + 1)
-    kind = np.uint32 if len(body) == at + 4 * n else np.uint64
-    return _from_planes(body, n), np.frombuffer(body, kind, n if len(body) > at else 0, at)
+    return _from_planes(body, n), np.frombuffer(body, np.uint32 if len(body) == at + 4 * n else np.uint64, n, at)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -200,21 +199,41 @@ class _Top:
 
 
 _MODEL = "bucket int, node int, n0 double, n1 double, below double, body binary"
+#: Keys of a bucket that are worked on at once, about; they are cut where the last two bytes of contexts change.
+SLICE = 400_000
+
+
+def _slices(bodies: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[np.ndarray, np.ndarray, slice]]]:
+    """Keys and counts of all bodies, by ranges of the contexts' last two bytes, with where they lie in each body."""
+    total = sum(len(k) for k, _ in bodies)
+    low = min((int(k[0] >> _PLACE) for k, _ in bodies if len(k)), default=0)
+    high = max((int(k[-1] >> _PLACE) for k, _ in bodies if len(k)), default=0) + 1
+    n = max(1, min(high - low, -(-total // SLICE)))
+    edges = np.array([low + (high - low) * i // n for i in range(1, n)], U) << _PLACE
+    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k, _ in bodies]
+    for i in range(n):
+        yield [(k[c[i] : c[i + 1]], x[c[i] : c[i + 1]], slice(c[i], c[i + 1])) for (k, x), c in zip(bodies, cuts, strict=True)]
 
 
 def _grow(table: pa.Table) -> pa.Table:
-    """A bucket's part of the model: its keys with their counts, and its sums for depth 1."""
-    keys, counts = _counted([(k, c.astype(np.int64)) for k, c in map(_opened, table["body"].to_pylist())])
+    """A bucket's part of the model: its keys with their counts in training texts, and its sums for depth 1."""
+    parts, sums = [], []
+    for piece in _slices([_opened(x) for x in table["body"].to_pylist()]):
+        keys, counts = _counted([(k[c > 0], c[c > 0].astype(np.int64)) for k, c, _ in piece])
+        parts.append((keys, counts))
+        found = [s for *_, s in _subtrees(keys, counts)] if len(keys) else []
+        if found:
+            node, *values = (np.concatenate([s[i] for s in found]) for i in range(4))
+            at, inverse = np.unique(node, return_inverse=True)
+            sums.append((at, *(np.bincount(inverse, x, len(at)) for x in values)))
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     body = np.int64(len(keys)).tobytes() + _planes(keys) + counts.astype(np.uint64).tobytes()
-    sums = [s for *_, s in _subtrees(keys, counts)]
-    node, n0, n1, below = (np.concatenate([s[i] for s in sums]) for i in range(4))
-    at, inverse = np.unique(node, return_inverse=True)
-    n0, n1, below = (np.append(np.bincount(inverse, x, len(at)), 0.0) for x in (n0, n1, below))
+    at, n0, n1, below = (np.concatenate([s[i] for s in sums] or [np.zeros(0)]) for i in range(4))
     return pa.table(
         {
             "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + 1), pa.int32()),
-            "node": pa.array([*at.tolist(), STATS], pa.int32()),
-            "n0": n0, "n1": n1, "below": below,
+            "node": pa.array([*at.astype(int).tolist(), STATS], pa.int32()),
+            "n0": np.append(n0, 0.0), "n1": np.append(n1, 0.0), "below": np.append(below, 0.0),
             "body": pa.array([None] * len(at) + [body], pa.binary()),
         }
     )
@@ -222,14 +241,24 @@ def _grow(table: pa.Table) -> pa.Table:
 
 def _scored(top: _Top):
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        bodies = [_opened(x)[0] for x in asked["body"].to_pylist()]
-        known, seen = _opened(model["body"][0].as_py()) if model.num_rows else (np.zeros(0, U), np.zeros(0, U))
-        keys = np.unique(np.concatenate([known, *bodies]))
-        counts = np.zeros(len(keys))
-        counts[np.searchsorted(keys, known)] = seen
-        value = top.log10(keys, counts).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
-        out = [value[np.searchsorted(keys, b)].tobytes() for b in bodies]
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "kind": pa.array([1] * len(out), pa.int32()), "body": pa.array(out, pa.binary())})
+        bodies = [_opened(x) for x in asked["body"].to_pylist()]
+        known = _opened(model["body"][0].as_py()) if model.num_rows else (np.zeros(0, U), np.zeros(0, U))
+        out = [np.zeros(len(k), np.float32) for k, _ in bodies]
+        for (seen, counted, _), *piece in _slices([known, *bodies]):
+            keys = np.unique(np.concatenate([seen, *(k for k, _, _ in piece)]))
+            counts = np.zeros(len(keys))
+            counts[np.searchsorted(keys, seen)] = counted
+            value = top.log10(keys, counts).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
+            for o, (k, _, at) in zip(out, piece, strict=True):
+                o[at] = value[np.searchsorted(keys, k)]
+        return pa.table(
+            {
+                "block": asked["block"],
+                "bucket": asked["bucket"],
+                "kind": pa.array([1] * len(out), pa.int32()),
+                "body": pa.array([o.tobytes() for o in out], pa.binary()),
+            }
+        )
 
     return run
 
@@ -280,30 +309,24 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         keys, counts = _word_keys(rows, _learn(rows))
         yield questions(block, keys, n, counts.astype(np.uint32))
 
-    def distinct_keys(rows: pa.Table, learn: np.ndarray | None):
-        parts = []
+    def ask_keys(block: int, rows: pa.Table, _):
+        """Every key of the block with its count in training texts."""
+        learn, parts = _learn(rows), []
         for first, keys, at in byte_keys(rows["text"]):
-            if learn is not None:
-                keys = keys[np.repeat(learn[first : first + len(at) - 1], np.diff(at))]
-            parts.append(np.unique(keys, return_counts=True))
-        return _counted(parts)
-
-    def train(block: int, rows: pa.Table, _):
-        keys, counts = distinct_keys(rows, _learn(rows))
+            keys, count = np.unique((keys << U(1)) | np.repeat(learn[first : first + len(at) - 1], np.diff(at)), return_counts=True)
+            parts.append((keys >> U(1), count * (keys & U(1)).astype(np.int64)))
+        keys, counts = _counted(parts)
         yield _key_questions(block, keys, n, counts)
 
-    def ask_keys(block: int, rows: pa.Table, _):
-        yield _key_questions(block, distinct_keys(rows, None)[0], n, None)
-
     words = by_block(blocks, None, ask_words, ASK).groupBy("bucket").applyInArrow(_word_totals, ANSWER)
     words = materialize(words, "words")
     stats = words.where(F.col("block") == STATS).select("body").toArrow()["body"].to_pylist()
     train_tokens, distinct = (int(x) for x in np.sum([np.frombuffer(b, np.int64) for b in stats] or [[0, 0]], axis=0))
 
-    model = materialize(by_block(blocks, None, train, ASK).groupBy("bucket").applyInArrow(_grow, _MODEL), "model")
+    asked = materialize(by_block(blocks, None, ask_keys, ASK), "keys")
+    model = materialize(asked.groupBy("bucket").applyInArrow(_grow, _MODEL), "model")
     rows = model.where(F.col("node") != STATS).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     top = _Top(rows)
-    asked = by_block(blocks, None, ask_keys, ASK)
     codes = asked.groupBy("bucket").cogroup(model.where(F.col("node") == STATS).groupBy("bucket")).applyInArrow(_scored(top), ANSWER)
     floor = np.log10(train_tokens + 0.1 * (distinct + 1)) if train_tokens else np.log10(0.1)
 
@@ -319,10 +342,11 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
             base += np.bincount(row, value[at], m)
             n_known += np.bincount(row, known[at] > 0, m).astype(np.int64)
             n_tokens += np.bincount(row, minlength=m)
-        keys = distinct_keys(rows, None)[0]
+        pieces = list(byte_keys(rows["text"]))
+        keys = np.unique(np.concatenate([np.unique(k) for _, k, _ in pieces]))
         code = np.frombuffer(answers(reply, 1), np.float32)
         score, size = np.zeros(m), np.zeros(m, np.int64)
-        for first, k, at in byte_keys(rows["text"]):
+        for first, k, at in pieces:
             total = np.add.reduceat(code[np.searchsorted(keys, k)].astype(float), at[:-1])
             score[first : first + len(total)] += total
             size[first : first + len(total)] += np.diff(at)
