@@ -1 +1 @@
-"""functions."""
+"""Scalar and aggregate column functions."""

@@ -151,6 +151,22 @@ def read_words(column: pa.Array | pa.ChunkedArray, fold: bool = False, hashed: b
         i = j
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys. A sort is several times as fast here as numpy's own way by hashing."""
+    s = np.sort(keys)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+    at = np.empty(len(s), np.int32)
+    at[order] = np.cumsum(new) - 1
+    return s[new], at
+
+
 def window_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Hashes of all runs of ``width`` consecutive words; runs that cross rows are included, callers leave them out."""
     n = len(hashes) - width + 1

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm._exchange import ANSWER, ASK, answers, by_block, in_blocks, merged, questions
 from strandflow.llm._store import materialize
-from strandflow.llm._words import PIECE, byte_rows, mix64, read_words
+from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, read_words
 
 U = np.uint64
 DEPTH = 5
@@ -245,7 +245,7 @@ def _scored(top: _Top):
         known = _opened(model["body"][0].as_py()) if model.num_rows else (np.zeros(0, U), np.zeros(0, U))
         out = [np.zeros(len(k), np.float32) for k, _ in bodies]
         for (seen, counted, _), *piece in _slices([known, *bodies]):
-            keys = np.unique(np.concatenate([seen, *(k for k, _, _ in piece)]))
+            keys = distinct(np.concatenate([seen, *(k for k, _, _ in piece)]))
             counts = np.zeros(len(keys))
             counts[np.searchsorted(keys, seen)] = counted
             value = top.log10(keys, counts).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
@@ -321,14 +321,14 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     words = by_block(blocks, None, ask_words, ASK).groupBy("bucket").applyInArrow(_word_totals, ANSWER)
     words = materialize(words, "words")
     stats = words.where(F.col("block") == STATS).select("body").toArrow()["body"].to_pylist()
-    train_tokens, distinct = (int(x) for x in np.sum([np.frombuffer(b, np.int64) for b in stats] or [[0, 0]], axis=0))
+    train_tokens, train_words = (int(x) for x in np.sum([np.frombuffer(b, np.int64) for b in stats] or [[0, 0]], axis=0))
 
     asked = materialize(by_block(blocks, None, ask_keys, ASK), "keys")
     model = materialize(asked.groupBy("bucket").applyInArrow(_grow, _MODEL), "model")
     rows = model.where(F.col("node") != STATS).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     top = _Top(rows)
     codes = asked.groupBy("bucket").cogroup(model.where(F.col("node") == STATS).groupBy("bucket")).applyInArrow(_scored(top), ANSWER)
-    floor = np.log10(train_tokens + 0.1 * (distinct + 1)) if train_tokens else np.log10(0.1)
+    floor = np.log10(train_tokens + 0.1 * (train_words + 1)) if train_tokens else np.log10(0.1)
 
     def tell(_, rows: pa.Table, reply: pa.Table):
         m = rows.num_rows
@@ -338,16 +338,17 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         end = int(np.searchsorted(keys, END))
         base, n_known, n_tokens = np.full(m, value[end]), np.full(m, int(known[end] > 0)), np.ones(m, np.int64)
         for t in read_words(rows["text"], fold=True):
-            at, row = np.searchsorted(keys, t.hashes), t.first + t.row_of_word()
+            own, at = numbered(t.hashes)
+            at, row = np.searchsorted(keys, own)[at], t.first + t.row_of_word()
             base += np.bincount(row, value[at], m)
             n_known += np.bincount(row, known[at] > 0, m).astype(np.int64)
             n_tokens += np.bincount(row, minlength=m)
-        pieces = list(byte_keys(rows["text"]))
-        keys = np.unique(np.concatenate([np.unique(k) for _, k, _ in pieces]))
+        pieces = [(first, *numbered(k), at) for first, k, at in byte_keys(rows["text"])]
+        keys = distinct(np.concatenate([own for _, own, _, _ in pieces]))
         code = np.frombuffer(answers(reply, 1), np.float32)
         score, size = np.zeros(m), np.zeros(m, np.int64)
-        for first, k, at in pieces:
-            total = np.add.reduceat(code[np.searchsorted(keys, k)].astype(float), at[:-1])
+        for first, own, number, at in pieces:
+            total = np.add.reduceat(code[np.searchsorted(keys, own)][number].astype(float), at[:-1])
             score[first : first + len(total)] += total
             size[first : first + len(total)] += np.diff(at)
         yield pa.RecordBatch.from_arrays(

@@ -93,6 +93,11 @@ class Model:
     def logits(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
         return self.pooled(rows, words) @ self.out + self.out_bias
 
+    def logits_of(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Of many texts, some at a time."""
+        out = [self.logits(*_packed(texts[i : i + BATCH])) for i in range(0, len(texts), BATCH)]
+        return np.concatenate(out or [np.zeros(0)])
+
     def scores(self, logits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -40, 40)))
 
@@ -204,7 +209,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(own) and len(rest):
-            z[own] = fit([texts[i] for i in rest], y[rest], seed + k + 1).logits(*_packed([texts[i] for i in own]))
+            z[own] = fit([texts[i] for i in rest], y[rest], seed + k + 1).logits_of([texts[i] for i in own])
     model.scale, model.shift = _calibrated(z, y)
     s = model.scores(z)
     model.threshold = _threshold(s, y)
@@ -215,10 +220,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
     return model
 
 
-def fit_on(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """labelled: text, lang, toxic (0 or 1; null rows are not used) and doc_id, which only orders them for the bound on rows."""
-    sample = labelled.where(F.col("toxic").isin(0, 1)).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows)
-    t = sample.select("text", "lang", F.col("toxic").cast("int").alias("toxic")).toArrow()
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on docs (doc_id, text, lang) with labels (doc_id, toxic 0 or 1; others are not used), on at most ``rows`` labels: those with the smallest hashes.
+
+    That bound also bounds what is broadcast to the documents and what reaches the driver. Only ids decide which labels are drawn. Rows of
+    docs that share an id are learned from each, up to twice the bound.
+    """
+    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    t = docs.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
+    t = t.orderBy("doc_id", F.xxhash64("text"), "toxic").limit(2 * rows).select("text", "lang", "toxic").toArrow()
     texts: list[np.ndarray] = []
     for _, r, words in rows_of_texts(t["text"]):
         texts += [r[a:b] for a, b in zip(words[:-1], words[1:], strict=True)]
@@ -243,9 +253,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     return d.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: those with a label, but for crc32(doc_id as text) mod 3 = 1. Rows that repeat an id count each."""
-    return docs.join(labels.where("doc_id IS NOT NULL").select("doc_id", "toxic"), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels to learn from: those but for crc32(doc_id as text) mod 3 = 1."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -258,7 +268,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = fit_on(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit_on(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     s = score(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -1 +1 @@
-"""operators."""
+"""Relational, graph and numeric operators on DataFrames."""

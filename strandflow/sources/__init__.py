@@ -1 +1 @@
-"""sources."""
+"""Readers of annotation, alignment, matrix and result files."""
