@@ -131,17 +131,16 @@ def hybrid_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
         sides[k] = (row, iso[kind == k], p[kind == k], np.ones(len(rows)))
 
     def step(theta: np.ndarray) -> np.ndarray:
-        long = _shares(*sides["L"][:3], theta, sides["L"][3])
+        long = alpha * _shares(*sides["L"][:3], theta, sides["L"][3])
+        short = (1 - alpha) * _shares(*sides["S"][:3], theta * eff, sides["S"][3])
         mass = (theta * eff).sum()
-        row, at, hit, weight = sides["S"]
-        short = _shares(row, at, hit, theta * eff / mass if mass else theta, weight)
-        scaled = np.divide(short, eff, out=np.zeros(len(eff)), where=eff > 0)
-        # The short side counts molecules: reads over effective length, brought back to the scale of reads.
-        scaled = scaled * mass / (theta.sum() or 1)
-        return _normal((1 - alpha) * scaled + alpha * long)
+        below = short.sum() * eff / (mass or 1) + long.sum()
+        return _normal(np.divide(short + long, below, out=np.zeros(len(eff)), where=below > 0))
 
     theta, k = iterate(step, np.full(len(names), 1 / max(len(names), 1)), s)
-    return pd.DataFrame({"isoform": names, "theta": theta, "iterations": np.int32(k)})
+    mass = (theta * eff).sum()
+    expression = len(sides["S"][3]) * theta / mass if mass else np.zeros(len(eff))
+    return pd.DataFrame({"isoform": names, "theta": theta, "iterations": np.int32(k), "expression": expression})
 
 
 def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: DataFrame | float, s: EmSettings = EmSettings()) -> DataFrame:
@@ -150,7 +149,7 @@ def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: Dat
 
     Isoforms whose community lacks reads of both kinds end with theta 0. A community's rows must fit one task; there is no joined form.
     """
-    schema = f"community {isoforms.schema['community'].dataType.simpleString()}, " + _BULK.format(iso=isoforms.schema["isoform"].dataType.simpleString())
+    schema = f"community {isoforms.schema['community'].dataType.simpleString()}, " + _BULK.format(iso=isoforms.schema["isoform"].dataType.simpleString()) + ", expression double"
     none = F.lit(None).cast("double")
     parts = [
         long.select("community", F.lit("L").alias("kind"), F.xxhash64("read").alias("row"), "isoform", "p", none.alias("eff_len")),
@@ -168,7 +167,9 @@ def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: Dat
         out.insert(0, "community", key[0])
         return out
 
-    return every.groupBy("community").applyInPandas(run, schema)
+    out = materialize(every.groupBy("community").applyInPandas(run, schema), "hybrid")
+    total = out.agg(F.sum("expression")).first()[0] or 1.0
+    return out.withColumn("tpm", F.col("expression") / F.lit(float(total)) * 1e6).drop("expression")
 
 
 def molecules(cond: DataFrame) -> DataFrame:
