@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandflow.llm._store import shuffle_partitions
+from strandflow.llm._store import give_back, shuffle_partitions
 
 U = np.uint64
 ASK = "bucket int, block int, body binary"
@@ -67,6 +67,7 @@ def answered(asked: DataFrame, kind: int, answer: Callable[[list[bytes]], list[b
 
     def bucket(table: pa.Table) -> pa.Table:
         bodies = answer(table["body"].to_pylist())
+        give_back()
         return pa.table(
             {"block": table["block"], "bucket": table["bucket"], "kind": pa.array([kind] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())}
         )
@@ -107,6 +108,7 @@ def by_block(blocks: DataFrame, told: DataFrame | None, f: Callable[[int, pa.Tab
         if not rows.num_rows:
             return arrow.empty_table()
         out = list(f(rows["block"][0].as_py(), rows, reply))
+        give_back()
         return pa.Table.from_batches(out).cast(arrow) if out else arrow.empty_table()
 
     if told is None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm._exchange import ANSWER, ASK, answered, answers, by_block, in_blocks, merged, questions
 from strandflow.llm._graph import Forest, components
-from strandflow.llm._store import materialize, shuffle_partitions
+from strandflow.llm._store import give_back, materialize, shuffle_partitions
 from strandflow.llm._words import mix64, read_words, window_hashes, windows_inside
 
 U = np.uint64
@@ -229,6 +229,7 @@ def _verify(num: int, den: int):
             first = int((side[i:j] == 0).sum())
             # side 0 and 1: blocks to compare with each other; side 2: nodes to compare among themselves.
             out.append(_pairs(nodes[i:j], links_among(sets[i:j], num, den, first or None)))
+        give_back()
         return pa.Table.from_batches(out, _EDGE)
 
     return run

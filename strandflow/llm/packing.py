@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm._store import materialize
 from strandflow.llm.mixing import word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -88,7 +89,8 @@ def pack(docs: DataFrame, size: Column, lengths: tuple[int, ...] = LENGTHS) -> D
     so reruns agree. An empty table gives an empty result.
     """
     top = max(lengths)
-    d = docs.select("doc_id", size.cast("long").alias("size"))
+    # Sizes are written once: texts are read and counted a single time, although shards need the number of pieces first.
+    d = materialize(docs.select("doc_id", size.cast("long").alias("size")), "sizes")
     pieces = d.agg(F.sum(F.ceil(F.col("size") / top))).first()[0] or 0
     shards = max(1, -(-int(pieces) // SHARD))
     p = d.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / top) - 1, F.lit(0)))))
