@@ -76,7 +76,7 @@ def fingerprint(text: Column, bits: Column, log2: int) -> Column:
         return F.concat(F.array(hashed(ts)), *[chain(ts, c, 0) for c in range(CHAINS)])
 
     def choose(all_terms: Column) -> Column:
-        return named(F.filter(all_terms, known), lambda own: F.array_sort(F.when(F.size(own) >= LEAST_TERMS, own).otherwise(all_terms)))
+        return named(F.filter(all_terms, known), lambda own: F.sort_array(F.when(F.size(own) >= LEAST_TERMS, own).otherwise(all_terms)))
 
     return named(named(terms(text), choose), of_sorted)
 
