@@ -53,14 +53,14 @@ def _shifted(at: Column) -> Column:
 
 
 def fingerprint(text: Column, bits: Column, log2: int) -> Column:
-    """Array of 1 + CHAINS * HALVINGS hashes (null: no term in the subset). Equal texts have equal ones."""
+    """Array of 1 + CHAINS * HALVINGS hashes of 32 bits (null: no term in the subset). Equal texts have equal ones."""
 
     def known(t: Column) -> Column:
         at = F.shiftrightunsigned(t, 64 - log2)
         return F.call_function("getbit", F.element_at(bits, F.shiftrightunsigned(at, 6).cast("int") + 1), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     def hashed(ts: Column) -> Column:
-        return F.when(F.size(ts) > 0, F.xxhash64(ts))
+        return F.when(F.size(ts) > 0, F.hash(ts))
 
     # Arrays of one element stand for names: each step is computed once, however often it is used.
     def named(value: Column, then) -> Column:
@@ -95,8 +95,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(f: Column) -> Column:
-    """The hashes' last 32 bits in hexadecimal, joined by points; - for none."""
-    return F.array_join(F.transform(f, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")), F.lit("-"))), ".")
+    """The hashes in hexadecimal, joined by points; - for none."""
+    return F.array_join(F.transform(f, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")), F.lit("-"))), ".")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -131,28 +131,28 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
 
     The edited text has the last quarter of its code points replaced by as many first ones of the next document (ascending id, after the last the first).
     Null texts are empty. Rows that agree in id and text are one document in that order and give equal rows; documents without an id come last. A single
-    document is its own next one. An empty table gives an empty result; other columns are ignored. Whole texts are shuffled once, by their keys, and the quarter
-    that the document before needs once more.
+    document is its own next one. An empty table gives an empty result; other columns are ignored. Whole texts are shuffled once, by their keys, the quarter
+    that the document before needs once more, and fingerprints twice.
     """
     d = _keyed(docs)
     bits, log2 = bit_set(lexicon(docs, band))
     d = d.repartition(shuffle_partitions(docs.sparkSession), "k", "id0")
     at = neighbours(_keyed(docs))
-    nexts = d.join(at, ["k", "id0"]).dropDuplicates(["k", "id0"])
-    nexts = nexts.withColumn("bits", bits.scalar()).select(
-        F.col("prev_k").alias("k"),
-        F.col("prev_id0").alias("id0"),
-        F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("next_start"),
-        fingerprint(F.col("text"), F.col("bits"), log2).alias("next_f"),
-    )
+    one = d.join(at, ["k", "id0"]).dropDuplicates(["k", "id0"]).withColumn("bits", bits.scalar())
+    one = one.withColumn("f", fingerprint(F.col("text"), F.col("bits"), log2)).withColumn("next_start", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")))
+    # A text's fingerprint is computed once, for its own row and for the row before.
+    no_text, no_hashes = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
+    to_own = F.struct("k", "id0", no_text.alias("next_start"), no_hashes.alias("next_f"), "f")
+    to_previous = F.struct(F.col("prev_k").alias("k"), F.col("prev_id0").alias("id0"), "next_start", F.col("f").alias("next_f"), no_hashes.alias("f"))
+    told = one.select(F.inline(F.array(to_own, to_previous))).groupBy("k", "id0").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("next_start", "next_f", "f")])
     n = F.char_length("text")
-    both = d.join(nexts, ["k", "id0"]).withColumn("bits", bits.scalar())
+    both = d.join(told, ["k", "id0"]).withColumn("bits", bits.scalar())
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("next_start")))
     f = both.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("bits"), log2).alias("f"),
+        "f",
         fingerprint(F.col("edited"), F.col("bits"), log2).alias("e"),
         "next_f",
     )
