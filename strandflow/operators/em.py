@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -177,36 +177,78 @@ def molecules(cond: DataFrame) -> DataFrame:
     return cond.groupBy("community", "barcode", "umi", "isoform").agg(F.max("p").alias("p"))
 
 
+_CELL = ["community", "barcode"]
+
+
+def _starts(g: pd.DataFrame) -> np.ndarray:
+    """Whether each row is the first of its community and cell; rows are sorted by them, nulls included."""
+    codes = [pd.factorize(g[c])[0] for c in _CELL]
+    first = np.ones(len(g), bool)
+    first[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+    return first
+
+
 def unit_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
-    """g: umi, isoform, p of one community and cell. Starts from molecules of one isoform; stops when no theta moves by the tolerance."""
-    row, rows = pd.factorize(g["umi"])
-    iso, names = pd.factorize(g["isoform"], sort=True)
+    """g: community, barcode, umi, isoform, p of whole cells, sorted by community and cell. All cells iterate at once, each on its own.
+
+    A cell starts from its molecules of one isoform, and stops when none of its thetas moves by the tolerance.
+    """
+    first = _starts(g)
+    cell = np.cumsum(first) - 1
+    n_cells = int(first.sum())
+    umi, umis = pd.factorize(g["umi"])
+    row, rows = pd.factorize(cell * (len(umis) + 1) + umi + 1)
+    name, names = pd.factorize(g["isoform"], sort=True)
+    iso, isos = pd.factorize(cell * len(names) + name, sort=True)
+    home = isos // len(names)
+    at = np.searchsorted(home, np.arange(n_cells))
+    molecules_of = np.bincount(rows // (len(umis) + 1), minlength=n_cells)
     p = g["p"].to_numpy(float)
-    filled = np.bincount(row, p > 0, len(rows))
-    alone = (p > 0) & (filled[row] == 1)
-    theta = np.bincount(iso[alone], minlength=len(names)).astype(float)
-    theta = theta / theta.sum() if theta.sum() else np.full(len(names), 1 / len(names))
-    weight = np.ones(len(rows))
+    alone = (p > 0) & (np.bincount(row, p > 0, len(rows))[row] == 1)
+    theta = np.bincount(iso[alone], minlength=len(isos)).astype(float)
+    total = np.bincount(home, theta, n_cells)
+    theta = np.where(total[home] > 0, theta / np.where(total > 0, total, 1)[home], 1 / np.bincount(home, minlength=n_cells)[home])
+    going = np.ones(n_cells, bool)
     for _ in range(s.iterations):
-        x = _shares(row, iso, p, theta, weight)
-        if not x.sum():
+        q = p * theta[iso]
+        whole = np.bincount(row, q, len(rows))
+        x = np.bincount(iso, q / np.where(whole > 0, whole, 1)[row], len(isos))
+        total = np.bincount(home, x, n_cells)
+        going &= total > 0
+        new = np.where(going[home], x / np.where(total > 0, total, 1)[home], theta)
+        moved, theta = np.maximum.reduceat(np.abs(new - theta), at), new
+        going &= moved >= s.tolerance
+        if not going.any():
             break
-        new = x / x.sum()
-        moved, theta = np.abs(new - theta).max(), new
-        if moved < s.tolerance:
-            break
-    return pd.DataFrame({"isoform": names, "theta": theta, "n": np.int64(len(rows))})
+        if going.mean() < 0.5:  # entries of cells that have stopped go
+            keep = going[cell]
+            cell, row, iso, p = cell[keep], row[keep], iso[keep], p[keep]
+    heads = g[_CELL][first].iloc[home].reset_index(drop=True)
+    return heads.assign(isoform=names[isos % len(names)], theta=theta, n=molecules_of[home].astype(np.int64))
 
 
 def unit_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
-    """cond (community, barcode, umi, isoform, p) -> community, barcode, isoform, theta, n (molecules)."""
+    """cond (community, barcode, umi, isoform, p) -> community, barcode, isoform, theta, n (molecules).
+
+    One shuffle, by community and cell. Python gets sorted batches of many small cells; it holds a batch and the cell that the batch ends in.
+    """
     t = {c: cond.schema[c].dataType.simpleString() for c in ("community", "barcode", "isoform")}
     schema = f"community {t['community']}, barcode {t['barcode']}, isoform {t['isoform']}, theta double, n bigint"
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = unit_kernel(g, s)
-        out.insert(0, "barcode", key[1])
-        out.insert(0, "community", key[0])
-        return out
-
-    return molecules(cond).groupBy("community", "barcode").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []  # parts of one cell, whose end is not known yet
+        for b in batches:
+            if not len(b):
+                continue
+            tail = len(waiting[-1]) if waiting else 0
+            starts = np.flatnonzero(_starts(pd.concat([*waiting[-1:], b], ignore_index=True)))
+            cut = int(starts[-1]) - tail  # rows of b before its last cell; no new cell begins in b if this is negative
+            if cut < 0 or cut == 0 and not waiting:
+                waiting.append(b)
+                continue
+            yield unit_kernel(pd.concat([*waiting, b[:cut]], ignore_index=True), s)
+            waiting = [b[cut:]]
+        if waiting:
+            yield unit_kernel(pd.concat(waiting, ignore_index=True), s)
+
+    return molecules(cond.repartition(*_CELL)).sortWithinPartitions(*_CELL).mapInPandas(run, schema)
