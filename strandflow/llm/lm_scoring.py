@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm._exchange import ANSWER, ASK, answers, by_block, in_blocks, merged, questions
-from strandflow.llm._store import materialize
+from strandflow.llm._store import give_back, materialize
 from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, read_words
 
 U = np.uint64
-DEPTH = 5
+DEPTH = 7  # a key fills 64 bits: two bytes spread, DEPTH - 2 older ones, the byte itself
 END = mix64(np.array([0xE0D], U))[0]  # the end of a text, as a word
 STATS = -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -88,12 +88,6 @@ def _planes(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :].T).tobytes()
 
 
-def _from_planes(body: bytes, n: int, at: int = 8) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, 7 - DEPTH :] = np.frombuffer(body, np.uint8, n * (DEPTH + 1), at).reshape(DEPTH + 1, n).T
-    return out.view(">u8").ravel().astype(U)
-
-
 def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
     edges = np.array([-(-(b << 16) // n) for b in range(n)], U) << _PLACE
     cut = np.append(np.searchsorted(keys, edges), len(keys))
@@ -105,11 +99,24 @@ def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "block", "body"])
 
 
-def _opened(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts (of a block in 4 bytes, of the model in 8)."""
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    at = 8 + n * (DEPTH + 1)
-    return _from_planes(body, n), np.frombuffer(body, np.uint32 if len(body) == at + 4 * n else np.uint64, n, at)
+class _Body:
+    """Keys and counts (in 4 or 8 bytes) as they were sent: only a part that is asked for becomes an array of keys."""
+
+    def __init__(self, body: pa.Buffer):
+        self.n = n = int(np.frombuffer(body, np.int64, 1)[0])
+        at = 8 + n * (DEPTH + 1)
+        self.planes = np.frombuffer(body, np.uint8, n * (DEPTH + 1), 8).reshape(DEPTH + 1, n)
+        self.counts = np.frombuffer(body, np.uint32 if len(body) == at + 4 * n else np.uint64, n, at)
+        self.ends = self.planes[0].astype(np.uint16) << 8 | self.planes[1]  # the contexts' last two bytes, spread
+
+    def part(self, at: slice) -> tuple[np.ndarray, np.ndarray, slice]:
+        out = np.zeros((at.stop - at.start, 8), np.uint8)
+        out[:, 7 - DEPTH :] = self.planes[:, at].T
+        return out.view(">u8").ravel().astype(U), self.counts[at], at
+
+
+def _opened(column: pa.ChunkedArray) -> list[_Body]:
+    return [_Body(x.as_buffer()) for x in column]
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -203,54 +210,56 @@ _MODEL = "bucket int, node int, n0 double, n1 double, below double, body binary"
 SLICE = 400_000
 
 
-def _slices(bodies: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[np.ndarray, np.ndarray, slice]]]:
+def _slices(bodies: list[_Body]) -> Iterator[list[tuple[np.ndarray, np.ndarray, slice]]]:
     """Keys and counts of all bodies, by ranges of the contexts' last two bytes, with where they lie in each body."""
-    total = sum(len(k) for k, _ in bodies)
-    low = min((int(k[0] >> _PLACE) for k, _ in bodies if len(k)), default=0)
-    high = max((int(k[-1] >> _PLACE) for k, _ in bodies if len(k)), default=0) + 1
+    total = sum(b.n for b in bodies)
+    low = min((int(b.ends[0]) for b in bodies if b.n), default=0)
+    high = max((int(b.ends[-1]) for b in bodies if b.n), default=0) + 1
     n = max(1, min(high - low, -(-total // SLICE)))
-    edges = np.array([low + (high - low) * i // n for i in range(1, n)], U) << _PLACE
-    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k, _ in bodies]
+    edges = np.array([low + (high - low) * i // n for i in range(1, n)], np.uint16)
+    cuts = [[0, *np.searchsorted(b.ends, edges).tolist(), b.n] for b in bodies]
     for i in range(n):
-        yield [(k[c[i] : c[i + 1]], x[c[i] : c[i + 1]], slice(c[i], c[i + 1])) for (k, x), c in zip(bodies, cuts, strict=True)]
+        yield [b.part(slice(c[i], c[i + 1])) for b, c in zip(bodies, cuts, strict=True)]
 
 
 def _grow(table: pa.Table) -> pa.Table:
-    """A bucket's part of the model: its keys with their counts in training texts, and its sums for depth 1."""
+    """A bucket's part of the model: its keys with their counts in training texts, a row a slice, and its sums for depth 1."""
     parts, sums = [], []
-    for piece in _slices([_opened(x) for x in table["body"].to_pylist()]):
+    for piece in _slices(_opened(table["body"])):
         keys, counts = _counted([(k[c > 0], c[c > 0].astype(np.int64)) for k, c, _ in piece])
-        parts.append((keys, counts))
+        kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
+        parts.append(np.int64(len(keys)).tobytes() + _planes(keys) + counts.astype(kind).tobytes())
         found = [s for *_, s in _subtrees(keys, counts)] if len(keys) else []
         if found:
             node, *values = (np.concatenate([s[i] for s in found]) for i in range(4))
             at, inverse = np.unique(node, return_inverse=True)
             sums.append((at, *(np.bincount(inverse, x, len(at)) for x in values)))
-    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    body = np.int64(len(keys)).tobytes() + _planes(keys) + counts.astype(np.uint64).tobytes()
     at, n0, n1, below = (np.concatenate([s[i] for s in sums] or [np.zeros(0)]) for i in range(4))
+    give_back()
     return pa.table(
         {
-            "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + 1), pa.int32()),
-            "node": pa.array([*at.astype(int).tolist(), STATS], pa.int32()),
-            "n0": np.append(n0, 0.0), "n1": np.append(n1, 0.0), "below": np.append(below, 0.0),
-            "body": pa.array([None] * len(at) + [body], pa.binary()),
+            "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + len(parts)), pa.int32()),
+            "node": pa.array([*at.astype(int).tolist(), *[STATS] * len(parts)], pa.int32()),
+            **{k: np.append(x, np.zeros(len(parts))) for k, x in (("n0", n0), ("n1", n1), ("below", below))},
+            "body": pa.array([None] * len(at) + parts, pa.binary()),
         }
     )
 
 
 def _scored(top: _Top):
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        bodies = [_opened(x) for x in asked["body"].to_pylist()]
-        known = _opened(model["body"][0].as_py()) if model.num_rows else (np.zeros(0, U), np.zeros(0, U))
-        out = [np.zeros(len(k), np.float32) for k, _ in bodies]
-        for (seen, counted, _), *piece in _slices([known, *bodies]):
-            keys = distinct(np.concatenate([seen, *(k for k, _, _ in piece)]))
+        known, bodies = _opened(model["body"]), _opened(asked["body"])
+        out = [np.zeros(b.n, np.float32) for b in bodies]
+        for piece in _slices([*known, *bodies]):
+            seen, piece = piece[: len(known)], piece[len(known) :]
+            keys = distinct(np.concatenate([np.zeros(0, U), *(k for k, _, _ in seen), *(k for k, _, _ in piece)]))
             counts = np.zeros(len(keys))
-            counts[np.searchsorted(keys, seen)] = counted
+            for k, c, _ in seen:
+                counts[np.searchsorted(keys, k)] = c
             value = top.log10(keys, counts).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
             for o, (k, _, at) in zip(out, piece, strict=True):
                 o[at] = value[np.searchsorted(keys, k)]
+        give_back()
         return pa.table(
             {
                 "block": asked["block"],
@@ -313,8 +322,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         """Every key of the block with its count in training texts."""
         learn, parts = _learn(rows), []
         for first, keys, at in byte_keys(rows["text"]):
-            keys, count = np.unique((keys << U(1)) | np.repeat(learn[first : first + len(at) - 1], np.diff(at)), return_counts=True)
-            parts.append((keys >> U(1), count * (keys & U(1)).astype(np.int64)))
+            own, number = numbered(keys)
+            parts.append((own, np.bincount(number, np.repeat(learn[first : first + len(at) - 1], np.diff(at)), len(own)).astype(np.int64)))
         keys, counts = _counted(parts)
         yield _key_questions(block, keys, n, counts)
 
