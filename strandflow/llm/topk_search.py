@@ -3,10 +3,14 @@
 Vectors become sparse integer rows: component x counts as floor(scale * x), zeros are left out. Candidates are dealt into blocks that keep, for every
 term (dimension), the list of rows with their weights. A block of queries meets every block of candidates: term by term, each query's weight
 times the term's list is added to a dense array of scores, from which a partition selection takes k. Partial results are merged by query.
+
+Sums of longs are exact up to 2^63. A pair of vectors whose products could sum to more is summed in Python's integers, which have no bound.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +20,25 @@ from strandflow.llm._store import materialize
 
 #: Rows of a block of candidates and of queries: a task holds their product in scores (8 MB) besides the rows.
 CANDIDATES, QUERIES = 4096, 256
-#: Larger integers could overflow the sum of a few thousand products in 64 bits.
-LARGEST = float(1 << 24)
+#: Sums of products below this are exact in longs, with room for rounding of the bound itself.
+EXACT = float(1 << 62)
+#: Bytes of a score beyond 64 bits as a number that sorts: products of two doubles of scale 2^8, and many of them.
+WIDE = 280
 
 
 def integer_rows(vectors: DataFrame, id_column: str, vector: str, scale: float = 256.0) -> DataFrame:
-    """(id, weights array<long>): floor(scale * component) in double precision.
+    """(id, weights array<double>): floor(scale * component) in double precision, whole numbers of any size.
 
-    Vectors that are null or hold a null or non-finite component are left out, and so are ids that are null. Components beyond
-    2^24 / scale in size would not be exact in a sum of longs: those vectors are left out, too.
+    Vectors that are null or hold a null or non-finite component (also after scaling) are left out, and so are ids that are null.
     """
-    v = vectors.select(F.col(id_column).cast("long").alias("id"), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("w"))
-    fine = F.coalesce(F.forall("w", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST), F.lit(False))), F.lit(False))
-    return v.where(F.col("id").isNotNull() & F.col("w").isNotNull()).where(fine).select("id", F.col("w").cast("array<long>").alias("weights"))
+
+    def whole(x: Column) -> Column:
+        # floor() gives a long: NaN would become 0. Doubles from 2^52 on are whole numbers.
+        return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+
+    v = vectors.select(F.col(id_column).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") * scale).alias("w"))
+    fine = F.coalesce(F.forall("w", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+    return v.where(F.col("id").isNotNull() & F.col("w").isNotNull()).where(fine).select("id", F.transform("w", whole).alias("weights"))
 
 
 def _postings(rows: list, dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -46,19 +56,31 @@ def _postings(rows: list, dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def best_of_block(query_ids: np.ndarray, queries: list, ids: np.ndarray, rows: list, k: int) -> list[tuple[int, int, int]]:
     """(query's position, id, score) of each query's k best rows, ties to smaller ids; a row with the query's own id is left out."""
     dims = min(max(map(len, queries), default=0), max(map(len, rows), default=0))
-    lists = _postings([r[:dims] for r in rows], dims)
+    rows = [r[:dims] for r in rows]
+    largest = np.array([max(map(abs, r), default=0) for r in rows], float)
+    # Rows that do not fit a long are wide for every query but one of zeros only, whose scores are 0.
+    lists = _postings([r if m < EXACT else [] for r, m in zip(rows, largest, strict=True)], dims)
     found = []
     score = np.empty(len(rows), np.int64)
     for i, q in enumerate(queries):
+        q = [int(w) for w in q[:dims]]
+        wide = np.flatnonzero(float(min(sum(map(abs, q)), 1 << 1000)) * np.minimum(largest, 1e6 * EXACT) >= EXACT)
         score[:] = 0
-        for t, w in enumerate(q[:dims]):
-            if w:
+        for t, w in enumerate(q):
+            if w and len(wide) < len(rows):
                 at, weights = lists[t]
+                w = w if abs(w) < EXACT else 0  # all rows with weights are wide then
                 if len(at) == len(score):
                     score += w * weights
                 else:
                     score[at] += w * weights
         own = np.flatnonzero(ids != query_ids[i])
+        if len(wide):
+            exact = score.tolist()
+            for j in wide:
+                exact[j] = sum(w * int(x) for w, x in zip(q, rows[j]))
+            found += [(i, x, -s) for s, x in heapq.nsmallest(k, ((-exact[j], int(ids[j])) for j in own))]
+            continue
         s = score[own]
         if len(s) > k:
             # All rows that reach the k-th score, so that ties are broken by id and not by the selection.
@@ -69,9 +91,15 @@ def best_of_block(query_ids: np.ndarray, queries: list, ids: np.ndarray, rows: l
     return found
 
 
+def _wide(score: int) -> bytes | None:
+    """A score that is no long, as bytes in its order; None for a long."""
+    return None if -(1 << 63) <= score < 1 << 63 else (score + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """rows: (id long, weights array<long>) -> (query_id, rank, vec_id, score), the k best rows of each query against all others.
+    """rows: (id long, weights array of whole numbers) -> (query_id, rank, vec_id, score), the k best rows of each query against all others.
 
+    Ranks are exact for all sizes; a score beyond 64 bits, which no long can hold, is null in its row.
     Shorter vectors count as if filled with zeros; an empty vector scores 0 with all. A row that repeats is a candidate each time, but not of queries
     with its id; a repeated query has a result each time. Ties go to smaller ids. No rows or no queries give an empty result.
     """
@@ -92,7 +120,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            t = {"group": [], "query": [], "query_id": [], "vec_id": [], "score": []}
+            t = {"group": [], "query": [], "query_id": [], "vec_id": [], "score": [], "side": [], "wide": []}
             for row in range(b.num_rows):
                 q, c = b.column("group_rows")[row].as_py(), b.column("part_rows")[row].as_py()
                 q.sort(key=lambda x: (x["id"], x["weights"]))
@@ -102,12 +130,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 t["query"] += [i for i, _, _ in found]
                 t["query_id"] += [int(query_ids[i]) for i, _, _ in found]
                 t["vec_id"] += [x for _, x, _ in found]
-                t["score"] += [x for _, _, x in found]
+                wide = [_wide(x) for _, _, x in found]
+                t["score"] += [x if w is None else None for (_, _, x), w in zip(found, wide, strict=True)]
+                t["side"] += [0 if w is None else 1 if x > 0 else -1 for (_, _, x), w in zip(found, wide, strict=True)]
+                t["wide"] += wide
             yield pa.RecordBatch.from_pydict(t, schema=out)
 
-    out = pa.schema([("group", pa.int32()), ("query", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    partial = met.mapInArrow(run, "group int, query int, query_id long, vec_id long, score long")
-    by_query = Window.partitionBy("group", "query").orderBy(F.col("score").desc(), "vec_id")
+    out = pa.schema([("group", pa.int32()), ("query", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("side", pa.int32()), ("wide", pa.binary())])
+    partial = met.mapInArrow(run, "group int, query int, query_id long, vec_id long, score long, side int, wide binary")
+    by_query = Window.partitionBy("group", "query").orderBy(F.col("side").desc(), F.col("wide").desc(), F.col("score").desc(), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -1,12 +1,13 @@
 """Cases that operators once left out: each against a plain version or a worked value."""
 
 from functools import cache
-from math import log, log10
+from math import floor, inf, isfinite, log, log10, nan
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandflow.llm.lm_scoring import log_kt, score_texts
+from strandflow.llm.topk_search import integer_rows, top_k
 
 CONTEXT = 7
 
@@ -60,3 +61,19 @@ def test_language_model_has_seven_bytes_of_context(spark):
     t = score_texts(docs, F.col("doc_id") >= 4).toPandas().set_index("doc_id").sort_index()
     assert np.allclose(t["score"], plain_scores([(x or "").encode() for x in texts], [i < 4 for i in range(7)]), rtol=1e-5)
     assert t.loc[4, "score"] > t.loc[5, "score"] + 0.5
+
+
+def test_top_k_keeps_every_finite_vector(spark):
+    """Large and huge components, sums that pass 2^63 on the way and come back, -0.5 and zeros; null, NaN and infinite ones take no part."""
+    big = [[70000.0, 1.0], [1e5, -1e5], [65537.0, 65537.0], [1e12, -1e12], [1e12, 1e12], [-1e12, 3.0], [3e38, 1.0], [-3e38, 2.0], [1e300, 0.0], [2e300, -5.0]]
+    small = [[0.25, -0.5], [0.0, 0.0], [1.0, 1.0], [0.001, -0.001], [5.0]]
+    out = [[nan, 1.0], [inf, 0.0], [-inf, 1.0], [None, 2.0], None]
+    vectors = list(enumerate(big + small + out))
+    found = top_k(integer_rows(spark.createDataFrame(vectors, "v long, e array<double>"), "v", "e"), F.col("id") >= 0, 4).collect()
+    whole = {i: [floor(x * 256.0) for x in v] for i, v in vectors if v is not None and all(x is not None and isfinite(x) for x in v)}
+    want = {}
+    for i, q in whole.items():
+        best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in whole.items() if j != i)[:4]
+        want |= {(i, r): (j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, j) in enumerate(best, 1)}
+    assert len(whole) == 15
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in found} == want
