@@ -2,7 +2,7 @@
 
 The lexicon is the set of terms whose document frequency lies in a band. A document's distinct lexicon terms are sorted and hashed once for
 each of several randomised subsets of the lexicon. Subsets come in chains, each member keeping half of the terms of the one before, so that
-for short and for long documents alike some of them hold a few terms. The likeness of two fingerprints is the share of chains in which the
+for short and for long documents alike some of them hold a few terms: there are as many halvings as the longest text can need. The likeness of two fingerprints is the share of chains in which the
 sparsest subset that still holds a term of either has equal hashes.
 
 The lexicon reaches the documents as a bit set. Its size does not follow the number of documents: each document has, on average, so many
@@ -21,6 +21,7 @@ from strandflow.llm._store import materialize, shuffle_partitions
 BAND = (0.0005, 0.1)
 #: Texts with fewer lexicon terms are taken with all their terms.
 LEAST_TERMS = 6
+#: Halvings at least; see halvings().
 CHAINS, HALVINGS = 12, 10
 BITS_PER_TERM = 64
 
@@ -52,8 +53,14 @@ def _shifted(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
 
-def fingerprint(text: Column, bits: Column, log2: int) -> Column:
-    """Array of 1 + CHAINS * HALVINGS hashes of 32 bits (null: no term in the subset). Equal texts have equal ones."""
+def halvings(docs: DataFrame) -> int:
+    """So many that the sparsest subset of the longest text's terms holds one or none on average: n characters have at most (n + 1) / 2 words."""
+    longest = docs.agg(F.max(F.char_length("text"))).first()[0] or 0
+    return max(HALVINGS, ((longest + 1) // 2).bit_length())
+
+
+def fingerprint(text: Column, bits: Column, log2: int, depth: int = HALVINGS) -> Column:
+    """Array of 1 + CHAINS * depth hashes of 32 bits (null: no term in the subset). Equal texts have equal ones."""
 
     def known(t: Column) -> Column:
         at = F.shiftrightunsigned(t, 64 - log2)
@@ -70,7 +77,17 @@ def fingerprint(text: Column, bits: Column, log2: int) -> Column:
         """Hashes of the chain's subsets from the d-th on, out of the terms of the one before."""
         at = HALVINGS * c + d
         kept = F.filter(ts, lambda t: F.call_function("getbit", t if at < 64 else F.xxhash64(t), F.lit(at % 64)) == 0)
-        return named(kept, lambda k: F.array(hashed(k)) if d + 1 == HALVINGS else F.concat(F.array(hashed(k)), chain(k, c, d + 1)))
+        return named(kept, lambda k: (F.concat(F.array(hashed(k)), further(k, c)) if depth > HALVINGS else F.array(hashed(k))) if d + 1 == HALVINGS else F.concat(F.array(hashed(k)), chain(k, c, d + 1)))
+
+    def further(k: Column, c: int) -> Column:
+        """The subsets beyond HALVINGS, by one more hash for each chain. Most texts have no term left here."""
+
+        def subset(d: Column) -> Column:
+            low = F.call_function("shiftleft", F.lit(2).cast("long"), d) - 1
+            return hashed(F.filter(k, lambda t: F.xxhash64(t, F.lit(c)).bitwiseAND(low) == 0))
+
+        n = depth - HALVINGS
+        return F.when(F.size(k) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), subset)).otherwise(F.array_repeat(F.lit(None).cast("int"), n))
 
     def of_sorted(ts: Column) -> Column:
         return F.concat(F.array(hashed(ts)), *[chain(ts, c, 0) for c in range(CHAINS)])
@@ -81,12 +98,12 @@ def fingerprint(text: Column, bits: Column, log2: int) -> Column:
     return named(named(terms(text), choose), of_sorted)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, depth: int = HALVINGS) -> Column:
     """Share of chains whose sparsest subset with a term of either has equal hashes. Where a chain has none, all terms count."""
     equal = []
     for c in range(CHAINS):
-        first = 2 + c * HALVINGS
-        pairs = F.arrays_zip(F.slice(a, first, HALVINGS).alias("x"), F.slice(b, first, HALVINGS).alias("y"))
+        first = 2 + c * depth
+        pairs = F.arrays_zip(F.slice(a, first, depth).alias("x"), F.slice(b, first, depth).alias("y"))
         either = F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull())
         whole = F.struct(F.element_at(a, 1).alias("x"), F.element_at(b, 1).alias("y"))
         last = F.when(F.size(either) > 0, F.element_at(either, -1)).otherwise(whole)
@@ -136,10 +153,11 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
     """
     d = _keyed(docs)
     bits, log2 = bit_set(lexicon(docs, band))
+    depth = halvings(docs)
     d = d.repartition(shuffle_partitions(docs.sparkSession), "k", "id0")
     at = neighbours(_keyed(docs))
     one = d.join(at, ["k", "id0"]).dropDuplicates(["k", "id0"]).withColumn("bits", bits.scalar())
-    one = one.withColumn("f", fingerprint(F.col("text"), F.col("bits"), log2)).withColumn("next_start", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")))
+    one = one.withColumn("f", fingerprint(F.col("text"), F.col("bits"), log2, depth)).withColumn("next_start", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")))
     # A text's fingerprint is computed once, for its own row and for the row before.
     no_text, no_hashes = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
     to_own = F.struct("k", "id0", no_text.alias("next_start"), no_hashes.alias("next_f"), "f")
@@ -153,12 +171,12 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "f",
-        fingerprint(F.col("edited"), F.col("bits"), log2).alias("e"),
+        fingerprint(F.col("edited"), F.col("bits"), log2, depth).alias("e"),
         "next_f",
     )
     return f.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+        likeness(F.col("f"), F.col("e"), depth).alias("near_edited"), likeness(F.col("f"), F.col("next_f"), depth).alias("near_next"),
     )
 
 

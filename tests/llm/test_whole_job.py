@@ -6,6 +6,7 @@ from math import floor, inf, isfinite, log, log10, nan
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandflow.llm.fingerprints import compare_edited, fingerprint
 from strandflow.llm.lm_scoring import log_kt, score_texts
 from strandflow.llm.topk_search import integer_rows, top_k
 
@@ -77,3 +78,20 @@ def test_top_k_keeps_every_finite_vector(spark):
         want |= {(i, r): (j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, j) in enumerate(best, 1)}
     assert len(whole) == 15
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in found} == want
+
+
+def test_fingerprints_of_long_texts(spark):
+    """Thirty thousand distinct terms each, all in the lexicon, and the last quarter replaced: some of the sparsest subsets still agree, of other texts none."""
+    terms = [[f"{c}{i}" for i in range(30000)] for c in "vw"]
+    texts = [" ".join(x) for x in (terms[0], terms[1], terms[0][::-1], terms[1][::-1])]
+    t = compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert t.loc[0, "fingerprint"] == t.loc[2, "fingerprint"] and t.loc[1, "fingerprint"] == t.loc[3, "fingerprint"]
+    assert (t["near_edited"] > 0.2).all() and (t["near_next"] == 0).all()
+
+
+def test_fingerprint_bits_differ_between_chains(spark):
+    """However many halvings: no two chains share all their subsets."""
+    d = spark.createDataFrame([(" ".join(f"x{i}" for i in range(200)),)], "text string")
+    f = d.select(fingerprint(F.col("text"), F.array_repeat(F.lit(-1).cast("long"), 64), 12, 20).alias("f")).first()["f"]
+    chains = [tuple(f[1 + 20 * c : 21 + 20 * c]) for c in range(12)]
+    assert len(f) == 241 and len(set(chains)) == 12 and all(x[0] is not None and x[19] is None for x in chains)
