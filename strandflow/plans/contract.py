@@ -234,6 +234,39 @@ def unit_em_one_iteration(spark, sf):
     return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
 
 
+# The same three over all reads, also those of two genes: communities are those of bipartite_components, of one gene or many.
+_COMM = f"""WITH RECURSIVE {_COND}, {_LINKS}, reach AS (SELECT DISTINCT gene, gene AS node FROM iso UNION SELECT gene, v FROM reach JOIN links ON node = u),
+  comm AS (SELECT gene, min(node) AS community FROM reach GROUP BY gene), comm_iso AS (SELECT * FROM iso JOIN comm USING (gene))"""
+_COMM_MOL = f"""{_COMM}, mol AS (SELECT community, l_suppkey AS barcode, l_orderkey AS umi, isoform, max(p) AS p FROM cond JOIN comm USING (gene) GROUP BY ALL)"""
+_COMM_UNIT = _COMM_MOL + _UNIT.removeprefix(f"{_MOL}").replace("gene", "community")
+
+
+@query(f"""{_COMM}, one AS (SELECT * FROM cond), {_hybrid_sql(3).replace("gene", "community").replace("FROM iso)", "FROM comm_iso)")}
+  SELECT isoform, round(t, 9) AS theta FROM h3""")
+def hybrid_em_communities(spark, sf):
+    every = _communities(spark, sf)
+    short = every.where("l_linenumber % 2 = 0").select("community", F.col("read").alias("fragment"), "isoform", (1 / (1 + F.col("iso_len") % 7)).alias("ant"))
+    iso = _isoforms(spark, sf).join(gene_communities(_read_isoform(spark, sf), _isoforms(spark, sf)), "gene")
+    iso = iso.select("community", "isoform", (F.col("iso_len") - 20.0).alias("eff_len"))
+    out = hybrid_em(every.where("l_linenumber % 2 = 1"), short, iso, 0.5, EmSettings(iterations=3, tolerance=0.0))
+    return out.select("isoform", F.round("theta", 9).alias("theta"))
+
+
+def _community_cells(spark, sf) -> DataFrame:
+    return _communities(spark, sf).select("community", F.col("l_suppkey").alias("barcode"), F.col("l_orderkey").alias("umi"), "isoform", "gene", "p")
+
+
+@query(f"{_COMM_MOL} SELECT community, barcode, umi, isoform, round(p, 12) AS p FROM mol")
+def umi_molecules_communities(spark, sf):
+    return molecules(_community_cells(spark, sf)).select("community", "barcode", "umi", "isoform", F.round("p", 12).alias("p"))
+
+
+@query(f"{_COMM_UNIT} SELECT community, barcode, isoform, round(theta, 9) AS theta, n FROM theta")
+def unit_em_communities(spark, sf):
+    out = unit_em(_community_cells(spark, sf), EmSettings(iterations=1))
+    return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
+
+
 _SHARE = """share AS (SELECT l_suppkey AS barcode, l_partkey AS isoform, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
 s2 AS (SELECT barcode, isoform, q, sum(q) OVER (PARTITION BY barcode) AS total, CAST(count(*) OVER (PARTITION BY barcode) AS BIGINT) AS n FROM share),
 s3 AS (SELECT barcode, isoform, q / total AS theta, n FROM s2),
