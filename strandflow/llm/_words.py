@@ -16,8 +16,7 @@ U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE = U(0x9E3779B97F4A7C15)
 #: Texts are gathered up to about so many bytes; a longer text is read in pieces of this size.
 PIECE = 1 << 20
 
@@ -32,36 +31,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    v = mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-    if fold:
-        v[65:91] = v[97:123]
-    return v
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
-_VALUES = {fold: _byte_values(fold) for fold in (False, True)}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) <= n:
-        _POWERS[:] = [_powers(_BASE, max(n, PIECE)), _powers(_BASE_INVERSE, max(n, PIECE))]
-    return _POWERS
-
-
-def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    up, down = _tables(len(buf))
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum(_VALUES[fold][buf] * up[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D))
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hashes of words. Each eight bytes are mixed with their place before they are added up, so that no pattern of letters cancels out:
+    different words are equal with a chance of about 2^-64 a pair."""
+    if not len(starts):
+        return np.zeros(0, U)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = _FOLD[buf] if fold else buf
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    size = ends - starts
+    parts = (size + 7) >> 3
+    first = np.cumsum(parts) - parts
+    number = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    x = eight[np.repeat(starts, parts) + 8 * number]
+    last = first + parts - 1
+    beyond = (8 * (8 * parts - size)).astype(U)  # bits after the word's end
+    x[last] = (x[last] << beyond) >> beyond
+    x = mix64(x + (number + 1).astype(U) * _PLACE)
+    return mix64(np.add.reduceat(x, first) + size.astype(U) * U(0x2545F4914F6CDD1D))
 
 
 @dataclass
@@ -112,7 +103,7 @@ def _long(buf: np.ndarray, fold: bool, hashed: bool) -> tuple[np.ndarray, ...]:
             to = at + int(gaps[-1]) + 1 if len(gaps) and to < len(buf) else to
         b = buf[at:to]
         s, e = _spans(b, np.array([0, len(b)]))
-        parts.append((s + at, e + at, _hash_spans(b, s, e, fold) if hashed else None))
+        parts.append((s + at, e + at, hash_spans(b, s, e, fold) if hashed else None))
         at = to
     none = np.zeros(0, np.int64)
     s, e = (np.concatenate([p[i] for p in parts] or [none]) for i in (0, 1))
@@ -146,7 +137,7 @@ def read_words(column: pa.Array | pa.ChunkedArray, fold: bool = False, hashed: b
             s, e, h = _long(b, fold, hashed)
         else:
             s, e = _spans(b, o)
-            h = _hash_spans(b, s, e, fold) if hashed else None
+            h = hash_spans(b, s, e, fold) if hashed else None
         yield Texts(i, b, o, s, e, h, np.searchsorted(s, o))
         i = j
 

@@ -13,16 +13,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm._words import _BASE, Texts, _powers, mix64, read_words
+from strandflow.llm._exchange import free_name
+from strandflow.llm._words import Texts, hash_spans, mix64, read_words
 
 U = np.uint64
 ROWS_LOG2, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 STEMS = (4, 6, 8)  # first bytes of a word that are hashed besides the whole word
 #: The classifier is fitted on at most so many labelled rows (those with the smallest hashes of their ids); its size is bounded, too.
 FIT_ROWS = 8000
+#: ... and on at most so many bytes of their texts, which go through the driver.
+FIT_BYTES = 64 << 20
 FOLDS, EPOCHS, BATCH, RATE = 3, 4, 32, 0.01
 
 
@@ -31,24 +34,11 @@ def word_rows(t: Texts) -> np.ndarray:
     spans = [t.ends, *(np.minimum(t.ends, t.starts + n) for n in STEMS)]
     out = np.empty((len(t.starts), len(spans)), np.int32)
     for i, ends in enumerate(spans):
-        h = t.hashes if i == 0 else _stem_hashes(t, ends)
+        h = t.hashes if i == 0 else hash_spans(t.buf, t.starts, ends, True)
         out[:, i] = (mix64(h + U(i * 0x51ED270B + 1)) >> U(64 - ROWS_LOG2)).astype(np.int32)
     return out
 
 
-def _stem_hashes(t: Texts, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the first bytes of words (A-Z as a-z), at most max(STEMS) of them."""
-    n = ends - t.starts
-    h = np.zeros(len(n), U)
-    up = _powers(_BASE, max(STEMS))
-    last = len(t.buf) - 1
-    for k in range(int(n.max(initial=0))):
-        b = t.buf[np.minimum(t.starts + k, last)]
-        b = np.where((b >= 65) & (b <= 90), b + 32, b).astype(U)
-        h += np.where(k < n, (b + U(1)) * up[k], U(0))
-    return mix64(h + n.astype(U))
-
-
 def rows_of_texts(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, table rows of its and following texts' words, where each text's words begin)"""
     for t in read_words(column, fold=True):
@@ -220,15 +210,19 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list, seed: int =
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """Fit on docs (doc_id, text, lang) with labels (doc_id, toxic 0 or 1; others are not used), on at most ``rows`` labels: those with the smallest hashes.
 
-    That bound also bounds what is broadcast to the documents and what reaches the driver. Only ids decide which labels are drawn. Rows of
-    docs that share an id are learned from each, up to twice the bound.
+    That bound also bounds what is broadcast to the documents. Their texts reach the driver, in the order of the hashes, up to ``size`` bytes in all. Only ids
+    decide which labels are drawn. Rows of docs that share an id are learned from each, up to twice the bound; null texts are empty ones. Other columns are not
+    read, whatever their names. Without documents or labels the model scores every text low.
     """
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    t = docs.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    t = t.orderBy("doc_id", F.xxhash64("text"), "toxic").limit(2 * rows).select("text", "lang", "toxic").toArrow()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    t = own.join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("toxic")]
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    t = t.orderBy(*order).limit(2 * rows).withColumn("so_far", so_far).where(F.col("so_far") <= size).select("text", "lang", "toxic").toArrow()
     texts: list[np.ndarray] = []
     for _, r, words in rows_of_texts(t["text"]):
         texts += [r[a:b] for a, b in zip(words[:-1], words[1:], strict=True)]
@@ -259,11 +253,15 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs that are not rejected: those scored below the threshold of their language (the common one where it has none)."""
+    """docs that are not rejected: those scored below the threshold of their language (the common one where it has none or no language).
+
+    All columns stay as they are, whatever their names. Null texts are scored as empty ones; equal texts of a language go or stay together; an empty table stays empty.
+    """
     cuts = [x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]
     common = F.lit(model.threshold)
     cut = F.coalesce(F.try_element_at(F.create_map(*cuts), F.col("lang")), common) if cuts else common
-    return score(docs, model, name="__score").where(F.col("__score") < cut).drop("__score")
+    name = free_name(docs.columns, "score")
+    return score(docs, model, name=name).where(F.col(name) < cut).drop(name)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
