@@ -23,16 +23,33 @@ ASK = "bucket int, block int, body binary"
 ANSWER = "block int, bucket int, kind int, body binary"
 
 
-def in_blocks(docs: DataFrame, *columns: str, per_partition: int = 2) -> tuple[DataFrame, int]:
-    """docs with a block number, and the number of buckets: one for two shuffle partitions.
+#: Bytes of text of a block, and of questions of a bucket, about.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 
-    The number comes from the row's id and text, so that neither null ids nor one id's rows gather in a block. A question
-    has a row for each block and bucket: as many rows as a shuffle between all partitions has segments.
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def in_blocks(docs: DataFrame, *columns: str, sent: float = 1.0) -> tuple[DataFrame, int]:
+    """docs (columns) after a block number, and the number of buckets. sent: bytes of questions for a byte of text, about.
+
+    Blocks and buckets are as many as the bytes of all texts ask for, so that either fits a task whatever the number of shuffle partitions, and at least two
+    blocks (half a bucket) for each of these. The block number comes from the row's id and text, so that neither null ids nor one id's rows gather in a block; rows
+    without text, which have no keys to ask about, go anywhere. Rows that agree in id and text share a block. A question has a row for
+    each block and bucket. The number's column is the first one, under a name that docs does not use.
     """
     partitions = shuffle_partitions(docs.sparkSession)
-    buckets = -(-partitions // 2)
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(per_partition * partitions)).cast("int")
-    return docs.select(block.alias("block"), *columns), buckets
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(2 * partitions, -(-total // BLOCK_BYTES))
+    buckets = max(-(-partitions // 2), int(sent * total / BUCKET_BYTES))
+    place = F.when(F.octet_length("text") > 0, F.lit(0)).otherwise(F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), place), F.lit(blocks)).cast("int")
+    return docs.select(block.alias(free_name(docs.columns, "block")), *[f"`{c}`" for c in columns]), buckets
 
 
 def bucket_bounds(n: int) -> np.ndarray:
@@ -101,16 +118,17 @@ def merged(bodies: list[bytes], *kinds: type) -> tuple[np.ndarray, list[np.ndarr
 
 
 def by_block(blocks: DataFrame, told: DataFrame | None, f: Callable[[int, pa.Table, pa.Table | None], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Apply f(block, rows, answers) to every block that has rows."""
+    """Apply f(block, rows without their block, answers) to every block that has rows."""
     arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
+    name = blocks.columns[0]
 
     def run(rows: pa.Table, reply: pa.Table | None) -> pa.Table:
         if not rows.num_rows:
             return arrow.empty_table()
-        out = list(f(rows["block"][0].as_py(), rows, reply))
+        out = list(f(rows.column(0)[0].as_py(), rows.remove_column(0), reply))
         give_back()
         return pa.Table.from_batches(out).cast(arrow) if out else arrow.empty_table()
 
     if told is None:
-        return blocks.groupBy("block").applyInArrow(lambda rows: run(rows, None), schema)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+        return blocks.groupBy(name).applyInArrow(lambda rows: run(rows, None), schema)
+    return blocks.groupBy(name).cogroup(told.groupBy("block")).applyInArrow(run, schema)

@@ -287,7 +287,7 @@ def _word_totals(table: pa.Table) -> pa.Table:
     at, (keys, n) = merged(table["body"].to_pylist(), U, np.uint32)
     _, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, n)
-    c = total[inverse].astype(np.uint32)
+    c = total[inverse].astype(np.int64)
     bodies = [c[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
     blocks = [*table["block"].to_pylist(), STATS]
     return pa.table(
@@ -312,7 +312,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     result. Without any training text all tokens are unknown and every bit costs one bit. Other columns are ignored.
     """
     d = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks, n = in_blocks(d, "doc_id", "text", "held_out")
+    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=5.0)
 
     def ask_words(block: int, rows: pa.Table, _):
         keys, counts = _word_keys(rows, _learn(rows))
@@ -320,7 +320,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
 
     def ask_keys(block: int, rows: pa.Table, _):
         """Every key of the block with its count in training texts."""
-        learn, parts = _learn(rows), []
+        # The end of an empty text is always asked for: rows without text have no fixed block.
+        learn, parts = _learn(rows), [(_keys(np.zeros(DEPTH + 1, np.uint8)), np.zeros(1, np.int64))]
         for first, keys, at in byte_keys(rows["text"]):
             own, number = numbered(keys)
             parts.append((own, np.bincount(number, np.repeat(learn[first : first + len(at) - 1], np.diff(at)), len(own)).astype(np.int64)))
@@ -341,7 +342,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
 
     def tell(_, rows: pa.Table, reply: pa.Table):
         m = rows.num_rows
-        known = np.frombuffer(answers(reply, 0), np.uint32)
+        known = np.frombuffer(answers(reply, 0), np.int64)
         keys = _word_keys(rows, np.zeros(m, bool))[0]
         value = np.log10(known + 0.1) - floor
         end = int(np.searchsorted(keys, END))

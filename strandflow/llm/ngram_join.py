@@ -264,12 +264,12 @@ def _large_cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def nodes_and_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(block, doc_id, n_shingles, node) a row of docs, and (node, root) for the nodes that link with others."""
-    blocks, n = in_blocks(docs, "doc_id", "text")
+    blocks, n = in_blocks(docs, "doc_id", "text", sent=3.0)
 
-    def name(_, rows, __):
+    def name(block, rows, __):
         s = _Sets(rows, k)
         yield pa.RecordBatch.from_arrays(
-            [rows["block"].combine_chunks(), rows["doc_id"].combine_chunks(), pa.array(s.sizes.astype(np.int64)), pa.array(s.node.view(np.int64))],
+            [pa.array(np.full(rows.num_rows, block, np.int32)), rows["doc_id"].combine_chunks(), pa.array(s.sizes.astype(np.int64)), pa.array(s.node.view(np.int64))],
             names=["block", "doc_id", "n_shingles", "node"],
         )
 
@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays, once, with all its columns but one named block.
+    """docs without near-duplicates: of each component the document with the smallest id stays, once, with all its columns.
 
     Documents without shingles (null texts, texts without words) all stay. Of a component in which no document has an id, one document stays.
     """
@@ -332,7 +332,7 @@ def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     d = nodes.where("n_shingles > 0").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "block", "node")
     kept = d.groupBy("root").agg(F.min(order).alias("kept")).select("kept.block", "kept.doc_id", "kept.node")
-    blocks, _ = in_blocks(docs, *[c for c in docs.columns if c != "block"])
+    blocks, _ = in_blocks(docs, *docs.columns)
 
     def pick(_, rows: pa.Table, kept: pa.Table):
         s = _Sets(rows, k)
@@ -344,9 +344,9 @@ def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
             if s.sizes[i] and x in wanted and (x not in first or texts[i] < texts[first[x]]):
                 first[x] = i
         stay = sorted([*np.flatnonzero(s.sizes == 0).tolist(), *first.values()])
-        yield from rows.drop(["block"]).take(stay).to_batches()
+        yield from rows.take(pa.array(stay, pa.int64())).to_batches()
 
-    return by_block(blocks, kept, pick, blocks.drop("block").schema)
+    return by_block(blocks, kept, pick, docs.schema)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

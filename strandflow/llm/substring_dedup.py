@@ -170,11 +170,10 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     White space around what is kept stays as it is in the text: only removed words go, with the white space after them. Texts
     without a removed word are unchanged, null stays null; n_chars, if there is such a column, follows the new text. See
-    ``repeated_words`` for null ids, repeated rows and short texts. A column named block is not carried: rename it first.
+    ``repeated_words`` for null ids, repeated rows and short texts.
     """
-    columns = [c for c in docs.columns if c != "block"]
+    columns = docs.columns
     blocks, plan, told = _rounds(docs, window, columns)
-    schema = blocks.drop("block").schema
 
     def cut(_, rows, reply):
         out = []
@@ -199,9 +198,9 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             changed = pa.array([y is not None for y in out])
             n = pc.if_else(changed, pc.utf8_length(new).cast(rows["n_chars"].type), rows["n_chars"])
             rows = rows.set_column(rows.schema.get_field_index("n_chars"), "n_chars", n)
-        yield from rows.drop(["block"]).to_batches()
+        yield from rows.to_batches()
 
-    return by_block(blocks, told, cut, schema)
+    return by_block(blocks, told, cut, docs.schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
