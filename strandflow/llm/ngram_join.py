@@ -28,6 +28,8 @@ U = np.uint64
 #: Nodes of a candidate cluster that are verified in one place; larger clusters are cut in blocks of this size.
 BLOCK = 256
 PIVOTS = 4
+#: Nodes of a cluster that one row of what is known of the cluster is joined to.
+SHARE = 4096
 STATS = -1  # as a block's number: rows that are not for a block
 
 
@@ -122,7 +124,8 @@ def _post(k: int, num: int, den: int, cut: int, buckets: int):
         h, which = h[order], which[order]
         n = s.sizes[reps]
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        single = (n >= -(-num * cut // den))[which] & (place < _prefix(n, num, den, 1)[which])
+        # Sets that may link by one common shingle alone have no pair to meet at.
+        single = ((n >= -(-num * cut // den)) | (-(-num * n // den) < 2))[which] & (place < _prefix(n, num, den, 1)[which])
         out, of = [h[single]], [which[single]]
         p2 = np.where(n < cut, np.minimum(_prefix(n, num, den, 2), n), 0)
         start = np.cumsum(n) - n
@@ -141,30 +144,37 @@ def _post(k: int, num: int, den: int, cut: int, buckets: int):
     return post
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """Of the lists of a bucket: stars of candidate edges, and for each block the nodes of its that are in any."""
-    bodies = table["body"].to_pylist()
-    at, (keys, node, size) = merged(bodies, U, U, np.int32)
-    order = np.lexsort((node, keys))
-    k, v = keys[order], node[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    hub = np.repeat(v[first], np.diff(np.append(first, len(k))))
-    far = hub != v
-    edges = np.unique(np.stack([v[far], hub[far]], 1), axis=0) if far.any() else np.zeros((0, 2), U)
-    inside = np.unique(edges)
-    found = []
-    for i, j in zip(at[:-1], at[1:], strict=True):
-        own = np.unique(node[i:j])
-        found.append(own[np.isin(own, inside, assume_unique=True)].tobytes())
-    blocks = [*table["block"].to_pylist(), STATS]
-    return pa.table(
-        {
-            "block": pa.array(blocks, pa.int32()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * len(blocks), pa.int32()),
-            "kind": pa.array([1] * len(blocks), pa.int32()),
-            "body": pa.array([*found, edges.tobytes()], pa.binary()),
-        }
-    )
+def _lists(num: int, den: int):
+    """Of the lists of a bucket: stars of candidate edges, and for each block the nodes of its that are in any.
+
+    A list in the order of sizes falls apart where sizes differ too much for a link: no pair across such a gap can have one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bodies = table["body"].to_pylist()
+        at, (keys, node, size) = merged(bodies, U, U, np.int32)
+        order = np.lexsort((node, size, keys))
+        k, v, n = keys[order], node[order], size[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (den * n[:-1] < num * n[1:]))) if len(k) else np.zeros(0, np.int64)
+        hub = np.repeat(v[first], np.diff(np.append(first, len(k))))
+        far = hub != v
+        edges = np.unique(np.stack([v[far], hub[far]], 1), axis=0) if far.any() else np.zeros((0, 2), U)
+        inside = np.unique(edges)
+        found = []
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            own = np.unique(node[i:j])
+            found.append(own[np.isin(own, inside, assume_unique=True)].tobytes())
+        blocks = [*table["block"].to_pylist(), STATS]
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int32()),
+                "bucket": pa.array([table["bucket"][0].as_py()] * len(blocks), pa.int32()),
+                "kind": pa.array([1] * len(blocks), pa.int32()),
+                "body": pa.array([*found, edges.tobytes()], pa.binary()),
+            }
+        )
+
+    return run
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,21 +254,25 @@ def _large_cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
     heads = heads.withColumn("p", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(PIVOTS)]))))
     heads = heads.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("part"), "p.node", "p.elements")
     near = members.select("cluster", "part", "node", "elements").unionByName(heads).dropDuplicates(["cluster", "part", "node"])
-    near = near.withColumn("side", F.lit(2))
-    first = materialize(near.groupBy("cluster", "part").applyInArrow(_verify(num, den), "u long, v long"), "links")
+    near = near.select(F.xxhash64("cluster", "part").alias("cluster"), "node", "elements", F.lit(2).alias("side"))
+    first = materialize(near.groupBy("cluster").applyInArrow(_verify(num, den), "u long, v long"), "links")
 
-    # The main group of a cluster needs no more comparisons within itself; the nodes outside it meet all other nodes, block by block.
+    # The main group of a cluster needs no more comparisons within itself; the nodes outside it meet all other nodes, block by block. A cluster may
+    # hold most of all nodes: what is known of it is joined to them by cluster and share, and a meeting of blocks has a key of its own.
     found = components(first)
-    state = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select("cluster", "n", "node", "elements", "root")
+    share = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / SHARE))
+    state = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select("cluster", "n", "node", "elements", "root", share.alias("share"))
     sizes = state.groupBy("cluster", "root").agg(F.count("*").alias("k"))
     main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
-    main = main.select("cluster", "main", F.ceil((F.col("all") - F.col("k")) / BLOCK).alias("outer"), F.ceil(F.col("all") / BLOCK).alias("parts")).where("outer > 0")
-    state = state.join(main, "cluster").withColumn("inner", F.col("root") == F.col("main"))
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("all") / SHARE) - 1)).alias("share")
+    main = main.where(F.col("all") > F.col("k")).select("cluster", shares, "main", F.ceil((F.col("all") - F.col("k")) / BLOCK).alias("outer"), F.ceil(F.col("all") / BLOCK).alias("parts"))
+    state = materialize(state.join(main, ["cluster", "share"]).withColumn("inner", F.col("root") == F.col("main")), "state")
     i = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("long")
     j = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("long")
     outer = state.where("NOT inner").select("cluster", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), "node", "elements", F.lit(0).alias("side"))
     other = state.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), j.alias("j"), "node", "elements", F.lit(1).alias("side"))
-    second = outer.unionByName(other).groupBy("cluster", "i", "j").applyInArrow(_verify(num, den), "u long, v long")
+    meeting = F.xxhash64("cluster", "i", "j").alias("cluster")
+    second = outer.unionByName(other).select(meeting, "node", "elements", "side").groupBy("cluster").applyInArrow(_verify(num, den), "u long, v long")
     return first.unionByName(second)
 
 
@@ -282,7 +296,7 @@ def nodes_and_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[D
     cut = boundary(sizes, num, den, max(1.0, total / max(1, stats["asked"] or 1)))
 
     posted = by_block(blocks, frequency, _post(k, num, den, cut, n), ASK)
-    lists = materialize(posted.groupBy("bucket").applyInArrow(_lists, ANSWER), "lists")
+    lists = materialize(posted.groupBy("bucket").applyInArrow(_lists(num, den), ANSWER), "lists")
     edges = lists.where(F.col("block") == STATS).mapInArrow(_edges, "u long, v long")
     clusters = components(edges)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
