@@ -24,6 +24,8 @@ LEAST_TERMS = 6
 #: Halvings at least; see halvings().
 CHAINS, HALVINGS = 12, 10
 BITS_PER_TERM = 64
+#: log2 of the bits that the set may have (32 MB): a lexicon of over 4 million terms, eight times what texts of 300 distinct terms can have, has fewer bits a term.
+MOST_LOG2 = 28
 
 
 def terms(text: Column) -> Column:
@@ -41,7 +43,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 def bit_set(lexicon: DataFrame) -> tuple[DataFrame, int]:
     """One row with the lexicon as an array of longs, and the log2 of its number of bits. A term's bit is given by its leading bits."""
-    log2 = max(12, (max(1, lexicon.count()) * BITS_PER_TERM - 1).bit_length())
+    log2 = min(MOST_LOG2, max(12, (max(1, lexicon.count()) * BITS_PER_TERM - 1).bit_length()))
     at = F.shiftrightunsigned("h", 64 - log2)
     longs = lexicon.groupBy(F.shiftrightunsigned(at, 6).alias("id")).agg(F.bit_or(_shifted(at)).alias("b"))
     every = lexicon.sparkSession.range(1 << (log2 - 6)).join(longs, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
@@ -98,17 +100,22 @@ def fingerprint(text: Column, bits: Column, log2: int, depth: int = HALVINGS) ->
     return named(named(terms(text), choose), of_sorted)
 
 
-def likeness(a: Column, b: Column, depth: int = HALVINGS) -> Column:
-    """Share of chains whose sparsest subset with a term of either has equal hashes. Where a chain has none, all terms count."""
-    equal = []
-    for c in range(CHAINS):
-        first = 2 + c * depth
-        pairs = F.arrays_zip(F.slice(a, first, depth).alias("x"), F.slice(b, first, depth).alias("y"))
-        either = F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull())
-        whole = F.struct(F.element_at(a, 1).alias("x"), F.element_at(b, 1).alias("y"))
-        last = F.when(F.size(either) > 0, F.element_at(either, -1)).otherwise(whole)
-        equal.append(F.transform(F.array(last), lambda p: p["x"].eqNullSafe(p["y"]).cast("double")))
-    return F.aggregate(F.concat(*equal), F.lit(0.0), lambda s, x: s + x) / CHAINS
+def tips(f: Column, depth: int = HALVINGS) -> Column:
+    """Of a fingerprint, an array of CHAINS longs: the sparsest subset of each chain that holds a term, as its place in the chain and its hash. Place 0 and the
+    hash of all terms stand for a chain without any; -1 for a text without terms."""
+
+    def tip(c: int) -> Column:
+        held = F.array_compact(F.slice(f, 2 + c * depth, depth))  # a chain's subsets shrink: the first ones hold terms
+        last = F.coalesce(F.try_element_at(held, F.lit(-1)), F.element_at(f, 1))
+        place = F.call_function("shiftleft", F.size(held).cast("long"), F.lit(32))
+        return F.coalesce(place.bitwiseOR(last.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), F.lit(-1).cast("long"))
+
+    return F.array(*[tip(c) for c in range(CHAINS)])
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints' tips: the share of chains whose sparsest subset with a term of either has equal hashes. Where a chain has none, all terms count."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(CHAINS))
 
 
 def as_text(f: Column) -> Column:
@@ -122,7 +129,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(keyed: DataFrame) -> DataFrame:
-    """(k, id0, prev_k, prev_id0, prev_chars): the document before each, by ascending id; the last one's is before the first.
+    """(k, id0, doc_id, prev_k, prev_id0, prev_chars): the document before each, by ascending id; the last one's is before the first.
 
     Ids are range-partitioned, and each range looks back over its own rows; its first row takes the last row of the range before. One row a range is all
     that meets in one place. Documents that agree in id and text are one; those without an id come last.
@@ -140,7 +147,7 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lag("end").over(parts), F.last("end").over(whole)).alias("end"))
     found = found.join(ends, "part").withColumn("before", F.coalesce("before", "end"))
-    return found.select("k", "id0", F.col("before.k").alias("prev_k"), F.col("before.id0").alias("prev_id0"), F.col("before.n").alias("prev_chars"))
+    return found.select("k", "id0", "doc_id", F.col("before.k").alias("prev_k"), F.col("before.id0").alias("prev_id0"), F.col("before.n").alias("prev_chars"))
 
 
 def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -149,34 +156,32 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
     The edited text has the last quarter of its code points replaced by as many first ones of the next document (ascending id, after the last the first).
     Null texts are empty. Rows that agree in id and text are one document in that order and give equal rows; documents without an id come last. A single
     document is its own next one. An empty table gives an empty result; other columns are ignored. Whole texts are shuffled once, by their keys, the quarter
-    that the document before needs once more, and fingerprints twice.
+    that the document before needs once more, and a fingerprint once. A text with fewer than LEAST_TERMS lexicon terms is taken with all its terms, so no text is left
+    out: short texts would else agree by the one term that they share.
     """
     d = _keyed(docs)
     bits, log2 = bit_set(lexicon(docs, band))
     depth = halvings(docs)
-    d = d.repartition(shuffle_partitions(docs.sparkSession), "k", "id0")
-    at = neighbours(_keyed(docs))
+    at = neighbours(d)
+    # Both uses of the texts read the same columns, so that they share one exchange.
+    d = d.select("k", "id0", "text").repartition(shuffle_partitions(docs.sparkSession), "k", "id0")
     one = d.join(at, ["k", "id0"]).dropDuplicates(["k", "id0"]).withColumn("bits", bits.scalar())
     one = one.withColumn("f", fingerprint(F.col("text"), F.col("bits"), log2, depth)).withColumn("next_start", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")))
-    # A text's fingerprint is computed once, for its own row and for the row before.
-    no_text, no_hashes = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
-    to_own = F.struct("k", "id0", no_text.alias("next_start"), no_hashes.alias("next_f"), "f")
-    to_previous = F.struct(F.col("prev_k").alias("k"), F.col("prev_id0").alias("id0"), "next_start", F.col("f").alias("next_f"), no_hashes.alias("f"))
-    told = one.select(F.inline(F.array(to_own, to_previous))).groupBy("k", "id0").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("next_start", "next_f", "f")])
+    # A text's fingerprint is computed once, for its own row; the row before needs no more of it than the tips.
+    no_text, no_hashes, no_tips, no_id = F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.lit(None).cast("array<bigint>"), F.lit(None).cast("long")
+    to_own = F.struct("k", "id0", F.col("doc_id").cast("long").alias("doc_id"), no_text.alias("next_start"), no_tips.alias("next_tips"), "f")
+    to_previous = F.struct(F.col("prev_k").alias("k"), F.col("prev_id0").alias("id0"), no_id.alias("doc_id"), "next_start", tips(F.col("f"), depth).alias("next_tips"), no_hashes.alias("f"))
+    told = one.select(F.inline(F.array(to_own, to_previous))).groupBy("k", "id0").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "next_start", "next_tips", "f")])
     n = F.char_length("text")
     both = d.join(told, ["k", "id0"]).withColumn("bits", bits.scalar())
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("next_start")))
     f = both.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "f",
-        fingerprint(F.col("edited"), F.col("bits"), log2, depth).alias("e"),
-        "next_f",
-    )
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(F.col("edited"), F.col("bits"), log2, depth).alias("e"), "next_tips",
+    )
+    f = f.withColumn("own_tips", tips(F.col("f"), depth))
     return f.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e"), depth).alias("near_edited"), likeness(F.col("f"), F.col("next_f"), depth).alias("near_next"),
+        likeness(F.col("own_tips"), tips(F.col("e"), depth)).alias("near_edited"), likeness(F.col("own_tips"), F.col("next_tips")).alias("near_next"),
     )
 
 

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm._exchange import ANSWER, ASK, answered, answers, by_block, in_blocks, merged, questions
-from strandflow.llm._graph import Forest, components
 from strandflow.llm._store import give_back, materialize, shuffle_partitions
 from strandflow.llm._words import mix64, read_words, window_hashes, windows_inside
+from strandflow.operators.graph import Forest, stars
 
 U = np.uint64
 #: Nodes of a candidate cluster that are verified in one place; larger clusters are cut in blocks of this size.
@@ -259,7 +259,7 @@ def _large_cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
     # The main group of a cluster needs no more comparisons within itself; the nodes outside it meet all other nodes, block by block. A cluster may
     # hold most of all nodes: what is known of it is joined to them by cluster and share, and a meeting of blocks has a key of its own.
-    found = components(first)
+    found = stars(first)
     share = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / SHARE))
     state = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select("cluster", "n", "node", "elements", "root", share.alias("share"))
     sizes = state.groupBy("cluster", "root").agg(F.count("*").alias("k"))
@@ -298,7 +298,7 @@ def nodes_and_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[D
     posted = by_block(blocks, frequency, _post(k, num, den, cut, n), ASK)
     lists = materialize(posted.groupBy("bucket").applyInArrow(_lists(num, den), ANSWER), "lists")
     edges = lists.where(F.col("block") == STATS).mapInArrow(_edges, "u long, v long")
-    clusters = components(edges)
+    clusters = stars(edges)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     counts = clusters.groupBy("root").agg(F.count("*").alias("n"))
     clusters = materialize(clusters.join(counts, "root").select("node", F.col("root").alias("cluster"), "n"), "clusters")
@@ -311,7 +311,7 @@ def nodes_and_components(docs: DataFrame, k: int, num: int, den: int) -> tuple[D
     large = members.where(F.col("n") > BLOCK)
     if not large.isEmpty():
         links = links.unionByName(_large_cluster_links(large, num, den))
-    return nodes, components(links)
+    return nodes, stars(links)
 
 
 def answered_frequency(blocks: DataFrame, k: int, n: int) -> DataFrame:
