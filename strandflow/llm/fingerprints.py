@@ -23,6 +23,7 @@ BAND = (0.0005, 0.1)
 LEAST_TERMS = 6
 #: Halvings at least; see halvings().
 CHAINS, HALVINGS = 12, 10
+HALF = CHAINS // 2
 BITS_PER_TERM = 64
 #: log2 of the bits that the set may have (32 MB): a lexicon of over 4 million terms, eight times what texts of 300 distinct terms can have, has fewer bits a term.
 MOST_LOG2 = 28
@@ -30,7 +31,7 @@ MOST_LOG2 = 28
 
 def terms(text: Column) -> Column:
     """Hashes of the text's distinct words, A-Z as a-z; empty for null and for texts without words."""
-    words = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     "), " ")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[\x20\x09-\x0D]+")
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
@@ -76,9 +77,8 @@ def fingerprint(text: Column, bits: Column, log2: int, depth: int = HALVINGS) ->
         return F.element_at(F.transform(F.array(value), then), 1)
 
     def chain(ts: Column, c: int, d: int) -> Column:
-        """Hashes of the chain's subsets from the d-th on, out of the terms of the one before."""
-        at = HALVINGS * c + d
-        kept = F.filter(ts, lambda t: F.call_function("getbit", t if at < 64 else F.xxhash64(t), F.lit(at % 64)) == 0)
+        """Hashes of the chain's subsets from the d-th on, out of the terms of the one before. A chain has HALVINGS bits of a term's hash for itself."""
+        kept = F.filter(ts, lambda t: t.bitwiseAND(F.lit(1 << (HALVINGS * (c % HALF) + d))) == 0)
         return named(kept, lambda k: (F.concat(F.array(hashed(k)), further(k, c)) if depth > HALVINGS else F.array(hashed(k))) if d + 1 == HALVINGS else F.concat(F.array(hashed(k)), chain(k, c, d + 1)))
 
     def further(k: Column, c: int) -> Column:
@@ -92,7 +92,9 @@ def fingerprint(text: Column, bits: Column, log2: int, depth: int = HALVINGS) ->
         return F.when(F.size(k) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), subset)).otherwise(F.array_repeat(F.lit(None).cast("int"), n))
 
     def of_sorted(ts: Column) -> Column:
-        return F.concat(F.array(hashed(ts)), *[chain(ts, c, 0) for c in range(CHAINS)])
+        # A hash has bits for half of the chains: the others look at hashes of the hashes, in the same order.
+        first = F.concat(F.array(hashed(ts)), *[chain(ts, c, 0) for c in range(HALF)])
+        return F.concat(first, named(F.transform(ts, lambda t: F.xxhash64(t)), lambda again: F.concat(*[chain(again, c, 0) for c in range(HALF, CHAINS)])))
 
     def choose(all_terms: Column) -> Column:
         return named(F.filter(all_terms, known), lambda own: F.sort_array(F.when(F.size(own) >= LEAST_TERMS, own).otherwise(all_terms)))
@@ -119,8 +121,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(f: Column) -> Column:
-    """The hashes in hexadecimal, joined by points; - for none."""
-    return F.array_join(F.transform(f, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")), F.lit("-"))), ".")
+    """The hashes as numbers, joined by points; - for none."""
+    return F.array_join(f.cast("array<string>"), ".", "-")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
