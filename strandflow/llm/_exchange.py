@@ -35,8 +35,8 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def in_blocks(docs: DataFrame, *columns: str, sent: float = 1.0) -> tuple[DataFrame, int]:
-    """docs (columns) after a block number, and the number of buckets. sent: bytes of questions for a byte of text, about.
+def in_blocks(docs: DataFrame, *columns: str, sent: float = 1.0, size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """docs (columns) after a block number, and the number of buckets. sent: bytes of questions for a byte of text, size: bytes of a block, about.
 
     Blocks and buckets are as many as the bytes of all texts ask for, so that either fits a task whatever the number of shuffle partitions, and at least two
     blocks (half a bucket) for each of these. The block number comes from the row's id and text, so that neither null ids nor one id's rows gather in a block; rows
@@ -45,7 +45,7 @@ def in_blocks(docs: DataFrame, *columns: str, sent: float = 1.0) -> tuple[DataFr
     """
     partitions = shuffle_partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(2 * partitions, -(-total // BLOCK_BYTES))
+    blocks = max(2 * partitions, -(-total // size))
     buckets = max(-(-partitions // 2), int(sent * total / BUCKET_BYTES))
     place = F.when(F.octet_length("text") > 0, F.lit(0)).otherwise(F.monotonically_increasing_id())
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), place), F.lit(blocks)).cast("int")

@@ -24,6 +24,8 @@ from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, r
 
 U = np.uint64
 DEPTH = 7  # a key fills 64 bits: two bytes spread, DEPTH - 2 older ones, the byte itself
+#: Bytes of text of a block, about: its keys, their counts and order take a hundred times as much.
+BLOCK_BYTES = 2 << 20
 END = mix64(np.array([0xE0D], U))[0]  # the end of a text, as a word
 STATS = -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -44,6 +46,10 @@ def _keys(text: np.ndarray) -> np.ndarray:
     return (key << U(8)) | b[DEPTH:]
 
 
+#: The key of an empty text. Every block asks about it, for rows without text have no fixed block.
+EMPTY = _keys(np.zeros(DEPTH + 1, np.uint8))
+
+
 def byte_keys(column: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, keys, where each row's keys begin and end) some rows or a piece of a long row at a time. A text is
     preceded by DEPTH and ended by one zero byte; A-Z count as a-z."""
@@ -312,7 +318,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     result. Without any training text all tokens are unknown and every bit costs one bit. Other columns are ignored.
     """
     d = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=5.0)
+    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=5.0, size=BLOCK_BYTES)
 
     def ask_words(block: int, rows: pa.Table, _):
         keys, counts = _word_keys(rows, _learn(rows))
@@ -320,8 +326,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
 
     def ask_keys(block: int, rows: pa.Table, _):
         """Every key of the block with its count in training texts."""
-        # The end of an empty text is always asked for: rows without text have no fixed block.
-        learn, parts = _learn(rows), [(_keys(np.zeros(DEPTH + 1, np.uint8)), np.zeros(1, np.int64))]
+        learn, parts = _learn(rows), [(EMPTY, np.zeros(1, np.int64))]
         for first, keys, at in byte_keys(rows["text"]):
             own, number = numbered(keys)
             parts.append((own, np.bincount(number, np.repeat(learn[first : first + len(at) - 1], np.diff(at)), len(own)).astype(np.int64)))
@@ -354,7 +359,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
             n_known += np.bincount(row, known[at] > 0, m).astype(np.int64)
             n_tokens += np.bincount(row, minlength=m)
         pieces = [(first, *numbered(k), at) for first, k, at in byte_keys(rows["text"])]
-        keys = distinct(np.concatenate([own for _, own, _, _ in pieces]))
+        keys = distinct(np.concatenate([EMPTY, *(own for _, own, _, _ in pieces)]))
         code = np.frombuffer(answers(reply, 1), np.float32)
         score, size = np.zeros(m), np.zeros(m, np.int64)
         for first, own, number, at in pieces:
