@@ -25,7 +25,7 @@ from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, r
 U = np.uint64
 DEPTH = 7  # a key fills 64 bits: two bytes spread, DEPTH - 2 older ones, the byte itself
 #: Bytes of text of a block, about: its keys, their counts and order take a hundred times as much.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 END = mix64(np.array([0xE0D], U))[0]  # the end of a text, as a word
 STATS = -1
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -89,42 +89,66 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return k[first], np.add.reduceat(c, first)
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys byte by byte, leading bytes of all keys first: these compress to little."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :].T).tobytes()
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted distinct keys with counts as a tree: of each key only the bytes from the first one on that differs from the key before, level by level, with a bit that
+    tells where a new parent begins; counts byte by byte. All compressed."""
+    differ = keys[1:] ^ keys[:-1]
+    levels, bits, above = [], [], None
+    for d in range(8):
+        new = np.append(True, (differ >> U(8 * (7 - d))) != 0) if len(keys) else np.zeros(0, bool)
+        levels.append((keys[new] >> U(8 * (7 - d))).astype(np.uint8))
+        if above is not None:
+            bits.append(np.packbits(above[new]))
+        above = new
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
+    planes = counts.astype(kind).view(np.uint8).reshape(len(keys), kind().itemsize).T
+    head = np.array([planes.shape[0], *map(len, levels)], np.int64)
+    raw = b"".join(x.tobytes() for x in (head, *levels, *bits, planes))
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(_plain(body), np.uint8)
+    width, *sizes = raw[:72].view(np.int64).tolist()
+    at, keys, levels = 72, np.zeros(1, U), []
+    for n in sizes:
+        levels.append(raw[at : at + n])
+        at += n
+    for d, n in enumerate(sizes):
+        if d:
+            size = (n + 7) // 8
+            keys = keys[np.cumsum(np.unpackbits(raw[at : at + size], count=n)) - 1] if n else np.zeros(0, U)
+            at += size
+        keys = (keys << U(8)) | levels[d] if d else levels[0].astype(U)
+    planes = raw[at : at + width * sizes[-1]].reshape(width, sizes[-1])
+    return keys, np.ascontiguousarray(planes.T).view(np.uint32 if width == 4 else U).ravel()
+
+
+def _plain(body: bytes) -> bytes:
+    return pa.decompress(memoryview(body)[8:], int(np.frombuffer(body, np.int64, 1)[0]), "zstd", asbytes=True)
+
+
+def _packed_codes(code: np.ndarray) -> bytes:
+    """Numbers of 32 bits byte by byte, compressed without loss."""
+    raw = code.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _codes(reply: pa.Table) -> np.ndarray:
+    """A block's code lengths in the order of its keys."""
+    t = reply.select(["bucket", "kind", "body"]).to_pydict()
+    found = sorted((b, x) for b, k, x in zip(t["bucket"], t["kind"], t["body"], strict=True) if k == 1)
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(_plain(x), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for _, x in found])
 
 
 def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
     edges = np.array([-(-(b << 16) // n) for b in range(n)], U) << _PLACE
     cut = np.append(np.searchsorted(keys, edges), len(keys))
     rows = [b for b in range(n) if cut[b] < cut[b + 1]]
-    bodies = [
-        np.int64(cut[b + 1] - cut[b]).tobytes() + _planes(keys[cut[b] : cut[b + 1]]) + counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()
-        for b in rows
-    ]
+    bodies = [packed(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]) for b in rows]
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "block", "body"])
 
 
-class _Body:
-    """Keys and counts (in 4 or 8 bytes) as they were sent: only a part that is asked for becomes an array of keys."""
-
-    def __init__(self, body: pa.Buffer):
-        self.n = n = int(np.frombuffer(body, np.int64, 1)[0])
-        at = 8 + n * (DEPTH + 1)
-        self.planes = np.frombuffer(body, np.uint8, n * (DEPTH + 1), 8).reshape(DEPTH + 1, n)
-        self.counts = np.frombuffer(body, np.uint32 if len(body) == at + 4 * n else np.uint64, n, at)
-        self.ends = self.planes[0].astype(np.uint16) << 8 | self.planes[1]  # the contexts' last two bytes, spread
-
-    def part(self, at: slice) -> tuple[np.ndarray, np.ndarray, slice]:
-        out = np.zeros((at.stop - at.start, 8), np.uint8)
-        out[:, 7 - DEPTH :] = self.planes[:, at].T
-        return out.view(">u8").ravel().astype(U), self.counts[at], at
-
-
-def _opened(column: pa.ChunkedArray) -> list[_Body]:
-    return [_Body(x.as_buffer()) for x in column]
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift to x + 8; exact to about 1e-13."""
     shift = np.ones_like(x)
@@ -134,18 +158,28 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(shift)
 
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of any order of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - 1.1447298858494002
+#: Log-gamma at k + 1/2 and k + 1 for counts k below this.
+_SMALL = 1 << 12
+_HALVES, _WHOLES = (_log_gamma(np.arange(_SMALL) + x) for x in (0.5, 1.0))
+
 
+def _of_count(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    large = np.flatnonzero(n >= _SMALL)
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    if len(large):
+        out[large] = _log_gamma(n[large] + more)
+    return out
 
-def _stop_weight(own: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Posterior weight of a node's own estimate against its children's."""
-    return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of any order of a zeros and b ones (whole numbers)."""
+    return _of_count(a, _HALVES, 0.5) + _of_count(b, _HALVES, 0.5) - _of_count(a + b, _WHOLES, 1.0) - 1.1447298858494002
 
 
-def _weighted(own: np.ndarray, below: np.ndarray) -> np.ndarray:
-    return np.logaddexp(own, below) - np.log(2)
+def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior weight of nodes' own estimates against their children's, and the log of the even mixture of both."""
+    e = np.exp(-np.abs(own - below))
+    return np.where(own >= below, 1.0, e) / (1 + e), np.maximum(own, below) + np.log1p(e) - 0.6931471805599453
 
 
 def _subtrees(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -157,33 +191,37 @@ def _subtrees(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray
     context = keys >> U(8)
     last = ((context >> U(8 * (DEPTH - 2))) * U(_GATHER) & U(0xFFFF)).astype(np.int64) >> 8
     for place in range(8):
-        prefix = symbol >> (8 - place)
-        order = np.argsort(prefix.astype(np.uint8), kind="stable")
+        prefix = (symbol >> (8 - place)).astype(np.uint8)
+        order = np.argsort(prefix, kind="stable")
         p, c, ctx = prefix[order], counts[order].astype(float), context[order]
-        bit = (symbol[order] >> (7 - place)) & 1
-        ones = c * bit
-        new_prefix = np.append(True, p[1:] != p[:-1])
-        q = group = weighted = None
-        for d in range(DEPTH, 1, -1):
+        bit = (symbol[order] >> (7 - place)) & 1 == 1
+        # Up the tree: nodes of each depth from those below it. Rows are in the order of prefix and context.
+        new = np.append(True, (p[1:] != p[:-1]) | (ctx[1:] != ctx[:-1]))
+        first = np.flatnonzero(new)
+        row_node = np.cumsum(new) - 1
+        n1 = np.add.reduceat(np.where(bit, c, 0.0), first)
+        n0 = np.add.reduceat(c, first) - n1
+        p, ctx = p[first], ctx[first]
+        weighted = log_kt(n0, n1)
+        levels = [(None, (n1 + 0.5) / (n0 + n1 + 1), None)]  # weight, probability of a one, and the parent of each node below
+        for d in range(DEPTH - 1, 1, -1):
             part = ctx >> U(8 * (DEPTH - d))
-            new = new_prefix.copy()
-            new[1:] |= part[1:] != part[:-1]
+            new = np.append(True, (p[1:] != p[:-1]) | (part[1:] != part[:-1]))
             first = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            n1 = np.add.reduceat(ones, first)
-            n0 = np.add.reduceat(c, first) - n1
-            own = log_kt(n0, n1)
-            kt = (np.where(bit, n1[of], n0[of]) + 0.5) / (n0 + n1 + 1)[of]
-            if d == DEPTH:
-                q, weighted = kt, own
-            else:
-                below = np.bincount(of[group], weighted, len(first))
-                w = _stop_weight(own, below)[of]
-                q = w * kt + (1 - w) * q
-                weighted = _weighted(own, below)
-            group = first
-        node = (1 << place) + p
-        yield order, last[order], node, bit, q, (last[order][first] * 256 + node[first], n0, n1, weighted)
+            n0, n1, below = np.add.reduceat(n0, first), np.add.reduceat(n1, first), np.add.reduceat(weighted, first)
+            weight, weighted = _mixed(log_kt(n0, n1), below)
+            levels.append((weight, (n1 + 0.5) / (n0 + n1 + 1), np.cumsum(new) - 1))
+            p, ctx = p[first], ctx[first]
+        # Down again: what stops above a node gives so much to a one, and leaves so much to the node.
+        one, left = 0.0, 1.0
+        for w, kt, parent in levels[:0:-1]:
+            one, left = (one + left * w * kt)[parent], (left * (1 - w))[parent]
+        one = one + left * levels[0][1]
+        q = np.where(bit, one[row_node], 1 - one[row_node])
+        node = (1 << place) + prefix[order].astype(np.int64)
+        top = (1 << place) + p.astype(np.int64)
+        last2 = ((ctx >> U(8 * (DEPTH - 2))) * U(_GATHER) & U(0xFFFF)).astype(np.int64) >> 8
+        yield order, last[order], node, bit, q, (last2 * 256 + top, n0, n1, weighted)
 
 
 class _Top:
@@ -194,11 +232,11 @@ class _Top:
         if rows:
             at = np.array([r[0] for r in rows])
             n0[at], n1[at], below[at] = (np.array([r[i] for r in rows], float) for i in (1, 2, 3))
-        own = log_kt(n0, n1)
-        self.weight1, self.one1 = _stop_weight(own, below), (n1 + 0.5) / (n0 + n1 + 1)
-        n0, n1 = n0.reshape(256, 256).sum(0), n1.reshape(256, 256).sum(0)
-        below = _weighted(own, below).reshape(256, 256).sum(0)
-        self.weight0, self.one0 = _stop_weight(log_kt(n0, n1), below), (n1 + 0.5) / (n0 + n1 + 1)
+        self.weight1, weighted = _mixed(log_kt(n0, n1), below)
+        self.one1 = (n1 + 0.5) / (n0 + n1 + 1)
+        n0, n1, below = (x.reshape(256, 256).sum(0) for x in (n0, n1, weighted))
+        self.weight0, _ = _mixed(log_kt(n0, n1), below)
+        self.one0 = (n1 + 0.5) / (n0 + n1 + 1)
 
     def log10(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
@@ -212,67 +250,64 @@ class _Top:
 
 
 _MODEL = "bucket int, node int, n0 double, n1 double, below double, body binary"
-#: Keys of a bucket that are worked on at once, about; they are cut where the last two bytes of contexts change.
+#: Keys of a bucket that are worked on at once, about.
 SLICE = 400_000
 
 
-def _slices(bodies: list[_Body]) -> Iterator[list[tuple[np.ndarray, np.ndarray, slice]]]:
-    """Keys and counts of all bodies, by ranges of the contexts' last two bytes, with where they lie in each body."""
-    total = sum(b.n for b in bodies)
-    low = min((int(b.ends[0]) for b in bodies if b.n), default=0)
-    high = max((int(b.ends[-1]) for b in bodies if b.n), default=0) + 1
-    n = max(1, min(high - low, -(-total // SLICE)))
-    edges = np.array([low + (high - low) * i // n for i in range(1, n)], np.uint16)
-    cuts = [[0, *np.searchsorted(b.ends, edges).tolist(), b.n] for b in bodies]
-    for i in range(n):
-        yield [b.part(slice(c[i], c[i + 1])) for b, c in zip(bodies, cuts, strict=True)]
+def _slices(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (from, to) of ranges of the sorted keys, cut where the contexts' last two bytes change."""
+    place = keys >> _PLACE
+    new = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(keys):
+        to = int(new[max(np.searchsorted(new, at + SLICE, "right") - 1, np.searchsorted(new, at, "right"))])
+        yield keys[at], at, to
+        at = to
 
 
 def _grow(table: pa.Table) -> pa.Table:
-    """A bucket's part of the model: its keys with their counts in training texts, a row a slice, and its sums for depth 1."""
-    parts, sums = [], []
-    for piece in _slices(_opened(table["body"])):
-        keys, counts = _counted([(k[c > 0], c[c > 0].astype(np.int64)) for k, c, _ in piece])
-        kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
-        parts.append(np.int64(len(keys)).tobytes() + _planes(keys) + counts.astype(kind).tobytes())
-        found = [s for *_, s in _subtrees(keys, counts)] if len(keys) else []
-        if found:
-            node, *values = (np.concatenate([s[i] for s in found]) for i in range(4))
-            at, inverse = np.unique(node, return_inverse=True)
-            sums.append((at, *(np.bincount(inverse, x, len(at)) for x in values)))
-    at, n0, n1, below = (np.concatenate([s[i] for s in sums] or [np.zeros(0)]) for i in range(4))
+    """A bucket's part of the model: its keys with their counts in training texts, and its sums for depth 1."""
+    parts = []
+    for body in table["body"].to_pylist():
+        keys, counts = unpacked(body)
+        seen = counts > 0
+        parts.append((keys[seen], counts[seen].astype(np.int64)))
+    keys, counts = _counted(parts)
+    del parts
+    sums = []
+    for _, i, j in _slices(keys):
+        found = [x for *_, x in _subtrees(keys[i:j], counts[i:j])]
+        node, *values = (np.concatenate([x[k] for x in found]) for k in range(4))
+        at, inverse = np.unique(node, return_inverse=True)
+        sums.append((at, *(np.bincount(inverse, x, len(at)) for x in values)))
+    at, n0, n1, below = (np.concatenate([x[k] for x in sums] or [np.zeros(0)]) for k in range(4))
+    body = packed(keys, counts)
     give_back()
     return pa.table(
         {
-            "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + len(parts)), pa.int32()),
-            "node": pa.array([*at.astype(int).tolist(), *[STATS] * len(parts)], pa.int32()),
-            **{k: np.append(x, np.zeros(len(parts))) for k, x in (("n0", n0), ("n1", n1), ("below", below))},
-            "body": pa.array([None] * len(at) + parts, pa.binary()),
+            "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + 1), pa.int32()),
+            "node": pa.array([*at.astype(int).tolist(), STATS], pa.int32()),
+            **{k: np.append(x, 0.0) for k, x in (("n0", n0), ("n1", n1), ("below", below))},
+            "body": pa.array([None] * len(at) + [body], pa.binary()),
         }
     )
 
 
 def _scored(top: _Top):
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        known, bodies = _opened(model["body"]), _opened(asked["body"])
-        out = [np.zeros(b.n, np.float32) for b in bodies]
-        for piece in _slices([*known, *bodies]):
-            seen, piece = piece[: len(known)], piece[len(known) :]
-            keys = distinct(np.concatenate([np.zeros(0, U), *(k for k, _, _ in seen), *(k for k, _, _ in piece)]))
-            counts = np.zeros(len(keys))
-            for k, c, _ in seen:
-                counts[np.searchsorted(keys, k)] = c
-            value = top.log10(keys, counts).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
-            for o, (k, _, at) in zip(out, piece, strict=True):
-                o[at] = value[np.searchsorted(keys, k)]
+        known, counts = _counted([unpacked(x) for x in model["body"].to_pylist()])
+        wanted = [unpacked(x)[0] for x in asked["body"].to_pylist()]
+        keys = distinct(np.concatenate([known, *wanted]))
+        n = np.zeros(len(keys))
+        n[np.searchsorted(keys, known)] = counts
+        value = np.zeros(len(keys), np.float32)
+        for _, i, j in _slices(keys):
+            value[i:j] = top.log10(keys[i:j], n[i:j])
+        bodies = [_packed_codes(value[np.searchsorted(keys, k)]) for k in wanted]
+        del known, counts, wanted, keys, n, value
         give_back()
         return pa.table(
-            {
-                "block": asked["block"],
-                "bucket": asked["bucket"],
-                "kind": pa.array([1] * len(out), pa.int32()),
-                "body": pa.array([o.tobytes() for o in out], pa.binary()),
-            }
+            {"block": asked["block"], "bucket": asked["bucket"], "kind": pa.array([1] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())}
         )
 
     return run
@@ -318,7 +353,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     result. Without any training text all tokens are unknown and every bit costs one bit. Other columns are ignored.
     """
     d = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=5.0, size=BLOCK_BYTES)
+    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=3.0, size=BLOCK_BYTES)
 
     def ask_words(block: int, rows: pa.Table, _):
         keys, counts = _word_keys(rows, _learn(rows))
@@ -360,7 +395,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
             n_tokens += np.bincount(row, minlength=m)
         pieces = [(first, *numbered(k), at) for first, k, at in byte_keys(rows["text"])]
         keys = distinct(np.concatenate([EMPTY, *(own for _, own, _, _ in pieces)]))
-        code = np.frombuffer(answers(reply, 1), np.float32)
+        code = _codes(reply)
         score, size = np.zeros(m), np.zeros(m, np.int64)
         for first, own, number, at in pieces:
             total = np.add.reduceat(code[np.searchsorted(keys, own)][number].astype(float), at[:-1])
