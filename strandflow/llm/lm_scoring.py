@@ -5,8 +5,9 @@ ones over the training texts; its Krichevsky-Trofimov estimate is weighted again
 depths are mixed. Texts are scored with the final counts and weights.
 
 The tree is cut below its second level: the nodes of contexts that end in the same two bytes lie in one bucket. What lies above, 65,535 nodes
-at most, is summed from all buckets and sent back to them. Blocks of documents send each distinct context and byte once, and get its code length.
-Word counts for the unigram base travel in the same way.
+at most, is summed from all buckets and sent back to them. Blocks of documents send each distinct context and byte once, and get its code length, to
+16 significant bits. Word counts for the unigram base travel in the same way. A bucket's part of the model is one row that also holds what the bucket was
+asked, so that scoring needs no second shuffle of the questions.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm._exchange import ANSWER, ASK, answers, by_block, in_blocks, merged, questions
-from strandflow.llm._store import give_back, materialize
+
+from strandflow.llm._exchange import ANSWER, answers, by_block, in_blocks, merged, questions
+from strandflow.llm._store import give_back, new_dir, release_shuffles
 from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, read_words
 
 U = np.uint64
 DEPTH = 7  # a key fills 64 bits: two bytes spread, DEPTH - 2 older ones, the byte itself
-#: Bytes of text of a block, about: its keys, their counts and order take a hundred times as much.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block, about. Half as large blocks ask about a third more keys in all.
+BLOCK_BYTES = 8 << 20
 END = mix64(np.array([0xE0D], U))[0]  # the end of a text, as a word
-STATS = -1
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: The last two bytes of a context are spread over the buckets by multiplication with an odd number.
@@ -89,8 +90,8 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return k[first], np.add.reduceat(c, first)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys with counts as a tree: of each key only the bytes from the first one on that differs from the key before, level by level, with a bit that
+def packed(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Sorted distinct keys, with counts or without, as a tree: of each key only the bytes from the first one on that differs from the key before, level by level, with a bit that
     tells where a new parent begins; counts byte by byte. All compressed."""
     differ = keys[1:] ^ keys[:-1]
     levels, bits, above = [], [], None
@@ -100,14 +101,16 @@ def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
         if above is not None:
             bits.append(np.packbits(above[new]))
         above = new
-    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
-    planes = counts.astype(kind).view(np.uint8).reshape(len(keys), kind().itemsize).T
+    planes = np.zeros((0, len(keys)), np.uint8)
+    if counts is not None:
+        kind = np.uint32 if counts.max(initial=0) < 1 << 32 else U
+        planes = counts.astype(kind).view(np.uint8).reshape(len(keys), kind().itemsize).T
     head = np.array([planes.shape[0], *map(len, levels)], np.int64)
     raw = b"".join(x.tobytes() for x in (head, *levels, *bits, planes))
     return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray | None]:
     raw = np.frombuffer(_plain(body), np.uint8)
     width, *sizes = raw[:72].view(np.int64).tolist()
     at, keys, levels = 72, np.zeros(1, U), []
@@ -121,6 +124,8 @@ def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
             at += size
         keys = (keys << U(8)) | levels[d] if d else levels[0].astype(U)
     planes = raw[at : at + width * sizes[-1]].reshape(width, sizes[-1])
+    if not width:
+        return keys, None
     return keys, np.ascontiguousarray(planes.T).view(np.uint32 if width == 4 else U).ravel()
 
 
@@ -129,8 +134,9 @@ def _plain(body: bytes) -> bytes:
 
 
 def _packed_codes(code: np.ndarray) -> bytes:
-    """Numbers of 32 bits byte by byte, compressed without loss."""
-    raw = code.view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers of 32 bits, rounded to 16 significant ones, byte by byte and compressed."""
+    rounded = (code.view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+    raw = rounded.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
     return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -138,7 +144,14 @@ def _codes(reply: pa.Table) -> np.ndarray:
     """A block's code lengths in the order of its keys."""
     t = reply.select(["bucket", "kind", "body"]).to_pydict()
     found = sorted((b, x) for b, k, x in zip(t["bucket"], t["kind"], t["body"], strict=True) if k == 1)
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(_plain(x), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for _, x in found])
+    return np.concatenate([_opened_codes(x) for _, x in found])
+
+
+def _opened_codes(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(_plain(body), np.uint8).reshape(3, -1)
+    raw = np.zeros((planes.shape[1], 4), np.uint8)
+    raw[:, 1:] = planes.T
+    return raw.view(np.float32).ravel()
 
 
 def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -149,6 +162,25 @@ def _key_questions(block: int, keys: np.ndarray, n: int, counts: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "block", "body"])
 
 
+#: Kinds of rows: of questions the first two, of what buckets learn all: answers about words; sums over words; sums for depth 1; parts of the model with what was asked.
+WORDS, KEYS, TOTALS, NODES = range(4)
+_ASKED = "kind int, bucket int, block int, body binary"
+_LEARNED = "kind int, bucket int, block int, node int, n0 double, n1 double, below double, body binary, blocks array<int>, bodies array<binary>"
+_TYPES = {
+    "kind": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "node": pa.int32(), "n0": pa.float64(), "n1": pa.float64(), "below": pa.float64(), "body": pa.binary(),
+    "blocks": pa.list_(pa.int32()), "bodies": pa.list_(pa.binary()),
+}
+
+
+def _of_kind(kind: int, asked: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(asked.num_rows, kind, np.int32)), *asked.columns], names=["kind", *asked.schema.names])
+
+
+def _learned(kind: int, bucket: int, n: int, **columns) -> pa.Table:
+    columns |= {"kind": np.full(n, kind, np.int32), "bucket": np.full(n, bucket, np.int32)}
+    return pa.Table.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in _TYPES.items()], names=list(_TYPES))
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift to x + 8; exact to about 1e-13."""
     shift = np.ones_like(x)
@@ -249,7 +281,6 @@ class _Top:
         return out
 
 
-_MODEL = "bucket int, node int, n0 double, n1 double, below double, body binary"
 #: Keys of a bucket that are worked on at once, about.
 SLICE = 400_000
 
@@ -265,11 +296,12 @@ def _slices(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
-def _grow(table: pa.Table) -> pa.Table:
-    """A bucket's part of the model: its keys with their counts in training texts, and its sums for depth 1."""
-    parts = []
-    for body in table["body"].to_pylist():
+def _grow(bucket: int, blocks: list[int], bodies: list[bytes]) -> Iterator[pa.Table]:
+    """A bucket's part of the model, its keys with their counts in training texts, next to the keys of all questions; and its sums for depth 1."""
+    parts, asked = [], []
+    for body in bodies:
         keys, counts = unpacked(body)
+        asked.append(packed(keys))
         seen = counts > 0
         parts.append((keys[seen], counts[seen].astype(np.int64)))
     keys, counts = _counted(parts)
@@ -281,34 +313,28 @@ def _grow(table: pa.Table) -> pa.Table:
         at, inverse = np.unique(node, return_inverse=True)
         sums.append((at, *(np.bincount(inverse, x, len(at)) for x in values)))
     at, n0, n1, below = (np.concatenate([x[k] for x in sums] or [np.zeros(0)]) for k in range(4))
-    body = packed(keys, counts)
-    give_back()
-    return pa.table(
-        {
-            "bucket": pa.array([table["bucket"][0].as_py()] * (len(at) + 1), pa.int32()),
-            "node": pa.array([*at.astype(int).tolist(), STATS], pa.int32()),
-            **{k: np.append(x, 0.0) for k, x in (("n0", n0), ("n1", n1), ("below", below))},
-            "body": pa.array([None] * len(at) + [body], pa.binary()),
-        }
-    )
+    yield _learned(NODES, bucket, len(at), node=at.astype(np.int32), n0=n0, n1=n1, below=below)
+    yield _learned(KEYS, bucket, 1, body=[packed(keys, counts)], blocks=[blocks], bodies=[asked])
 
 
 def _scored(top: _Top):
-    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        known, counts = _counted([unpacked(x) for x in model["body"].to_pylist()])
-        wanted = [unpacked(x)[0] for x in asked["body"].to_pylist()]
-        keys = distinct(np.concatenate([known, *wanted]))
-        n = np.zeros(len(keys))
-        n[np.searchsorted(keys, known)] = counts
-        value = np.zeros(len(keys), np.float32)
-        for _, i, j in _slices(keys):
-            value[i:j] = top.log10(keys[i:j], n[i:j])
-        bodies = [_packed_codes(value[np.searchsorted(keys, k)]) for k in wanted]
-        del known, counts, wanted, keys, n, value
-        give_back()
-        return pa.table(
-            {"block": asked["block"], "bucket": asked["bucket"], "kind": pa.array([1] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())}
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                known, counts = unpacked(b["body"][row].as_py())
+                wanted = [unpacked(x)[0] for x in b["bodies"][row].as_py()]
+                keys = distinct(np.concatenate([known, *wanted]))
+                n = np.zeros(len(keys))
+                n[np.searchsorted(keys, known)] = counts
+                value = np.zeros(len(keys), np.float32)
+                for _, i, j in _slices(keys):
+                    value[i:j] = top.log10(keys[i:j], n[i:j])
+                bodies = [_packed_codes(value[np.searchsorted(keys, k)]) for k in wanted]
+                del known, counts, wanted, keys, n, value
+                give_back()
+                m = len(bodies)
+                columns = [pa.array(b["blocks"][row].as_py(), pa.int32()), pa.array([b["bucket"][row].as_py()] * m, pa.int32()), pa.array([1] * m, pa.int32()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "kind", "body"])
 
     return run
 
@@ -323,22 +349,25 @@ def _word_keys(rows: pa.Table, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _counted(parts)
 
 
-def _word_totals(table: pa.Table) -> pa.Table:
+def _word_totals(bucket: int, blocks: list[int], bodies: list[bytes]) -> Iterator[pa.Table]:
     """Answers with words' training counts, and the bucket's sums: words in training texts, distinct ones."""
-    at, (keys, n) = merged(table["body"].to_pylist(), U, np.uint32)
+    at, (keys, n) = merged(bodies, U, np.uint32)
     _, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, n)
     c = total[inverse].astype(np.int64)
-    bodies = [c[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-    blocks = [*table["block"].to_pylist(), STATS]
-    return pa.table(
-        {
-            "block": pa.array(blocks, pa.int32()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * len(blocks), pa.int32()),
-            "kind": pa.array([0] * len(blocks), pa.int32()),
-            "body": pa.array([*bodies, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()], pa.binary()),
-        }
-    )
+    yield _learned(WORDS, bucket, len(blocks), block=blocks, body=[c[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+    yield _learned(TOTALS, bucket, 1, body=[np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()])
+
+
+def _bucket(table: pa.Table) -> pa.Table:
+    """All that a bucket learns from the questions that reach it."""
+    bucket, kind, out = table["bucket"][0].as_py(), table["kind"].to_numpy(), []
+    for k, learn in ((WORDS, _word_totals), (KEYS, _grow)):
+        own = table.take(pa.array(np.flatnonzero(kind == k)))
+        if own.num_rows:
+            out += learn(bucket, own["block"].to_pylist(), own["body"].to_pylist())
+    give_back()
+    return pa.concat_tables(out)
 
 
 def _learn(rows: pa.Table) -> np.ndarray:
@@ -353,31 +382,33 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     result. Without any training text all tokens are unknown and every bit costs one bit. Other columns are ignored.
     """
     d = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=3.0, size=BLOCK_BYTES)
-
-    def ask_words(block: int, rows: pa.Table, _):
-        keys, counts = _word_keys(rows, _learn(rows))
-        yield questions(block, keys, n, counts.astype(np.uint32))
-
-    def ask_keys(block: int, rows: pa.Table, _):
-        """Every key of the block with its count in training texts."""
-        learn, parts = _learn(rows), [(EMPTY, np.zeros(1, np.int64))]
+    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=1.5, size=BLOCK_BYTES)
+
+    def ask(block: int, rows: pa.Table, _):
+        """Every word and every key of the block with its count in training texts."""
+        learn = _learn(rows)
+        keys, counts = _word_keys(rows, learn)
+        yield _of_kind(WORDS, questions(block, keys, n, counts.astype(np.uint32)))
+        parts = [(EMPTY, np.zeros(1, np.int64))]
         for first, keys, at in byte_keys(rows["text"]):
             own, number = numbered(keys)
             parts.append((own, np.bincount(number, np.repeat(learn[first : first + len(at) - 1], np.diff(at)), len(own)).astype(np.int64)))
+            if len(parts) > 4:
+                parts = [_counted(parts)]
         keys, counts = _counted(parts)
-        yield _key_questions(block, keys, n, counts)
-
-    words = by_block(blocks, None, ask_words, ASK).groupBy("bucket").applyInArrow(_word_totals, ANSWER)
-    words = materialize(words, "words")
-    stats = words.where(F.col("block") == STATS).select("body").toArrow()["body"].to_pylist()
+        del parts
+        yield _of_kind(KEYS, _key_questions(block, keys, n, counts))
+
+    spark, path = docs.sparkSession, new_dir(docs.sparkSession, "model")
+    by_block(blocks, None, ask, _ASKED).groupBy("bucket").applyInArrow(_bucket, _LEARNED).write.partitionBy("kind").parquet(path)
+    release_shuffles(spark)
+    model = spark.read.schema(_LEARNED).parquet(path)
+    stats = model.where(F.col("kind") == TOTALS).select("body").toArrow()["body"].to_pylist()
     train_tokens, train_words = (int(x) for x in np.sum([np.frombuffer(b, np.int64) for b in stats] or [[0, 0]], axis=0))
-
-    asked = materialize(by_block(blocks, None, ask_keys, ASK), "keys")
-    model = materialize(asked.groupBy("bucket").applyInArrow(_grow, _MODEL), "model")
-    rows = model.where(F.col("node") != STATS).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
+    rows = model.where(F.col("kind") == NODES).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     top = _Top(rows)
-    codes = asked.groupBy("bucket").cogroup(model.where(F.col("node") == STATS).groupBy("bucket")).applyInArrow(_scored(top), ANSWER)
+    told = model.where(F.col("kind") == WORDS).select("block", "bucket", F.lit(0).alias("kind"), "body")
+    told = told.unionByName(model.where(F.col("kind") == KEYS).select("bucket", "body", "blocks", "bodies").mapInArrow(_scored(top), ANSWER))
     floor = np.log10(train_tokens + 0.1 * (train_words + 1)) if train_tokens else np.log10(0.1)
 
     def tell(_, rows: pa.Table, reply: pa.Table):
@@ -407,7 +438,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         )
 
     return by_block(
-        blocks, words.where(F.col("block") != STATS).unionByName(codes), tell,
+        blocks, told, tell,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double",
     )
 
