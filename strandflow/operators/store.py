@@ -24,10 +24,28 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: While this is set, Spark deletes a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Write df as Parquet, in folders by the columns named. What has been written needs its shuffles no longer, so their files go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
