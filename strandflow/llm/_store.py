@@ -7,9 +7,9 @@ import ctypes
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from strandflow.operators.store import discard, materialize, new_dir, shared_dir
+from strandflow.operators.store import discard, materialize, new_dir, shared_dir, write
 
-__all__ = ["discard", "give_back", "materialize", "new_dir", "release_shuffles", "shared_dir", "shuffle_partitions"]
+__all__ = ["discard", "give_back", "materialize", "new_dir", "shared_dir", "shuffle_partitions", "write"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -23,8 +23,3 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # a C library without it
         pass
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Disk of shuffles whose result has been written is free at once: executors delete a shuffle's files when the driver collects its plan."""
-    spark.sparkContext._jvm.System.gc()

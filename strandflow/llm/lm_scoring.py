@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 
 from strandflow.llm._exchange import ANSWER, answers, by_block, in_blocks, merged, questions
-from strandflow.llm._store import give_back, new_dir, release_shuffles
+from strandflow.llm._store import give_back, new_dir, write
 from strandflow.llm._words import PIECE, byte_rows, distinct, mix64, numbered, read_words
 
 U = np.uint64
@@ -304,6 +304,8 @@ def _grow(bucket: int, blocks: list[int], bodies: list[bytes]) -> Iterator[pa.Ta
         asked.append(packed(keys))
         seen = counts > 0
         parts.append((keys[seen], counts[seen].astype(np.int64)))
+        if len(parts) > 16:
+            parts = [_counted(parts)]
     keys, counts = _counted(parts)
     del parts
     sums = []
@@ -382,7 +384,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     result. Without any training text all tokens are unknown and every bit costs one bit. Other columns are ignored.
     """
     d = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=1.5, size=BLOCK_BYTES)
+    blocks, n = in_blocks(d, "doc_id", "text", "held_out", sent=3.0, size=BLOCK_BYTES)
 
     def ask(block: int, rows: pa.Table, _):
         """Every word and every key of the block with its count in training texts."""
@@ -400,8 +402,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         yield _of_kind(KEYS, _key_questions(block, keys, n, counts))
 
     spark, path = docs.sparkSession, new_dir(docs.sparkSession, "model")
-    by_block(blocks, None, ask, _ASKED).groupBy("bucket").applyInArrow(_bucket, _LEARNED).write.partitionBy("kind").parquet(path)
-    release_shuffles(spark)
+    write(by_block(blocks, None, ask, _ASKED).groupBy("bucket").applyInArrow(_bucket, _LEARNED), path, "kind")
     model = spark.read.schema(_LEARNED).parquet(path)
     stats = model.where(F.col("kind") == TOTALS).select("body").toArrow()["body"].to_pylist()
     train_tokens, train_words = (int(x) for x in np.sum([np.frombuffer(b, np.int64) for b in stats] or [[0, 0]], axis=0))
