@@ -59,6 +59,12 @@ def targets(sources: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: f
     )
 
 
+def _set_aside(docs: DataFrame, *own: str) -> tuple[dict[str, str], DataFrame]:
+    """docs with new names for all columns but its own ones, so that none clashes with a name used here; and the new name of each."""
+    names = {c: f"aside{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return names, docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+
+
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, seed: int = 17, ordered: bool = True) -> DataFrame:
     """Add size, source_size, target, taken and positions to docs, range-sorted by first position (unless not ordered).
 
@@ -68,11 +74,12 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float =
 
     Null or empty texts have size 0 and are taken 0 words. A null source is a source of its own, last in
     order. Rows that repeat are rows of their own; if they are equal in every column, which of them is cut
-    does not show. An empty table gives an empty result. Columns of docs that clash with the added ones are replaced.
+    does not show. An empty table gives an empty result. Columns of docs that clash with the added ones are replaced; others stay, whatever their names.
     """
     added = ["size", "source_size", "target", "taken", "positions", "position"]
-    d = docs.drop(*added)
-    keep = d.columns
+    kept = docs.drop(*added)
+    names, d = _set_aside(kept, "doc_id", "text", "source")
+    keep = [F.col(names.get(c, c)).alias(c) for c in kept.columns]
     d = d.withColumn("size", word_count(F.col("text"))).withColumn(
         "__h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
     )
@@ -135,15 +142,16 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     Of a document that the mix ends in, the first words are given, joined by one space; n_chars, if there is such a column, follows. Documents of which nothing
     is taken are not in the mix.
     """
-    keep = docs.columns
-    m = mix(docs, ordered=False, **parameters).where("taken > 0").select(*keep, "size", "taken", F.posexplode("positions").alias("__pass", "__position"))
+    names, d = _set_aside(docs, "doc_id", "text", "source", "n_chars")
+    keep = d.columns
+    m = mix(d, ordered=False, **parameters).where("taken > 0").select(*keep, "size", "taken", F.posexplode("positions").alias("__pass", "__position"))
     left = F.least(F.col("size"), F.col("taken") - F.col("__pass") * F.col("size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     m = m.withColumn("__cut", left < F.col("size")).withColumn("text", F.when(F.col("__cut"), F.array_join(F.slice(words, 1, left.cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in keep:
-        kind = dict(docs.dtypes)["n_chars"]
+        kind = dict(d.dtypes)["n_chars"]
         m = m.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return m.orderBy("__position").select(*keep)
+    return m.orderBy("__position").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op10_mixing_weights(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A window is ``window`` consecutive words of one document. A word goes if a windo
 document with a smaller doc_id. To find shared windows, only shorter anchors are compared, and only at positions that lie,
 modulo a period, in a difference cover: for any two positions there is a shift below the period that
 brings both into the cover, so two equal windows share an anchor at the same place within them. Windows around anchors
-that occur in one document alone are not shared; the others are compared as wholes.
+that occur in one document alone are not shared; the others are compared as wholes, by 64-bit hashes of their words and places: two different
+ones among n windows that hold a shared anchor agree with a chance of at most n^2 / 2^65.
 """
 
 from __future__ import annotations

@@ -152,22 +152,27 @@ def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
 
 
-def parsed(record: bytes) -> tuple[str, int | None, int, str, bytes | None]:
-    """Type, the page that a revisit refers to, bytes of the full payload, its digest, and the payload (of a response, where it is checked)."""
+def _page(name: str) -> int | None:
+    found = name.removeprefix("<urn:page:").removesuffix(">")
+    return None if found == "None" else int(found)
+
+
+def parsed(record: bytes) -> tuple[int | None, str, int | None, int, str, bytes | None]:
+    """Page, type, the page that a revisit refers to, bytes of the full payload, its digest, and the payload (of a response, where it is checked)."""
     head, rest = _headers(record)
     block = rest[: int(head["content-length"])]
     http, payload = _headers(block)
     digest = head["warc-payload-digest"].removeprefix("sha256:")
     if head["warc-type"] == "revisit":
-        return "revisit", int(head["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")), int(http["content-length"]), digest, None
+        return _page(head["warc-record-id"]), "revisit", _page(head["warc-refers-to"]), int(http["content-length"]), digest, None
     found = hashlib.sha256(payload).hexdigest()
     if found != digest:
         raise ValueError(f"payload of {head['warc-record-id']} has digest {found}, not {digest}")
-    return "response", None, len(payload), found, payload
+    return _page(head["warc-record-id"]), "response", None, len(payload), found, payload
 
 
 def fetch(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_folder: str, payloads: bool = False) -> DataFrame:
-    """Look up wanted (key, page_id) and read the records: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits).
+    """Look up wanted (key) and read the records: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits).
 
     Only the first key of each range is known everywhere, as many keys as the index has ranges. Keys that the index lacks give no row.
     """
@@ -179,7 +184,7 @@ def fetch(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_fo
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [max(0, bisect_right(firsts, k) - 1) for k in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([parts[i] if parts else None for i in at], pa.string())], names=["key", "page_id", "part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([parts[i] if parts else None for i in at], pa.string())], names=["key", "part"])
 
     def read(lookups: pa.Table, blocks: pa.Table) -> pa.Table:
         where, index = _open(index_folder)
@@ -188,7 +193,7 @@ def fetch(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_fo
         heads, start, length = (blocks[c].to_pylist() for c in ("first_key", "start", "length"))
         hits, now, entries, keys = [], -1, [], []
         with where.open_input_file(f"{index}/{blocks['part'][0].as_py()}") as f:
-            for key, page_id in sorted(zip(lookups["key"].to_pylist(), lookups["page_id"].to_pylist(), strict=True), key=lambda x: x[0]):
+            for key in sorted(lookups["key"].to_pylist()):
                 at = bisect_right(heads, key) - 1
                 if at < 0:
                     continue
@@ -198,15 +203,15 @@ def fetch(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_fo
                     keys = [x[0] for x in entries]
                 i = bisect_right(keys, key) - 1
                 if i >= 0 and keys[i] == key:
-                    hits.append((entries[i][1], int(entries[i][2]), int(entries[i][3]), page_id))
-        hits.sort(key=lambda x: x[:3])
+                    hits.append((entries[i][1], int(entries[i][2]), int(entries[i][3])))
+        hits.sort()
         out, file, name = [], None, None
-        for n, at, size, page_id in hits:
+        for n, at, size in hits:
             if n != name:
                 if file is not None:
                     file.close()
                 name, file = n, where.open_input_file(f"{archive}/{n}")
-            kind, refers_to, n_bytes, digest, payload = parsed(zlib.decompress(file.read_at(size, at), 31))
+            page_id, kind, refers_to, n_bytes, digest, payload = parsed(zlib.decompress(file.read_at(size, at), 31))
             out.append((page_id, n_bytes, digest, kind, refers_to, payload)[: 6 if payloads else 5])
         if file is not None:
             file.close()
@@ -220,7 +225,7 @@ def fetch(wanted: DataFrame, directory: DataFrame, index_folder: str, archive_fo
             lookups = lookups.slice(0, 0)
         return read(lookups, blocks) if lookups.num_rows else _nothing(payloads)
 
-    routed = wanted.select("key", "page_id").mapInArrow(route, "key string, page_id long, part string")
+    routed = wanted.select("key").mapInArrow(route, "key string, part string")
     return routed.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(found, schema)
 
 
@@ -238,7 +243,7 @@ def archive_round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     archives, index = new_dir(spark, "warc"), new_dir(spark, "warc-index")
     captures = write_archives(with_first_pages(pages), archives)
     directory = write_index(captures, index)
-    return fetch(captures.select("key", "page_id"), directory, index, archives, payloads)
+    return fetch(captures.select("key"), directory, index, archives, payloads)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
