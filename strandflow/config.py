@@ -23,7 +23,7 @@ class EmSettings:
     tolerance: float = 1e-6
     likelihood: str = "form_2"  # form_1, form_2, no_read_length or no_isoform_specific
     initial_theta: str = "LR"  # LR counts multi-mapped reads in fractions, LR_unique does not
-    umi_distance: int = 0
+    umi_distance: int = 0  # names of molecules that differ in so many places count as one where reads are given to single isoforms
     #: Rows of a community that one task may hold; larger communities iterate as joins and grouped sums.
     rows_in_task: int = 2_000_000
 

@@ -98,7 +98,7 @@ def name_parts(name: Column, separator: str) -> Column:
 def tag(fields: Column, name: str) -> Column:
     """Value of a tag like CB:Z:value among fields; of several the last counts."""
     prefix = f"{name}:Z:"
-    return F.try_element_at(F.transform(F.filter(fields, lambda x: x.startswith(prefix)), lambda x: F.substring(x, len(prefix) + 1, 1 << 20)), F.lit(-1))
+    return F.try_element_at(F.transform(F.filter(fields, lambda x: x.startswith(prefix)), lambda x: F.substring(x, len(prefix) + 1, (1 << 31) - 1 - len(prefix))), F.lit(-1))
 
 
 def without_gem_suffix(barcode: Column) -> Column:

@@ -46,26 +46,46 @@ def _settled(old: np.ndarray, new: np.ndarray, tolerance: float) -> bool:
     return bool((np.abs(old - new)[major] <= tolerance * new[major]).all())
 
 
-def iterate(step: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, s: EmSettings) -> tuple[np.ndarray, int]:
+def iterate(step: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, s: EmSettings, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, int]:
+    """Steps until the thetas are settled. seen: gets the thetas after each step."""
     for k in range(1, s.iterations + 1):
         new = step(theta)
+        if seen is not None:
+            seen.append(new)
         done, theta = _settled(theta, new, s.tolerance), new
         if done:
             return theta, k
     return theta, s.iterations
 
 
-def bulk_kernel(hits: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
-    """hits: row, isoform, p, n of one community."""
+def bulk_kernel(hits: pd.DataFrame, s: EmSettings, history: bool = False) -> pd.DataFrame:
+    """hits: row, isoform, p, n of one community. history: a row for each iteration, numbered from 1 in iterations."""
     row, rows = pd.factorize(hits["row"])
     iso, names = pd.factorize(hits["isoform"], sort=True)
     weight = np.zeros(len(rows))
     weight[row] = hits["n"]
     p = hits["p"].to_numpy(float)
-    theta, k = iterate(lambda t: _normal(_shares(row, iso, p, t, weight)), np.full(len(names), 1 / max(len(names), 1)), s)
+    seen: list[np.ndarray] | None = [] if history else None
+    theta, k = iterate(lambda t: _normal(_shares(row, iso, p, t, weight)), np.full(len(names), 1 / max(len(names), 1)), s, seen)
+    if seen:
+        return pd.DataFrame({"isoform": np.tile(names, k), "theta": np.concatenate(seen), "iterations": np.repeat(np.arange(1, k + 1, dtype=np.int32), len(names))})
     return pd.DataFrame({"isoform": names, "theta": theta, "iterations": np.int32(k)})
 
 
+def bulk_history(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
+    """community, isoform, theta, iteration: the thetas after each iteration, for reports. A community's classes must fit one task."""
+    c = classes(cond.select("community", "read", "isoform", F.coalesce("p", F.lit(0.0)).alias("p")))
+    rows = c.select("community", F.xxhash64("hits").alias("row"), "n", F.explode("hits").alias("h")).select("community", "row", "n", "h.isoform", "h.p")
+    kinds = {k: cond.schema[k].dataType.simpleString() for k in ("community", "isoform")}
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = bulk_kernel(g, s, True).rename(columns={"iterations": "iteration"})
+        out.insert(0, "community", key[0])
+        return out
+
+    return rows.groupBy("community").applyInPandas(run, f"community {kinds['community']}, isoform {kinds['isoform']}, theta double, iteration int")
+
+
 def bulk_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     """cond (community, read, isoform, p) -> community, isoform, theta, iterations, community_reads, cpm, expected_reads.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.operators.store import materialize
+
 
 def apportion(theta: DataFrame, keys: list[str]) -> DataFrame:
     """theta (keys, isoform, theta, n) -> count: floor(theta n), and one more for the largest remainders until n are given out. Of equal remainders the higher isoform comes first."""
@@ -26,27 +28,46 @@ def gene_counts(counts: DataFrame, isoforms: DataFrame) -> DataFrame:
     return counts.join(isoforms.select("isoform", "gene"), "isoform").groupBy("barcode", "gene").agg(F.sum("count").alias("count"))
 
 
-def write_mex(counts: DataFrame, path: str, row: str = "isoform") -> None:
-    """barcodes.tsv, features.tsv, matrix.mtx and cpm_matrix.mtx as folders of text: names sorted, entries counted from 1.
+def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, row: str = "isoform", version: str = "LongReadQuant-SC") -> None:
+    """The files barcodes.tsv, features.tsv, matrix.mtx and cpm_matrix.mtx in a folder: names sorted, entries counted from 1.
 
-    Names get their numbers by a global sort with a count of each partition before, so that no single task sees them all.
+    counts: barcode, row and count. features: row, and gene for the second column; without it, the rows that have counts. Barcodes without counts have no column.
+    Names get their numbers by a global sort with a count of each partition before, so that no single task sees them all; files are put together from
+    the sorted parts, by copying.
     """
-    c = per_million(counts.where(F.col("count") != 0))
-    rows, cols = _ordinals(c.select(row).distinct(), row, "row"), _ordinals(c.select("barcode").distinct(), "barcode", "col")
-    cols.orderBy("col").select("barcode").write.text(f"{path}/barcodes.tsv")
-    rows.orderBy("row").select(F.concat_ws("\t", row, row, F.lit("Gene Expression"))).write.text(f"{path}/features.tsv")
-    e = c.join(rows, row).join(cols, "barcode")
-    head = c.agg(F.countDistinct(row).alias("a"), F.countDistinct("barcode").alias("b"), F.count("*").alias("c")).first()
     spark = counts.sparkSession
-    for name, value in (("matrix.mtx", F.format_string("%d %d %d", "row", "col", "count")), ("cpm_matrix.mtx", F.format_string("%d %d %.4f", "row", "col", "cpm"))):
-        kind = "integer" if name == "matrix.mtx" else "real"
-        lines = [f"%%MatrixMarket matrix coordinate {kind} general", f"{head[0]} {head[1]} {head[2]}"]
+    c = materialize(per_million(counts.where(F.col("count") != 0)), "counts")
+    listed = c.select(row, F.col(row).alias("__of")) if features is None else features.select(row, F.col("gene").alias("__of"))
+    rows, cols = _ordinals(listed.dropDuplicates([row]), row, "row"), _ordinals(c.select("barcode").distinct(), "barcode", "col")
+    _write_lines(cols.orderBy("col").select("barcode"), f"{path}/barcodes.tsv")
+    _write_lines(rows.orderBy("row").select(F.concat_ws("\t", row, "__of", F.lit("Gene Expression"))), f"{path}/features.tsv")
+    e = materialize(c.join(rows.drop("__of"), row).join(cols, "barcode").select("row", "col", "count", "cpm"), "entries")
+    size = f"{rows.count()} {cols.count()} {e.count()}"
+    for name, kind, value in (("matrix.mtx", "integer", F.format_string("%d %d %d", "row", "col", "count")), ("cpm_matrix.mtx", "real", F.format_string("%d %d %.4f", "row", "col", "cpm"))):
+        lines = [f"%%MatrixMarket matrix coordinate {kind} general", f'%metadata_json: {{"software_version": "{version}"}}', size]
         top = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "col long, row long, value string")
-        top.unionByName(e.select("col", "row", value.alias("value"))).orderBy("col", "row").select("value").write.text(f"{path}/{name}")
+        _write_lines(top.unionByName(e.select("col", "row", value.alias("value"))).orderBy("col", "row").select("value"), f"{path}/{name}")
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """One file of all lines, in their order: the parts are written at once and copied one after the other."""
+    spark, parts = lines.sparkSession, f"{path}.parts"
+    lines.write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    with_data = sorted(str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    for p in with_data:
+        part = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+        part.close()
+    out.close()
+    fs.delete(folder, True)
 
 
 def _ordinals(names: DataFrame, name: str, to: str) -> DataFrame:
-    part = names.orderBy(name).withColumn("__p", F.spark_partition_id())
+    part = materialize(names.orderBy(name).withColumn("__p", F.spark_partition_id()), "names")
     before = part.groupBy("__p").count().withColumn("__at", F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     k = F.row_number().over(Window.partitionBy("__p").orderBy(name))
-    return part.join(before, "__p").select(name, (F.coalesce("__at", F.lit(0)) + k).alias(to))
+    return part.join(before, "__p").withColumn(to, F.coalesce("__at", F.lit(0)) + k).drop("__p", "__at", "count")

@@ -24,11 +24,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict = QUERIES, oracle: dict[str, str] = ORACLE_SQL):
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            oracle[f.__name__] = sql
         return f
 
     return add

@@ -72,7 +72,7 @@ def loci(repeats: DataFrame) -> DataFrame:
 def read_repeatmasker(spark: SparkSession, path: str) -> DataFrame:
     """RepeatMasker output after its three header lines: coordinates, strand (C is -, others +), names, class and family, remaining positions, locus serials.
 
-    Serials count the loci of a subfamily in the order of the file. Lines of fewer than 15 fields are left out. The header is known by its words.
+    Serials count the loci of a subfamily in the order of the file and are part of their names. Lines of fewer than 15 fields are left out. The header is known by its words.
     """
     from pyspark.sql import Window
 
@@ -93,9 +93,14 @@ def read_repeatmasker(spark: SparkSession, path: str) -> DataFrame:
     ).where("start IS NOT NULL AND end IS NOT NULL")
     serial = F.row_number().over(Window.partitionBy("subfamily").orderBy("line_no"))
     whole = F.col("rep_end") + F.col("rep_left")
-    return out.withColumn("serial", serial).withColumn("consensus_length", whole).withColumn(
-        "truncated_proportion", F.round(1 - F.try_divide(F.col("end") - F.col("start") + 1, whole), 3)
-    )
+    known = whole > 0
+    return out.withColumn("serial", serial).withColumns(
+        {
+            "name": F.format_string("%s.%d", "subfamily", serial),
+            "consensus_length": F.when(known, whole).otherwise(F.col("end") - F.col("start") + 1),
+            "truncated_proportion": F.when(known, F.round((F.col("rep_end") - F.col("rep_start")) / whole, 3)).otherwise(0.0),
+        }
+    )
 
 
 def genes_of(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MEX_FOLDERS = ("", "isoform", "isoform_matrix", "SC_output/isoform", "ST_output/isoform")
@@ -30,12 +30,15 @@ def find_mex(spark: SparkSession, folder: str) -> str:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based numbers. Only the first field and the number of each line leave this step; there is no DataFrame form of a dense line number."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "no long, value string")
+    """Lines with their 1-based numbers: the place in its split, after the lines of all splits before."""
+    rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
+    rows = rows.select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("part", before.alias("before")), "part").select((F.col("before") + F.col("at") + 1).alias("no"), "value")
 
 
-def read_mex(spark: SparkSession, folder: str) -> DataFrame:
+def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> DataFrame:
     """(barcode, feature, alternate, value) of a sparse matrix: features are rows and barcodes columns, counted from 1, plain or gzip.
 
     A matrix whose size line disagrees with the lists of barcodes and features is an error.
@@ -44,7 +47,7 @@ def read_mex(spark: SparkSession, folder: str) -> DataFrame:
     barcodes = _numbered(spark, _file(spark, at, "barcodes.tsv")).select(F.col("no").alias("col"), F.trim("value").alias("barcode"))
     f = F.split("value", "\t")
     features = _numbered(spark, _file(spark, at, "features.tsv")).select(F.col("no").alias("row"), f[0].alias("feature"), F.try_element_at(f, F.lit(2)).alias("alternate"))
-    lines = spark.read.text(_file(spark, at, "matrix.mtx")).where(~F.col("value").startswith("%")).withColumn("line", F.monotonically_increasing_id())
+    lines = spark.read.text(_file(spark, at, matrix)).withColumn("line", F.monotonically_increasing_id()).where(~F.col("value").startswith("%"))
     first = lines.orderBy("line").select("value").first()
     size = [int(x) for x in first[0].split()] if first else [0, 0, 0]
     if [features.count(), barcodes.count()] != size[:2]:
@@ -103,3 +106,9 @@ def detect_column(columns: list[str], names: tuple[str, ...], contains: str | No
     if not found or only and len(found) > 1:
         raise ValueError(f"no single column of {columns} is one of {names}")
     return found[0]
+
+
+def read_quantified(spark: SparkSession, path: str) -> DataFrame:
+    """isoform and tpm of a result table whose columns are known by their names."""
+    t = read_table(spark, path)
+    return t.select(F.col(f"`{detect_column(t.columns, ID_COLUMNS)}`").cast("string").alias("isoform"), F.col(f"`{detect_column(t.columns, TPM_COLUMNS, 'tpm')}`").cast("double").alias("tpm"))
