@@ -45,5 +45,6 @@ class KSettings:
     read_length: int = 150
     junction_length: int = 1
     weighted: bool = True
+    minus_inner: bool = False  # weights by the bases of a read beyond a region's inner exons, instead of effective lengths
     tolerance: float = 0.0
     keep_isoform_copies: bool = True

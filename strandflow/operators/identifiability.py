@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.config import KSettings
@@ -25,31 +25,49 @@ def region_lengths(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
     return regions.withColumn("eff_len", F.greatest(value, F.lit(1)).cast("double"))
 
 
+def weights(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
+    """regions with weight: the entry of their isoforms in the design matrix before columns are normalised."""
+    if s.minus_inner:
+        share = (s.read_length - F.col("inner_len") - 1) / s.read_length
+        many = region_type(F.col("region")).isin("junctions", "exons")
+        return regions.withColumn("weight", F.when(many & (share > 0) & (share <= 1), share).otherwise(1.0))
+    return region_lengths(regions, s).withColumnRenamed("eff_len", "weight") if s.weighted else regions.withColumn("weight", F.lit(1.0))
+
+
+def design_matrix(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
+    """chrom, gene, region, isoform, value: weights of regions, normalised for each isoform; entries that are not listed are 0."""
+    long = weights(regions, s).select("chrom", "gene", "region", "weight", F.explode("isoforms").alias("isoform"))
+    total = F.sum("weight").over(Window.partitionBy("chrom", "gene", "isoform"))
+    return long.select("chrom", "gene", "region", "isoform", (F.col("weight") / F.when(total == 0, 1.0).otherwise(total)).alias("value"))
+
+
 def condition(a: np.ndarray, tolerance: float = 0.0) -> tuple[float, float, float, float]:
-    """K, condition number, its form without zero values, and the product of the extreme values, from roots of the singular values of A'A."""
+    """K, condition number, its form without zero values, and the product of the extreme values, from roots of the singular values of A'A.
+
+    tolerance: least singular value that counts as positive; whether the rank is full does not hang on it.
+    """
     gram = a.T @ a
     values = np.linalg.svd(gram, compute_uv=False)
-    rank = int(np.linalg.matrix_rank(gram, tol=tolerance or None))
-    if not rank:
+    rank = int(np.linalg.matrix_rank(gram))
+    positive = values[values > tolerance] if tolerance else values[:rank]
+    if not rank or not len(positive):
         return (float("nan"),) * 4
-    roots = np.sqrt(values)
-    top, low = roots[0], roots[rank - 1]
-    if rank == len(roots):
-        return (top - low) / top, top / low, top / low, top * low
+    top, low = float(np.sqrt(values[0])), float(np.sqrt(positive.min()))
+    if rank == len(values):
+        least = float(np.sqrt(values[-1]))
+        return (top - least) / top, top / least, top / low, top * low
     return top / low, float("inf"), top / low, top * low
 
 
 def k_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
     """regions (chrom, gene, region, region_len, inner_len, isoforms) -> one row a gene. A gene's regions come to one task: they are bounded by
     its own structure, not by reads."""
-    long = region_lengths(regions, s).select("chrom", "gene", "region", "eff_len", F.explode("isoforms").alias("isoform"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         row, rows = pd.factorize(g["region"], sort=True)
         col, cols = pd.factorize(g["isoform"], sort=True)
         a = np.zeros((len(rows), len(cols)))
-        a[row, col] = g["eff_len"] if s.weighted else 1.0
-        a /= a.sum(0)
+        a[row, col] = g["value"]
         return pd.DataFrame([[*key, len(cols), len(rows), *condition(a, s.tolerance)]], columns=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return long.groupBy("chrom", "gene").applyInPandas(run, _SCHEMA)
+    return design_matrix(regions, s).groupBy("chrom", "gene").applyInPandas(run, _SCHEMA)
