@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.config import EmSettings
-from strandflow.operators.store import materialize
+from strandflow.operators.store import discard, materialize
 
 _TINY = 1e-100
 #: Isoforms with a smaller share do not hold up the end of the iteration.
@@ -35,55 +35,106 @@ def _shares(row: np.ndarray, iso: np.ndarray, p: np.ndarray, theta: np.ndarray,
     return np.bincount(iso, q * (weight / total)[row], len(theta))
 
 
-def _normal(x: np.ndarray) -> np.ndarray:
-    s = x.sum()
-    x = x / s if s else np.zeros(len(x))
-    return np.where(x < _TINY, 0, x)
+def _starts(g: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether each row is the first of its group; rows are sorted by the keys, nulls included."""
+    first = np.zeros(len(g), bool)
+    first[:1] = True
+    for c in keys:
+        code = pd.factorize(g[c])[0]
+        first[1:] |= code[1:] != code[:-1]
+    return first
 
 
-def _settled(old: np.ndarray, new: np.ndarray, tolerance: float) -> bool:
-    major = new > _MINOR
-    return bool((np.abs(old - new)[major] <= tolerance * new[major]).all())
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """kernel of many whole groups at a time, from batches sorted by the keys. Holds a batch and the group that the batch ends in."""
+    waiting: list[pd.DataFrame] = []  # parts of one group, whose end is not known yet
+    for b in batches:
+        if not len(b):
+            continue
+        tail = len(waiting[-1]) if waiting else 0
+        starts = np.flatnonzero(_starts(pd.concat([*waiting[-1:], b], ignore_index=True), keys))
+        cut = int(starts[-1]) - tail  # rows of b before its last group; no new group begins in b if this is negative
+        if cut < 0 or cut == 0 and not waiting:
+            waiting.append(b)
+            continue
+        yield kernel(pd.concat([*waiting, b[:cut]], ignore_index=True))
+        waiting = [b[cut:]]
+    if waiting:
+        yield kernel(pd.concat(waiting, ignore_index=True))
+
+
+class _Communities:
+    """The isoforms of several communities in one table, and sums by community. Rows are sorted by community."""
+
+    def __init__(self, g: pd.DataFrame):
+        first = _starts(g, ["community"])
+        self.of_row = np.cumsum(first) - 1
+        self.names = g["community"][first].reset_index(drop=True)
+        name, names = pd.factorize(g["isoform"], sort=True)
+        self.iso, isos = pd.factorize(self.of_row * len(names) + name, sort=True)
+        self.home, self.isoform = isos // max(len(names), 1), names[isos % max(len(names), 1)]
+        self.size = np.bincount(self.home, minlength=len(self.names))
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.home, x, len(self.names))
+
+    def numbered(self, row: pd.Series, which: np.ndarray) -> tuple[np.ndarray, int]:
+        """Rows' numbers by community and name, and how many there are."""
+        code, names = pd.factorize(row[which])
+        found, rows = pd.factorize(self.of_row[which] * (len(names) + 1) + code)
+        return found, len(rows)
+
+    def iterate(self, step: Callable[[np.ndarray], np.ndarray], s: EmSettings) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Thetas and iterations; a community stands still once its own thetas are settled. step: shares before they are normalised."""
+        theta, going, k, seen = 1.0 / self.size[self.home], np.ones(len(self.names), bool), np.zeros(len(self.names), np.int32), []
+        for n in range(1, s.iterations + 1):
+            x = step(theta)
+            total = self.total(x)
+            x = x / np.where(total > 0, total, 1)[self.home]
+            new = np.where(going[self.home], np.where(x < _TINY, 0, x), theta)
+            k[going] = n
+            moved = (new > _MINOR) & (np.abs(theta - new) > s.tolerance * new)
+            theta, going = new, going & (self.total(moved) > 0)
+            seen.append(new)
+            if not going.any():
+                break
+        return theta, k, seen
 
+    def table(self, **columns) -> pd.DataFrame:
+        return pd.DataFrame({"community": self.names.iloc[self.home].reset_index(drop=True), "isoform": self.isoform, **columns})
 
-def iterate(step: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, s: EmSettings, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, int]:
-    """Steps until the thetas are settled. seen: gets the thetas after each step."""
-    for k in range(1, s.iterations + 1):
-        new = step(theta)
-        if seen is not None:
-            seen.append(new)
-        done, theta = _settled(theta, new, s.tolerance), new
-        if done:
-            return theta, k
-    return theta, s.iterations
-
-
-def bulk_kernel(hits: pd.DataFrame, s: EmSettings, history: bool = False) -> pd.DataFrame:
-    """hits: row, isoform, p, n of one community. history: a row for each iteration, numbered from 1 in iterations."""
-    row, rows = pd.factorize(hits["row"])
-    iso, names = pd.factorize(hits["isoform"], sort=True)
-    weight = np.zeros(len(rows))
-    weight[row] = hits["n"]
-    p = hits["p"].to_numpy(float)
-    seen: list[np.ndarray] | None = [] if history else None
-    theta, k = iterate(lambda t: _normal(_shares(row, iso, p, t, weight)), np.full(len(names), 1 / max(len(names), 1)), s, seen)
-    if seen:
-        return pd.DataFrame({"isoform": np.tile(names, k), "theta": np.concatenate(seen), "iterations": np.repeat(np.arange(1, k + 1, dtype=np.int32), len(names))})
-    return pd.DataFrame({"isoform": names, "theta": theta, "iterations": np.int32(k)})
+
+def bulk_kernel(g: pd.DataFrame, s: EmSettings, history: bool = False) -> pd.DataFrame:
+    """g: community, row, isoform, p, n of whole communities, sorted by community. history: a row for each iteration, numbered from 1 in iterations."""
+    c = _Communities(g)
+    row, n_rows = c.numbered(g["row"], np.ones(len(g), bool))
+    weight = np.zeros(n_rows)
+    weight[row] = g["n"]
+    p = g["p"].to_numpy(float)
+    theta, k, seen = c.iterate(lambda t: _shares(row, c.iso, p, t, weight), s)
+    if not history:
+        return c.table(theta=theta, iterations=k[c.home])
+    return pd.concat([c.table(theta=x, iterations=np.int32(n))[k[c.home] >= n] for n, x in enumerate(seen, 1)], ignore_index=True)
 
 
 def bulk_history(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     """community, isoform, theta, iteration: the thetas after each iteration, for reports. A community's classes must fit one task."""
     c = classes(cond.select("community", "read", "isoform", F.coalesce("p", F.lit(0.0)).alias("p")))
-    rows = c.select("community", F.xxhash64("hits").alias("row"), "n", F.explode("hits").alias("h")).select("community", "row", "n", "h.isoform", "h.p")
-    kinds = {k: cond.schema[k].dataType.simpleString() for k in ("community", "isoform")}
+    return _by_community(_hits(c), lambda g: bulk_kernel(g, s, True), _schema(cond, _BULK)).withColumnRenamed("iterations", "iteration")
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = bulk_kernel(g, s, True).rename(columns={"iterations": "iteration"})
-        out.insert(0, "community", key[0])
-        return out
 
-    return rows.groupBy("community").applyInPandas(run, f"community {kinds['community']}, isoform {kinds['isoform']}, theta double, iteration int")
+def _hits(classes: DataFrame) -> DataFrame:
+    return classes.select("community", F.xxhash64("hits").alias("row"), "n", F.explode("hits").alias("h")).select("community", "row", "n", "h.isoform", "h.p")
+
+
+def _schema(df: DataFrame, columns: str) -> str:
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("community", "isoform")}
+    return f"community {kind['community']}, " + columns.format(iso=kind["isoform"])
+
+
+def _by_community(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """One shuffle by community; Python gets many small communities at a time."""
+    return rows.repartition("community").sortWithinPartitions("community").mapInPandas(lambda b: _whole_groups(b, ["community"], kernel), schema)
 
 
 def bulk_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
@@ -98,18 +149,9 @@ def bulk_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     size = c.groupBy("community").agg(F.sum(F.size("hits")).alias("rows"), F.sum("n").alias("community_reads"))
     size = materialize(size, "communities")
     total = size.agg(F.sum("community_reads")).first()[0] or 0
-    rows = c.select("community", F.xxhash64("hits").alias("row"), "n", F.explode("hits").alias("h")).select("community", "row", "n", "h.isoform", "h.p")
-    iso = cond.schema["isoform"].dataType.simpleString()
-    com = cond.schema["community"].dataType.simpleString()
-    schema = f"community {com}, " + _BULK.format(iso=iso)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = bulk_kernel(g, s)
-        out.insert(0, "community", key[0])
-        return out
-
+    rows, schema = _hits(c), _schema(cond, _BULK)
     small, large = size.where(F.col("rows") <= s.rows_in_task), size.where(F.col("rows") > s.rows_in_task)
-    found = rows.join(small.select("community"), "community", "left_semi").groupBy("community").applyInPandas(run, schema)
+    found = _by_community(rows.join(small.select("community"), "community", "left_semi"), lambda g: bulk_kernel(g, s), schema)
     if large.limit(1).count():
         found = found.unionByName(_large(rows.join(large.select("community"), "community", "left_semi"), s).to(spark.createDataFrame([], schema).schema))
     out = found.join(size.select("community", "community_reads"), "community")
@@ -139,37 +181,41 @@ def _large(rows: DataFrame, s: EmSettings) -> DataFrame:
 
 
 def hybrid_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
-    """g: kind (L, S or I), row, isoform, p, eff_len and alpha of one community; the rows I list its isoforms with effective lengths."""
-    iso, names = pd.factorize(g["isoform"], sort=True)
+    """g: community, kind (L, S or I), row, isoform, p, eff_len and alpha of whole communities, sorted by community; the rows I list their isoforms with effective lengths."""
+    c = _Communities(g)
     kind, p = g["kind"].to_numpy(), g["p"].to_numpy(float)
-    eff = np.ones(len(names))
-    eff[iso[kind == "I"]] = g["eff_len"].to_numpy(float)[kind == "I"]
-    alpha = float(g["alpha"].max())
-    sides = {}
+    eff = np.ones(len(c.home))
+    eff[c.iso[kind == "I"]] = g["eff_len"].to_numpy(float)[kind == "I"]
+    alpha = np.zeros(len(c.names))
+    np.maximum.at(alpha, c.of_row, g["alpha"].to_numpy(float))
+    alpha = alpha[c.home]
+    sides, fragments = {}, np.zeros(len(c.names))
     for k in "LS":
-        row, rows = pd.factorize(g["row"][kind == k])
-        sides[k] = (row, iso[kind == k], p[kind == k], np.ones(len(rows)))
+        row, n = c.numbered(g["row"], kind == k)
+        sides[k] = (row, c.iso[kind == k], p[kind == k], np.ones(n))
+    row = sides["S"][0]
+    fragments += np.bincount(c.of_row[kind == "S"][np.unique(row, return_index=True)[1]], minlength=len(c.names))
 
     def step(theta: np.ndarray) -> np.ndarray:
         long = alpha * _shares(*sides["L"][:3], theta, sides["L"][3])
         short = (1 - alpha) * _shares(*sides["S"][:3], theta * eff, sides["S"][3])
-        mass = (theta * eff).sum()
-        below = short.sum() * eff / (mass or 1) + long.sum()
-        return _normal(np.divide(short + long, below, out=np.zeros(len(eff)), where=below > 0))
+        mass = c.total(theta * eff)
+        below = (c.total(short) / np.where(mass > 0, mass, 1))[c.home] * eff + c.total(long)[c.home]
+        return np.divide(short + long, below, out=np.zeros(len(eff)), where=below > 0)
 
-    theta, k = iterate(step, np.full(len(names), 1 / max(len(names), 1)), s)
-    mass = (theta * eff).sum()
-    expression = len(sides["S"][3]) * theta / mass if mass else np.zeros(len(eff))
-    return pd.DataFrame({"isoform": names, "theta": theta, "iterations": np.int32(k), "expression": expression})
+    theta, k, _ = c.iterate(step, s)
+    mass = c.total(theta * eff)
+    return c.table(theta=theta, iterations=k[c.home], expression=np.where(mass > 0, fragments / np.where(mass > 0, mass, 1), 0)[c.home] * theta)
 
 
 def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: DataFrame | float, s: EmSettings = EmSettings()) -> DataFrame:
     """long (community, read, isoform, p), short (community, fragment, isoform, ant), isoforms (community, isoform, eff_len); alpha: one
     number or a table (community, alpha), where communities that it lacks have 0.5. Gives community, isoform, theta, iterations, tpm.
 
-    Isoforms whose community lacks reads of both kinds end with theta 0. A community's rows must fit one task; there is no joined form.
+    Isoforms whose community lacks reads of both kinds end with theta 0. A community of more than s.rows_in_task rows iterates as joins and grouped sums.
     """
-    schema = f"community {isoforms.schema['community'].dataType.simpleString()}, " + _BULK.format(iso=isoforms.schema["isoform"].dataType.simpleString()) + ", expression double"
+    spark = isoforms.sparkSession
+    schema = _schema(isoforms, _BULK + ", expression double")
     none = F.lit(None).cast("double")
     parts = [
         long.select("community", F.lit("L").alias("kind"), F.xxhash64("read").alias("row"), "isoform", "p", none.alias("eff_len")),
@@ -182,16 +228,50 @@ def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: Dat
     else:
         every = every.withColumn("alpha", F.lit(float(alpha)))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = hybrid_kernel(g, s)
-        out.insert(0, "community", key[0])
-        return out
-
-    out = materialize(every.groupBy("community").applyInPandas(run, schema), "hybrid")
+    size = every.groupBy("community").agg(F.count("*").alias("rows"))
+    large = materialize(size.where(F.col("rows") > s.rows_in_task).select("community"), "large")
+    if large.isEmpty():
+        found = _by_community(every, lambda g: hybrid_kernel(g, s), schema)
+    else:
+        found = _by_community(every.join(large, "community", "left_anti"), lambda g: hybrid_kernel(g, s), schema)
+        found = found.unionByName(_hybrid_large(every.join(large, "community", "left_semi"), s).to(spark.createDataFrame([], schema).schema))
+    out = materialize(found, "hybrid")
     total = out.agg(F.sum("expression")).first()[0] or 1.0
     return out.withColumn("tpm", F.col("expression") / F.lit(float(total)) * 1e6).drop("expression")
 
 
+def _hybrid_large(every: DataFrame, s: EmSettings) -> DataFrame:
+    """The same iteration as joins: rows stay spread by read, sums by isoform are combined before the shuffle."""
+    rows = materialize(every.where("kind <> 'I'").select("community", "kind", "row", "isoform", "p"), "rows")
+    names = every.groupBy("community", "isoform").agg(F.coalesce(F.max("eff_len"), F.lit(1.0)).alias("eff"), F.max("alpha").alias("alpha"))
+    whole = Window.partitionBy("community")
+    theta = materialize(names.withColumn("theta", 1 / F.count("*").over(whole)), "theta")
+    short = F.col("kind") == "S"
+    for k in range(1, s.iterations + 1):
+        q = rows.join(theta, ["community", "isoform"]).withColumn("q", F.col("p") * F.col("theta") * F.when(short, F.col("eff")).otherwise(1.0))
+        sums = q.groupBy("community", "kind", "row").agg(F.sum("q").alias("whole"))
+        part = F.when(F.col("whole") > 0, F.col("q") / F.col("whole") * F.when(short, 1 - F.col("alpha")).otherwise(F.col("alpha"))).otherwise(0.0)
+        dealt = q.join(sums, ["community", "kind", "row"]).groupBy("community", "isoform").agg(F.sum(F.when(short, part).otherwise(0.0)).alias("short"), F.sum(F.when(short, 0.0).otherwise(part)).alias("long"))
+        new = theta.join(dealt, ["community", "isoform"], "left").fillna(0.0, ["short", "long"])
+        totals = new.groupBy("community").agg(F.sum("short").alias("all_short"), F.sum("long").alias("all_long"), F.sum(F.col("theta") * F.col("eff")).alias("mass"))
+        below = F.col("all_short") * F.col("eff") / F.when(F.col("mass") > 0, F.col("mass")).otherwise(1.0) + F.col("all_long")
+        new = new.join(totals, "community").withColumn("x", F.when(below > 0, (F.col("short") + F.col("long")) / below).otherwise(0.0))
+        every_x = new.groupBy("community").agg(F.sum("x").alias("every_x"))
+        value = F.when(F.col("every_x") > 0, F.col("x") / F.col("every_x")).otherwise(0.0)
+        new = new.join(every_x, "community").select("community", "isoform", "eff", "alpha", F.col("theta").alias("old"), F.when(value < _TINY, 0.0).otherwise(value).alias("theta"))
+        new = materialize(new, "theta")
+        open_ = not new.where((F.col("theta") > _MINOR) & (F.abs(F.col("theta") - F.col("old")) > s.tolerance * F.col("theta"))).isEmpty()
+        discard(theta)
+        theta = new
+        if not open_:
+            break
+    fragments = rows.where(short).groupBy("community").agg(F.countDistinct("row").alias("fragments"))
+    mass = F.sum(F.col("theta") * F.col("eff")).over(whole)
+    out = theta.withColumn("mass", mass).join(fragments, "community", "left").fillna(0, ["fragments"])
+    expression = F.when(F.col("mass") > 0, F.col("fragments") * F.col("theta") / F.col("mass")).otherwise(0.0)
+    return out.select("community", "isoform", "theta", F.lit(k).cast("int").alias("iterations"), expression.alias("expression"))
+
+
 def molecules(cond: DataFrame) -> DataFrame:
     """The largest p of each isoform over the reads of a molecule (community, barcode, umi)."""
     return cond.groupBy("community", "barcode", "umi", "isoform").agg(F.max("p").alias("p"))
@@ -200,20 +280,12 @@ def molecules(cond: DataFrame) -> DataFrame:
 _CELL = ["community", "barcode"]
 
 
-def _starts(g: pd.DataFrame) -> np.ndarray:
-    """Whether each row is the first of its community and cell; rows are sorted by them, nulls included."""
-    codes = [pd.factorize(g[c])[0] for c in _CELL]
-    first = np.ones(len(g), bool)
-    first[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
-    return first
-
-
 def unit_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
     """g: community, barcode, umi, isoform, p of whole cells, sorted by community and cell. All cells iterate at once, each on its own.
 
     A cell starts from its molecules of one isoform, and stops when none of its thetas moves by the tolerance.
     """
-    first = _starts(g)
+    first = _starts(g, _CELL)
     cell = np.cumsum(first) - 1
     n_cells = int(first.sum())
     umi, umis = pd.factorize(g["umi"])
@@ -255,20 +327,5 @@ def unit_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     t = {c: cond.schema[c].dataType.simpleString() for c in ("community", "barcode", "isoform")}
     schema = f"community {t['community']}, barcode {t['barcode']}, isoform {t['isoform']}, theta double, n bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []  # parts of one cell, whose end is not known yet
-        for b in batches:
-            if not len(b):
-                continue
-            tail = len(waiting[-1]) if waiting else 0
-            starts = np.flatnonzero(_starts(pd.concat([*waiting[-1:], b], ignore_index=True)))
-            cut = int(starts[-1]) - tail  # rows of b before its last cell; no new cell begins in b if this is negative
-            if cut < 0 or cut == 0 and not waiting:
-                waiting.append(b)
-                continue
-            yield unit_kernel(pd.concat([*waiting, b[:cut]], ignore_index=True), s)
-            waiting = [b[cut:]]
-        if waiting:
-            yield unit_kernel(pd.concat(waiting, ignore_index=True), s)
-
-    return molecules(cond.repartition(*_CELL)).sortWithinPartitions(*_CELL).mapInPandas(run, schema)
+    sorted_cells = molecules(cond.repartition(*_CELL)).sortWithinPartitions(*_CELL)
+    return sorted_cells.mapInPandas(lambda b: _whole_groups(b, _CELL, lambda g: unit_kernel(g, s)), schema)

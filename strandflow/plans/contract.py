@@ -19,6 +19,7 @@ from strandflow.operators.graph import gene_communities
 from strandflow.operators.intervals import containment_join, interval_join, union_length
 from strandflow.operators.likelihood import conditional_probabilities, cumulative, initial_theta, length_histogram, length_support
 from strandflow.operators.matrix import apportion, gene_counts, per_million
+from strandflow.operators.store import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,8 +142,8 @@ def bipartite_components(spark, sf):
 
 
 def _communities(spark, sf) -> DataFrame:
-    iso = _isoforms(spark, sf)
-    return _cond(spark, sf).join(gene_communities(_read_isoform(spark, sf), iso), "gene")
+    iso, ri = _isoforms(spark, sf), materialize(_read_isoform(spark, sf), "reads")
+    return conditional_probabilities(ri, iso, "form_2").join(gene_communities(ri, iso), "gene")
 
 
 def _rounds(n: int, source: str) -> str:
@@ -241,15 +242,27 @@ _COMM_MOL = f"""{_COMM}, mol AS (SELECT community, l_suppkey AS barcode, l_order
 _COMM_UNIT = _COMM_MOL + _UNIT.removeprefix(f"{_MOL}").replace("gene", "community")
 
 
-@query(f"""{_COMM}, one AS (SELECT * FROM cond), {_hybrid_sql(3).replace("gene", "community").replace("FROM iso)", "FROM comm_iso)")}
-  SELECT isoform, round(t, 9) AS theta FROM h3""")
-def hybrid_em_communities(spark, sf):
+_HYBRID = f"""{_COMM}, one AS (SELECT * FROM cond), {_hybrid_sql(3).replace("gene", "community").replace("FROM iso)", "FROM comm_iso)")}
+  SELECT isoform, round(t, 9) AS theta FROM h3"""
+
+
+def _hybrid(spark, sf, s: EmSettings) -> DataFrame:
     every = _communities(spark, sf)
     short = every.where("l_linenumber % 2 = 0").select("community", F.col("read").alias("fragment"), "isoform", (1 / (1 + F.col("iso_len") % 7)).alias("ant"))
     iso = _isoforms(spark, sf).join(gene_communities(_read_isoform(spark, sf), _isoforms(spark, sf)), "gene")
     iso = iso.select("community", "isoform", (F.col("iso_len") - 20.0).alias("eff_len"))
-    out = hybrid_em(every.where("l_linenumber % 2 = 1"), short, iso, 0.5, EmSettings(iterations=3, tolerance=0.0))
-    return out.select("isoform", F.round("theta", 9).alias("theta"))
+    return hybrid_em(every.where("l_linenumber % 2 = 1"), short, iso, 0.5, s).select("isoform", F.round("theta", 9).alias("theta"))
+
+
+@query(_HYBRID)
+def hybrid_em_communities(spark, sf):
+    return _hybrid(spark, sf, EmSettings(iterations=3, tolerance=0.0))
+
+
+@query(_HYBRID)
+def hybrid_em_joined(spark, sf):
+    """The form for communities that no task can hold."""
+    return _hybrid(spark, sf, EmSettings(iterations=3, tolerance=0.0, rows_in_task=0))
 
 
 def _community_cells(spark, sf) -> DataFrame:
