@@ -2,11 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.config import KSettings
+from strandflow.operators.annotation import gene_models
 from strandflow.operators.features import model_columns, nearest_model, predict_alpha
 from strandflow.operators.identifiability import condition, design_matrix
+from strandflow.operators.readmap import candidates, map_to_genes
 from strandflow.operators.regions import with_reads
+from strandflow.plans import models
 
 _REGION = "chrom string, gene string, region string, region_len long, n_atoms int, inner_len long, isoforms array<string>"
 
@@ -49,3 +53,12 @@ def test_models_by_coverage(spark):
     assert model_columns(f.columns) == ["n_x", "mean_x"]
     got = predict_alpha(f, lambda x: np.abs(np.arange(21) / 20 - x[:, :1] / 4)).orderBy("community").collect()
     assert [tuple(r) for r in got] == [(1, 0.0, 0.5), (2, 0.0, 0.0)]
+
+
+def test_reads_of_one_gene_in_many_tasks(spark):
+    """However the reads of a gene are dealt, each meets a copy of its model."""
+    exons, reads = models._spaced(spark, "/root/testdata/sf0.001")
+    m = gene_models(exons)
+    pairs = candidates(reads.where(F.xxhash64("read") % 20 == 0), m)
+    whole, dealt = (sorted((r["read"], r["gene"], r["region"], len(r["compatible"])) for r in map_to_genes(pairs, m, share=n).collect()) for n in (50_000, 2))
+    assert whole == dealt and len({g for _, g, _, _ in whole}) > 1
