@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.operators.store import materialize
+
 
 def _binned(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
     # An interval of very many bins would be a very long array; it is exploded row by row and only as wide as it is.
@@ -39,8 +41,13 @@ def containment_join(points: DataFrame, ranges: DataFrame, keys: list[str], ps:
     return pairs.drop("__bin", "__tol", "__lo", "__hi")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, touching: bool) -> DataFrame:
-    """Unions of overlapping intervals: keys, start, end. touching: intervals that only share an endpoint are merged, too."""
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, touching: bool, spread: bool = False) -> DataFrame:
+    """Unions of overlapping intervals: keys, start, end. touching: intervals that only share an endpoint are merged, too.
+
+    A key's intervals are ordered in one task. spread: for few keys of very many intervals, they are ordered over ranges of all tasks instead.
+    """
+    if spread:
+        return _merge_spread(df, keys, start, end, touching)
     before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(end).over(before)
     apart = F.col(start) > reach if touching else F.col(start) >= reach
@@ -50,7 +57,24 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, touchi
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def union_length(df: DataFrame, keys: list[str], start: str, end: str, touching: bool = False) -> DataFrame:
+def _merge_spread(df: DataFrame, keys: list[str], start: str, end: str, touching: bool) -> DataFrame:
+    """Ranges of the global order look back over their own rows; of each range and key, one row tells how far its intervals reach and where its last union begins."""
+    order = [*keys, start, end]
+    d = materialize(df.select(*order).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "intervals")
+    within = Window.partitionBy(*keys, "__part").orderBy(start, end)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = d.groupBy(*keys, "__part").agg(F.max(end).alias("__far")).select(*keys, "__part", F.max("__far").over(ranges).alias("__carried"))
+    d = d.join(reach, [*keys, "__part"]).withColumn("__reach", F.greatest(F.max(end).over(before), "__carried"))
+    new = F.col("__reach").isNull() | (F.col(start) > F.col("__reach") if touching else F.col(start) >= F.col("__reach"))
+    # A union goes by its first start; unions that begin at the same place, one base long but for the last, by their ends as well.
+    d = d.withColumn("__first", F.last(F.when(new, F.struct(start, end)), True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opened = d.groupBy(*keys, "__part").agg(F.max("__first").alias("__open")).select(*keys, "__part", F.max("__open").over(ranges).alias("__before"))
+    d = d.join(opened, [*keys, "__part"]).withColumn("__union", F.coalesce("__first", "__before"))
+    return d.groupBy(*keys, "__union").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__union")
+
+
+def union_length(df: DataFrame, keys: list[str], start: str, end: str, touching: bool = False, spread: bool = False) -> DataFrame:
     """Inclusive length of the union by keys: keys, union_len. Unmerged endpoints that touch count their shared base twice."""
-    merged = merge_intervals(df, keys, start, end, touching)
+    merged = merge_intervals(df, keys, start, end, touching, spread)
     return merged.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start) + 1).alias("union_len"))

@@ -338,14 +338,23 @@ def range_join_containment_tol(spark, sf):
     return containment_join(a, b, ["chrom"], "s", "e", "ts", "te", tol, 64).select("chrom", "isoform", "element", "s", "ts")
 
 
-@query(f"""WITH {_TE}, a AS (SELECT *, max(te) OVER (PARTITION BY chrom ORDER BY ts, te ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+_UNION = f"""WITH {_TE}, a AS (SELECT *, max(te) OVER (PARTITION BY chrom ORDER BY ts, te ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
   FROM (SELECT DISTINCT chrom, ts, te FROM te)), b AS (SELECT *, sum(CASE WHEN reach IS NULL OR ts >= reach THEN 1 ELSE 0 END)
   OVER (PARTITION BY chrom ORDER BY ts, te ROWS UNBOUNDED PRECEDING) AS island FROM a),
-c AS (SELECT chrom, island, max(te) - min(ts) + 1 AS n FROM b GROUP BY chrom, island) SELECT chrom, CAST(sum(n) AS BIGINT) AS union_len FROM c GROUP BY chrom""")
+c AS (SELECT chrom, island, max(te) - min(ts) + 1 AS n FROM b GROUP BY chrom, island) SELECT chrom, CAST(sum(n) AS BIGINT) AS union_len FROM c GROUP BY chrom"""
+
+
+@query(_UNION)
 def interval_union_len(spark, sf):
     return union_length(_intervals(spark, sf, 2, "ts", "te", "element").select("chrom", "ts", "te").distinct(), ["chrom"], "ts", "te")
 
 
+@query(_UNION)
+def interval_union_spread(spark, sf):
+    """The form for few keys of very many intervals."""
+    return union_length(_intervals(spark, sf, 2, "ts", "te", "element").select("chrom", "ts", "te").distinct(), ["chrom"], "ts", "te", spread=True)
+
+
 def _transcripts(spark, sf) -> DataFrame:
     """One exon a transcript, on either strand by the parity of its order."""
     e = _intervals(spark, sf, 1, "s", "e", "o").withColumn("isoform", F.concat_ws(":", "chrom", "o", "s", "e"))
