@@ -1 +1 @@
-"""streaming."""
+"""Inputs that arrive while a run goes on."""
