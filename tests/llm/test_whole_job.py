@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.fingerprints import compare_edited, fingerprint
 from strandflow.llm.lm_scoring import log_kt, score_texts
+from strandflow.llm.mixing import mix
 from strandflow.llm.topk_search import integer_rows, top_k
 
 CONTEXT = 7
@@ -95,3 +96,25 @@ def test_fingerprint_bits_differ_between_chains(spark):
     f = d.select(fingerprint(F.col("text"), F.array_repeat(F.lit(-1).cast("long"), 64), 12, 20).alias("f")).first()["f"]
     chains = [tuple(f[1 + 20 * c : 21 + 20 * c]) for c in range(12)]
     assert len(f) == 241 and len(set(chains)) == 12 and all(x[0] is not None and x[19] is None for x in chains)
+
+
+def test_mixing_targets_by_plain_sharing(spark):
+    """150 % of all sizes, shared 5, 2, 1 by the order of sources; what is above twice a source is shared again, until nothing is."""
+    rows = [(i, "w " * (1 + i % 7), None if i % 9 == 8 else f"s{min(i % 9, 6)}") for i in range(400)] + [(1000, "w " * 9000, "s1"), (1001, None, "empty")]
+    t = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    size: dict = {}
+    for _, text, source in rows:
+        size[source] = size.get(source, 0) + len((text or "").split())
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, going = dict.fromkeys(names, 0.0), 1.5 * sum(size.values()), set(names)
+    while going:
+        level = left / sum(weight[s] for s in going)
+        full = {s for s in going if level * weight[s] > 2 * size[s]}
+        for s in full or going:
+            target[s] = 2.0 * size[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        going = going - full if full else set()
+    for s, g in t.groupby(t["source"].fillna("none")):
+        name = None if s == "none" else s
+        assert np.isclose(g["target"], target[name]).all() and abs(g["taken"].sum() - target[name]) <= 1 and (g["source_size"] == size[name]).all()
