@@ -188,36 +188,6 @@ h{k} AS (SELECT gene, isoform, eff, coalesce(x / nullif(sum(x) OVER (PARTITION B
     return ",\n".join(out)
 
 
-@query(f"""WITH {_COND}, one AS (SELECT * FROM cond WHERE l_orderkey % 97 <> 0), {_hybrid_sql(3)}
-  SELECT isoform, round(t, 9) AS theta FROM h3""")
-def hybrid_em_fixed_iters(spark, sf):
-    one = _cond(spark, sf).where("l_orderkey % 97 <> 0").withColumn("community", F.col("gene"))
-    short = one.where("l_linenumber % 2 = 0").select("community", F.col("read").alias("fragment"), "isoform", (1 / (1 + F.col("iso_len") % 7)).alias("ant"))
-    iso = _isoforms(spark, sf).select(F.col("gene").alias("community"), "isoform", (F.col("iso_len") - 20.0).alias("eff_len"))
-    out = hybrid_em(one.where("l_linenumber % 2 = 1"), short, iso, 0.5, EmSettings(iterations=3, tolerance=0.0))
-    return out.select("isoform", F.round("theta", 9).alias("theta"))
-
-
-def _cells(spark, sf) -> DataFrame:
-    c = _cond(spark, sf).where("l_orderkey % 97 <> 0")
-    return c.select(F.col("gene").alias("community"), F.col("l_suppkey").alias("barcode"), F.col("l_orderkey").alias("umi"), "isoform", "gene", "p")
-
-
-_MOL = f"{_COND}, mol AS (SELECT gene, l_suppkey AS barcode, l_orderkey AS umi, isoform, max(p) AS p FROM cond WHERE l_orderkey % 97 <> 0 GROUP BY ALL)"
-_UNIT = f"""{_MOL}, u0 AS (SELECT *, count(*) OVER (PARTITION BY gene, barcode, umi) AS w FROM mol),
-u1 AS (SELECT gene, barcode, isoform, sum(CASE WHEN w = 1 THEN 1.0 ELSE 0 END) AS a, count(*) OVER (PARTITION BY gene, barcode) AS k FROM u0 GROUP BY gene, barcode, isoform),
-t0 AS (SELECT gene, barcode, isoform, CASE WHEN sum(a) OVER (PARTITION BY gene, barcode) > 0 THEN a / sum(a) OVER (PARTITION BY gene, barcode) ELSE 1.0 / k END AS t FROM u1),
-e1 AS (SELECT gene, barcode, umi, isoform, p * t AS q, sum(p * t) OVER (PARTITION BY gene, barcode, umi) AS s FROM mol JOIN t0 USING (gene, barcode, isoform)),
-th AS (SELECT gene, barcode, isoform, sum(CASE WHEN s > 0 THEN q / s ELSE 0 END) AS x, count(*) AS rows_ FROM e1 GROUP BY gene, barcode, isoform),
-n AS (SELECT gene, barcode, count(DISTINCT umi) AS n FROM mol GROUP BY gene, barcode),
-theta AS (SELECT gene, barcode, isoform, x / sum(x) OVER (PARTITION BY gene, barcode) AS theta, n FROM th JOIN n USING (gene, barcode))"""
-
-
-@query(f"WITH {_MOL} SELECT gene AS community, barcode, umi, isoform, round(p, 12) AS p FROM mol")
-def umi_molecules_max(spark, sf):
-    return molecules(_cells(spark, sf)).select("community", "barcode", "umi", "isoform", F.round("p", 12).alias("p"))
-
-
 @query("SELECT l_suppkey AS barcode, count(DISTINCT l_orderkey) AS molecules FROM lineitem GROUP BY l_suppkey")
 def umi_exact_distinct(spark, sf):
     return _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("barcode")).agg(F.countDistinct("l_orderkey").alias("molecules"))
@@ -229,17 +199,17 @@ def hamming_distance(spark, sf):
     return _table(spark, sf, "customer").select("c_custkey", hamming(F.col("c_mktsegment"), F.col("c_name")).cast("long").alias("distance"))
 
 
-@query(f"WITH {_UNIT} SELECT gene AS community, barcode, isoform, round(theta, 9) AS theta, n FROM theta")
-def unit_em_one_iteration(spark, sf):
-    out = unit_em(_cells(spark, sf), EmSettings(iterations=1))
-    return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
-
-
-# The same three over all reads, also those of two genes: communities are those of bipartite_components, of one gene or many.
+# Hybrid EM, molecules and cells work by community: those of bipartite_components, of one gene or many.
 _COMM = f"""WITH RECURSIVE {_COND}, {_LINKS}, reach AS (SELECT DISTINCT gene, gene AS node FROM iso UNION SELECT gene, v FROM reach JOIN links ON node = u),
   comm AS (SELECT gene, min(node) AS community FROM reach GROUP BY gene), comm_iso AS (SELECT * FROM iso JOIN comm USING (gene))"""
 _COMM_MOL = f"""{_COMM}, mol AS (SELECT community, l_suppkey AS barcode, l_orderkey AS umi, isoform, max(p) AS p FROM cond JOIN comm USING (gene) GROUP BY ALL)"""
-_COMM_UNIT = _COMM_MOL + _UNIT.removeprefix(f"{_MOL}").replace("gene", "community")
+_COMM_UNIT = f"""{_COMM_MOL}, u0 AS (SELECT *, count(*) OVER (PARTITION BY community, barcode, umi) AS w FROM mol),
+u1 AS (SELECT community, barcode, isoform, sum(CASE WHEN w = 1 THEN 1.0 ELSE 0 END) AS a, count(*) OVER (PARTITION BY community, barcode) AS k FROM u0 GROUP BY community, barcode, isoform),
+t0 AS (SELECT community, barcode, isoform, CASE WHEN sum(a) OVER (PARTITION BY community, barcode) > 0 THEN a / sum(a) OVER (PARTITION BY community, barcode) ELSE 1.0 / k END AS t FROM u1),
+e1 AS (SELECT community, barcode, umi, isoform, p * t AS q, sum(p * t) OVER (PARTITION BY community, barcode, umi) AS s FROM mol JOIN t0 USING (community, barcode, isoform)),
+th AS (SELECT community, barcode, isoform, sum(CASE WHEN s > 0 THEN q / s ELSE 0 END) AS x, count(*) AS rows_ FROM e1 GROUP BY community, barcode, isoform),
+n AS (SELECT community, barcode, count(DISTINCT umi) AS n FROM mol GROUP BY community, barcode),
+theta AS (SELECT community, barcode, isoform, x / sum(x) OVER (PARTITION BY community, barcode) AS theta, n FROM th JOIN n USING (community, barcode))"""
 
 
 _HYBRID = f"""{_COMM}, one AS (SELECT * FROM cond), {_hybrid_sql(3).replace("gene", "community").replace("FROM iso)", "FROM comm_iso)")}
@@ -255,7 +225,7 @@ def _hybrid(spark, sf, s: EmSettings) -> DataFrame:
 
 
 @query(_HYBRID)
-def hybrid_em_communities(spark, sf):
+def hybrid_em_fixed_iters(spark, sf):
     return _hybrid(spark, sf, EmSettings(iterations=3, tolerance=0.0))
 
 
@@ -270,12 +240,12 @@ def _community_cells(spark, sf) -> DataFrame:
 
 
 @query(f"{_COMM_MOL} SELECT community, barcode, umi, isoform, round(p, 12) AS p FROM mol")
-def umi_molecules_communities(spark, sf):
+def umi_molecules_max(spark, sf):
     return molecules(_community_cells(spark, sf)).select("community", "barcode", "umi", "isoform", F.round("p", 12).alias("p"))
 
 
 @query(f"{_COMM_UNIT} SELECT community, barcode, isoform, round(theta, 9) AS theta, n FROM theta")
-def unit_em_communities(spark, sf):
+def unit_em_one_iteration(spark, sf):
     out = unit_em(_community_cells(spark, sf), EmSettings(iterations=1))
     return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
 
