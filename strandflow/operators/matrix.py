@@ -28,7 +28,7 @@ def gene_counts(counts: DataFrame, isoforms: DataFrame) -> DataFrame:
     return counts.join(isoforms.select("isoform", "gene"), "isoform").groupBy("barcode", "gene").agg(F.sum("count").alias("count"))
 
 
-def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, row: str = "isoform", version: str = "LongReadQuant-SC") -> None:
+def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, row: str = "isoform", version: str = "strandflow") -> None:
     """The files barcodes.tsv, features.tsv, matrix.mtx and cpm_matrix.mtx in a folder: names sorted, entries counted from 1.
 
     counts: barcode, row and count. features: row, and gene for the second column; without it, the rows that have counts. Barcodes without counts have no column.

@@ -296,7 +296,7 @@ def _orders(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def _covered(pieces: str, name: str) -> str:
     """CTEs: inclusive lengths of unions of elements in pieces (o, piece, chrom, strand, s, e), by o; elements that share one base only are not merged."""
-    return f"""{name}_p AS (SELECT p.o, piece, greatest(s, ts) AS a, least(e, te) AS b FROM ({pieces}) p JOIN elt USING (chrom, strand) WHERE ts < e AND te > s),
+    return f"""{name}_p AS (SELECT DISTINCT p.o, piece, greatest(s, ts) AS a, least(e, te) AS b FROM ({pieces}) p JOIN elt USING (chrom, strand) WHERE ts < e AND te > s),
   {name}_m AS (SELECT *, max(b) OVER (PARTITION BY o, piece ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}_p),
   {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY o, piece ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM {name}_m),
   {name} AS (SELECT o, piece, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o, piece, island, max(b) - min(a) + 1 AS n FROM {name}_i GROUP BY o, piece, island) GROUP BY o, piece)"""
@@ -388,10 +388,11 @@ def _offsets(spark, sf) -> DataFrame:
   o AS (SELECT n.*, i.iso_len FROM n JOIN iso i USING (isoform)),
   v AS (SELECT gene, CASE WHEN n = 1 THEN 'unique_mapping_LRs' ELSE 'multi_mapping_LRs' END AS kind, CAST(read_len AS DOUBLE) AS value FROM o
     UNION ALL SELECT gene, '5_end_truncation', off5 / iso_len FROM o WHERE n = 1 UNION ALL SELECT gene, '3_end_truncation', (isoform % 7) / iso_len FROM o WHERE n = 1)
-  SELECT gene, kind, count(*) AS n, round(sum(value), 6) AS total FROM v GROUP BY gene, kind""")
+  SELECT gene, kind, count(*) AS n, CAST(sum(CAST(round(value, 12) AS DECIMAL(24, 12))) AS DOUBLE) AS total FROM v GROUP BY gene, kind""")
 def long_read_values(spark, sf):
+    """Shares are added up as decimals, so that their order does not matter."""
     v = features.long_read_values(_offsets(spark, sf))
-    return v.groupBy("gene", "kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return v.groupBy("gene", "kind").agg(F.count("*").alias("n"), F.sum(F.round("value", 12).cast("decimal(24,12)")).cast("double").alias("total"))
 
 
 _HITS = "hits AS (SELECT DISTINCT l_orderkey || ':' || l_linenumber AS frag, l_partkey AS isoform, l_linenumber * 30 AS frag_len FROM lineitem)"

@@ -67,7 +67,7 @@ def test_cells_written_and_read_again(spark, files):
     back = tables.read_mex(spark, f"{files}/cells/SC_output/isoform")
     assert {(r["barcode"], r["feature"], r["alternate"]): r["value"] for r in back.collect()} == {("C1", "T1", "G1"): 2, ("C1", "T2", "G1"): 1}
     lines = [r[0] for r in spark.read.text(f"{files}/cells/SC_output/isoform/cpm_matrix.mtx").collect()]
-    assert lines == ["%%MatrixMarket matrix coordinate real general", '%metadata_json: {"software_version": "LongReadQuant-SC"}', "3 1 2", "1 1 666666.6667", "2 1 333333.3333"]
+    assert lines == ["%%MatrixMarket matrix coordinate real general", '%metadata_json: {"software_version": "strandflow"}', "3 1 2", "1 1 666666.6667", "2 1 333333.3333"]
     genes = tables.read_mex(spark, f"{files}/cells/SC_output/gene").collect()
     assert [(r["feature"], r["value"]) for r in genes] == [("G1", 3)]
     counts, _ = flow.assigned_counts(spark, f"{files}/a.gtf", f"{files}/cells.sam", s=EmSettings(umi_distance=1))
