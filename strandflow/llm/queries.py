@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandflow.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from strandflow.llm.fingerprints import op4_imatch_fingerprints
 from strandflow.llm.html_extraction import op1_html_extraction
 from strandflow.llm.lm_scoring import op7_lm_scoring
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing_weights": op10_mixing_weights,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op8_topk_search": OP8_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
