@@ -9,6 +9,7 @@ from strandflow.llm.lm_scoring import op7_lm_scoring
 from strandflow.llm.mixing import op10_mixing_weights
 from strandflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from strandflow.llm.packing import op9_best_fit_packing
+from strandflow.llm.source_audit import OP11_SQL, op11_source_audit
 from strandflow.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from strandflow.llm.topk_search import OP8_SQL, op8_topk_search
 from strandflow.llm.toxicity import op5_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing_weights": op10_mixing_weights,
+    "op11_source_audit": op11_source_audit,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op8_topk_search": OP8_SQL,
+    "op11_source_audit": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
 }
