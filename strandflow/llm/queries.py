@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandflow.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from strandflow.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from strandflow.llm.fingerprints import op4_imatch_fingerprints
 from strandflow.llm.html_extraction import op1_html_extraction
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing_weights": op10_mixing_weights,
     "op11_source_audit": op11_source_audit,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_topk_search": OP8_SQL,
     "op11_source_audit": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
