@@ -28,6 +28,30 @@ class EmSettings:
     rows_in_task: int = 2_000_000
 
 
+@dataclass(frozen=True)
+class ShortSettings:
+    choice: str = "hybrid"  # SR: short reads alone decide, LR: long ones, hybrid: both, by alpha
+    eff_len_rule: str = "kallisto"  # or rsem
+    fragment_mean: float | None = None  # of all hits' lengths, unless given
+    fragment_deviation: float | None = None
+
+
+@dataclass(frozen=True)
+class GlobalSettings:
+    """Of the estimators that iterate over all isoforms at once, without communities."""
+
+    iterations: int = 1000
+    tolerance: float = 1e-3
+    start: str = "LR"  # LR, SR or hybrid, each also with _unique; uniform or random
+    seed: int = 0
+    pseudo_counts: str = "below"  # below: isoforms whose start is under least_start get them; all: every isoform
+    least_start: float = 0.0
+    pseudo_long: float = 1.0
+    pseudo_short: float | None = None  # one over the largest effective length, unless given
+    #: Rows of reads that a task holds.
+    rows_in_shard: int = 1_000_000
+
+
 @dataclass(frozen=True)
 class TeSettings:
     first_exon_threshold: float = 50.0

@@ -181,20 +181,22 @@ def _large(rows: DataFrame, s: EmSettings) -> DataFrame:
 
 
 def hybrid_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
-    """g: community, kind (L, S or I), row, isoform, p, eff_len and alpha of whole communities, sorted by community; the rows I list their isoforms with effective lengths."""
+    """g: community, kind (L, S or I), row, isoform, p, n, eff_len and alpha of whole communities, sorted by community; the rows I list their isoforms with effective lengths."""
     c = _Communities(g)
-    kind, p = g["kind"].to_numpy(), g["p"].to_numpy(float)
+    kind, p, n = g["kind"].to_numpy(), g["p"].to_numpy(float), g["n"].to_numpy(float)
     eff = np.ones(len(c.home))
     eff[c.iso[kind == "I"]] = g["eff_len"].to_numpy(float)[kind == "I"]
     alpha = np.zeros(len(c.names))
     np.maximum.at(alpha, c.of_row, g["alpha"].to_numpy(float))
     alpha = alpha[c.home]
-    sides, fragments = {}, np.zeros(len(c.names))
+    sides = {}
     for k in "LS":
-        row, n = c.numbered(g["row"], kind == k)
-        sides[k] = (row, c.iso[kind == k], p[kind == k], np.ones(n))
-    row = sides["S"][0]
-    fragments += np.bincount(c.of_row[kind == "S"][np.unique(row, return_index=True)[1]], minlength=len(c.names))
+        row, rows = c.numbered(g["row"], kind == k)
+        weight = np.zeros(rows)
+        weight[row] = n[kind == k]
+        sides[k] = (row, c.iso[kind == k], p[kind == k], weight)
+    once = np.unique(sides["S"][0], return_index=True)[1]
+    fragments = np.bincount(c.of_row[kind == "S"][once], n[kind == "S"][once], minlength=len(c.names))
 
     def step(theta: np.ndarray) -> np.ndarray:
         long = alpha * _shares(*sides["L"][:3], theta, sides["L"][3])
@@ -212,21 +214,25 @@ def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: Dat
     """long (community, read, isoform, p), short (community, fragment, isoform, ant), isoforms (community, isoform, eff_len); alpha: one
     number or a table (community, alpha), where communities that it lacks have 0.5. Gives community, isoform, theta, iterations, tpm.
 
-    Isoforms whose community lacks reads of both kinds end with theta 0. A community of more than s.rows_in_task rows iterates as joins and grouped sums.
+    Reads, and fragments, of the same isoforms and values are one row with their number. Isoforms whose community lacks reads of both kinds end with theta 0. A community of more
+    than s.rows_in_task rows iterates as joins and grouped sums.
     """
     spark = isoforms.sparkSession
     schema = _schema(isoforms, _BULK + ", expression double")
     none = F.lit(None).cast("double")
-    parts = [
-        long.select("community", F.lit("L").alias("kind"), F.xxhash64("read").alias("row"), "isoform", "p", none.alias("eff_len")),
-        short.select("community", F.lit("S").alias("kind"), F.xxhash64("fragment").alias("row"), "isoform", F.col("ant").alias("p"), none.alias("eff_len")),
-        isoforms.select("community", F.lit("I").alias("kind"), F.lit(0).cast("long").alias("row"), "isoform", none.alias("p"), "eff_len"),
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def side(kind: str, reads: DataFrame) -> DataFrame:
+        rows = _hits(classes(reads.withColumn("p", F.coalesce("p", F.lit(0.0)))))
+        return rows.select("community", F.lit(kind).alias("kind"), "row", "isoform", "p", "n", none.alias("eff_len"))
+
+    every = side("L", long.select("community", "read", "isoform", "p")).unionByName(side("S", short.select("community", F.col("fragment").alias("read"), "isoform", F.col("ant").alias("p"))))
+    names = isoforms.select("community", F.lit("I").alias("kind"), F.lit(0).cast("long").alias("row"), "isoform", none.alias("p"), F.lit(0).cast("long").alias("n"), "eff_len")
+    every = every.unionByName(names)
     if isinstance(alpha, DataFrame):
         every = every.join(alpha.select("community", "alpha"), "community", "left").fillna(0.5, ["alpha"])
     else:
         every = every.withColumn("alpha", F.lit(float(alpha)))
+    every = materialize(every, "sides")
 
     size = every.groupBy("community").agg(F.count("*").alias("rows"))
     large = materialize(size.where(F.col("rows") > s.rows_in_task).select("community"), "large")
@@ -236,13 +242,14 @@ def hybrid_em(long: DataFrame, short: DataFrame, isoforms: DataFrame, alpha: Dat
         found = _by_community(every.join(large, "community", "left_anti"), lambda g: hybrid_kernel(g, s), schema)
         found = found.unionByName(_hybrid_large(every.join(large, "community", "left_semi"), s).to(spark.createDataFrame([], schema).schema))
     out = materialize(found, "hybrid")
+    discard(every)
     total = out.agg(F.sum("expression")).first()[0] or 1.0
     return out.withColumn("tpm", F.col("expression") / F.lit(float(total)) * 1e6).drop("expression")
 
 
 def _hybrid_large(every: DataFrame, s: EmSettings) -> DataFrame:
     """The same iteration as joins: rows stay spread by read, sums by isoform are combined before the shuffle."""
-    rows = materialize(every.where("kind <> 'I'").select("community", "kind", "row", "isoform", "p"), "rows")
+    rows = materialize(every.where("kind <> 'I'").select("community", "kind", "row", "isoform", "p", "n"), "rows")
     names = every.groupBy("community", "isoform").agg(F.coalesce(F.max("eff_len"), F.lit(1.0)).alias("eff"), F.max("alpha").alias("alpha"))
     whole = Window.partitionBy("community")
     theta = materialize(names.withColumn("theta", 1 / F.count("*").over(whole)), "theta")
@@ -250,7 +257,7 @@ def _hybrid_large(every: DataFrame, s: EmSettings) -> DataFrame:
     for k in range(1, s.iterations + 1):
         q = rows.join(theta, ["community", "isoform"]).withColumn("q", F.col("p") * F.col("theta") * F.when(short, F.col("eff")).otherwise(1.0))
         sums = q.groupBy("community", "kind", "row").agg(F.sum("q").alias("whole"))
-        part = F.when(F.col("whole") > 0, F.col("q") / F.col("whole") * F.when(short, 1 - F.col("alpha")).otherwise(F.col("alpha"))).otherwise(0.0)
+        part = F.when(F.col("whole") > 0, F.col("n") * F.col("q") / F.col("whole") * F.when(short, 1 - F.col("alpha")).otherwise(F.col("alpha"))).otherwise(0.0)
         dealt = q.join(sums, ["community", "kind", "row"]).groupBy("community", "isoform").agg(F.sum(F.when(short, part).otherwise(0.0)).alias("short"), F.sum(F.when(short, 0.0).otherwise(part)).alias("long"))
         new = theta.join(dealt, ["community", "isoform"], "left").fillna(0.0, ["short", "long"])
         totals = new.groupBy("community").agg(F.sum("short").alias("all_short"), F.sum("long").alias("all_long"), F.sum(F.col("theta") * F.col("eff")).alias("mass"))
@@ -265,7 +272,7 @@ def _hybrid_large(every: DataFrame, s: EmSettings) -> DataFrame:
         theta = new
         if not open_:
             break
-    fragments = rows.where(short).groupBy("community").agg(F.countDistinct("row").alias("fragments"))
+    fragments = rows.where(short).select("community", "row", "n").distinct().groupBy("community").agg(F.sum("n").alias("fragments"))
     mass = F.sum(F.col("theta") * F.col("eff")).over(whole)
     out = theta.withColumn("mass", mass).join(fragments, "community", "left").fillna(0, ["fragments"])
     expression = F.when(F.col("mass") > 0, F.col("fragments") * F.col("theta") / F.col("mass")).otherwise(0.0)

@@ -44,8 +44,19 @@ def initial_theta(read_isoform: DataFrame, rule: str = "LR") -> DataFrame:
 
 def length_support(isoforms: DataFrame, theta0: DataFrame, cdf: DataFrame, lengths: DataFrame) -> DataFrame:
     """read_len and sm: sum of theta0 / cdf(iso_len) over isoforms at least that long, for each length of lengths."""
-    at = cdf_at(isoforms, cdf)
-    w = isoforms.select("isoform", "iso_len").join(theta0, "isoform").join(at, "iso_len").groupBy("iso_len").agg(F.sum(F.when(F.col("cdf") > 0, F.col("theta0") / F.col("cdf")).otherwise(0.0)).alias("w"))
+    theta = isoforms.select("isoform", "iso_len").join(theta0.select("isoform", F.col("theta0").alias("theta")), "isoform")
+    return tail_support(theta, lengths, cdf_at(isoforms, cdf))
+
+
+def tail_support(theta: DataFrame, lengths: DataFrame, at: DataFrame | None) -> DataFrame:
+    """read_len and sm: sum of theta (isoform, iso_len, theta) over isoforms at least that long, each over the cdf of its length where at (iso_len, cdf) is given.
+
+    The window sees one row for each distinct length of isoforms and reads, however many there are.
+    """
+    if at is None:
+        w = theta.groupBy("iso_len").agg(F.sum("theta").alias("w"))
+    else:
+        w = theta.join(at, "iso_len").groupBy("iso_len").agg(F.sum(F.when(F.col("cdf") > 0, F.col("theta") / F.col("cdf")).otherwise(0.0)).alias("w"))
     both = w.select(F.col("iso_len").alias("at"), "w", F.lit(False).alias("asked")).unionByName(
         lengths.select(F.col("read_len").alias("at"), F.lit(0.0).alias("w"), F.lit(True).alias("asked")).distinct()
     )

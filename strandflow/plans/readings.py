@@ -117,9 +117,8 @@ def fractions_and_densities(spark, sf):
     return _table(spark, sf, "lineitem").select(*_key(*_LI), (F.col("l_quantity") / w).alias("off5"), ratio(F.col("l_quantity"), F.col("l_suppkey") % 3).alias("safe"), F.round(hit, 12).alias("hit"))
 
 
-@query("""WITH l AS (SELECT DISTINCT 30 + p_partkey % 300 AS length FROM part), g AS (SELECT CAST(unnest(generate_series(1, 251)) AS DOUBLE) AS i),
-  every AS (SELECT sum(exp(-(((i - 150.0) / 20) ** 2) / 2)) AS s FROM g)
-  SELECT length, round(sum(exp(-(((i - 150.0) / 20) ** 2) / 2) * (length - i + 1)) / (SELECT s FROM every), 6) AS eff_len FROM l, g WHERE i <= length GROUP BY length""")
+@query("""WITH l AS (SELECT DISTINCT 30 + p_partkey % 300 AS length FROM part), w AS (SELECT length, CAST(unnest(generate_series(1, length)) AS DOUBLE) AS i FROM l)
+  SELECT length, round(CASE WHEN length < 150.0 - 5 * 20 THEN 1 ELSE greatest(1, sum((length - i + 1) * exp(-(((i - 150.0) / 20) ** 2) / 2)) / sum(exp(-(((i - 150.0) / 20) ** 2) / 2))) END, 6) AS eff_len FROM w GROUP BY length""")
 def eff_len_rsem(spark, sf):
     lengths = _table(spark, sf, "part").select((30 + F.col("p_partkey") % 300).alias("length")).distinct()
     return with_effective_length(lengths, 150.0, 20.0, "rsem").select("length", F.round("eff_len", 6).alias("eff_len"))
