@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandflow.llm._store import give_back, materialize, shuffle_partitions
 
 #: Bytes of text that DuckDB reads at a time, that a task counts before it sends counts on, and whose counts are a shard's, about.
-READ_BYTES, FLUSH_BYTES, SHARD_BYTES = 4 << 20, 24 << 20, 24 << 20
+READ_BYTES, FLUSH_BYTES, SHARD_BYTES = 8 << 20, 32 << 20, 24 << 20
 #: Memory of one DuckDB; what needs more goes to the task's own temporary folder.
 MEMORY = "300MB"
 #: Documents of a language that a kept term occurs in, unit of probabilities, ranks of terms that are reported.
@@ -68,12 +68,10 @@ def pieces(text: str, size: int) -> Iterator[str]:
         at = to
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Tables (doc, lang, source, text) of about READ_BYTES, after the bytes of texts so far; documents are numbered within the task, and pieces of a long text have one number."""
-    first, so_far = 0, 0
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.Table]]:
+    """Bytes of texts, whether more of the same document follows, and a table (doc, lang, source, text): some documents of about READ_BYTES together, or a piece of a longer one."""
     for b in batches:
-        t = pa.Table.from_batches([b]).append_column("doc", pa.array(range(first, first + len(b)), pa.int64()))
-        first += len(b)
+        t = pa.Table.from_batches([b]).append_column("doc", pa.array(range(len(b)), pa.int64()))
         size = pc.binary_length(t["text"]).to_numpy()
         i = 0
         while i < len(size):
@@ -81,31 +79,43 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
             while j < len(size) and n + size[j] <= READ_BYTES:
                 n += int(size[j])
                 j += 1
-            so_far += n
             if n <= READ_BYTES:
-                yield so_far, t.slice(i, j - i)
+                yield n, False, t.slice(i, j - i)
             else:
                 doc = t.slice(i, 1)
                 for x in pieces(doc["text"][0].as_py(), READ_BYTES):
-                    yield so_far, doc.set_column(doc.schema.get_field_index("text"), "text", pa.array([x]))
+                    yield READ_BYTES, True, doc.set_column(doc.schema.get_field_index("text"), "text", pa.array([x]))
+                yield 0, False, doc.set_column(doc.schema.get_field_index("text"), "text", pa.array([""]))
             i = j
 
 
+_TERMS = f"SELECT doc, lang, source, unnest(regexp_extract_all({_LOWER.format('text')}, '{TERM}')) AS term FROM portion"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of terms, and of the documents that hold them, by language and source."""
-    merged = "SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc) AS docs FROM seen GROUP BY ALL"
+    """Counts of terms, and of the documents that hold them, by language and source. Counts of a document that is read in pieces meet before it is counted as one."""
+    per_doc = f"SELECT doc, lang, source, term, count(*) AS n FROM ({_TERMS}) GROUP BY ALL"
+    merged = "SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM seen GROUP BY ALL"
     with _duck() as con:
-        con.execute("CREATE TABLE seen (doc BIGINT, lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT)")
-        flushed, last = 0, None
-        for so_far, portion in _portions(batches):
-            if so_far - flushed > FLUSH_BYTES and portion["doc"][0].as_py() != last:
-                yield from con.sql(merged).to_arrow_table().to_batches()
-                con.execute("TRUNCATE seen")
-                flushed = so_far
+        con.execute("CREATE TABLE seen (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        con.execute("CREATE TABLE part (doc BIGINT, lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT)")
+        so_far, in_parts = 0, False
+        for n, more, portion in _portions(batches):
+            so_far += n
             con.register("portion", portion)
-            con.execute(f"INSERT INTO seen SELECT doc, lang, source, {_LOWER.format('term')} AS t, count(*) FROM (SELECT doc, lang, source, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM portion) GROUP BY ALL")
+            if more or in_parts:
+                con.execute(f"INSERT INTO part {per_doc}")
+                in_parts = more
+                if not more:
+                    con.execute("INSERT INTO seen SELECT lang, source, term, sum(n), 1 FROM part GROUP BY ALL")
+                    con.execute("TRUNCATE part")
+            else:
+                con.execute(f"INSERT INTO seen SELECT lang, source, term, sum(n), count(*) FROM ({per_doc}) GROUP BY ALL")
             con.unregister("portion")
-            last = portion["doc"][-1].as_py()
+            if so_far > FLUSH_BYTES and not in_parts:
+                yield from con.sql(merged).to_arrow_table().to_batches()
+                con.execute("TRUNCATE seen")
+                so_far = 0
         yield from con.sql(merged).to_arrow_table().to_batches()
 
 
