@@ -63,18 +63,20 @@ def runs(values: Column, make) -> Column:
 
 
 def regions(models: DataFrame) -> DataFrame:
-    """chrom, gene, region, region_len, n_atoms, isoforms. Their number grows with the square of an isoform's atoms: for K-values and small genes."""
+    """chrom, gene, region, region_len, n_atoms, inner_len, first_len, last_len, isoforms. Their number grows with the square of an isoform's atoms: for K-values and small genes."""
     i = models.select(*GENE, "atoms", F.explode("isoforms").alias("i"))
     own = F.transform("i.atom_ids", lambda k: F.element_at("atoms", k + 1))
 
     def region(a):
         name = F.array_join(F.transform(a, lambda x: F.concat(F.lit("P"), x["first_point"].cast("string"), F.lit(":P"), x["last_point"].cast("string"))), "-")
         return F.struct(name.alias("region"), F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"] + 1).alias("region_len"), F.size(a).alias("n_atoms"),
-                        F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 2, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"] + 1).alias("inner_len"))
+                        F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 2, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"] + 1).alias("inner_len"),
+                        *[(F.element_at(a, k)["end"] - F.element_at(a, k)["start"] + 1).alias(n) for n, k in (("first_len", 1), ("last_len", -1))])
 
     r = i.select(*GENE, F.col("i.isoform").alias("isoform"), F.explode(runs(own, region)).alias("r"))
     return r.groupBy(*GENE, "r.region").agg(
-        F.first("r.region_len").alias("region_len"), F.first("r.n_atoms").alias("n_atoms"), F.first("r.inner_len").alias("inner_len"), F.sort_array(F.collect_set("isoform")).alias("isoforms")
+        F.first("r.region_len").alias("region_len"), F.first("r.n_atoms").alias("n_atoms"), F.first("r.inner_len").alias("inner_len"),
+        F.first("r.first_len").alias("first_len"), F.first("r.last_len").alias("last_len"), F.sort_array(F.collect_set("isoform")).alias("isoforms")
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.intervals import interval_join
+from strandflow.operators.store import materialize
 
 
 def assign_reads(compatible: DataFrame, theta: DataFrame) -> DataFrame:
@@ -16,31 +18,50 @@ def assign_reads(compatible: DataFrame, theta: DataFrame) -> DataFrame:
     return known.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "theta")
 
 
-def clustered(names: list[str], distance: int) -> int:
-    """Clusters of names: each, in the order given, joins the first cluster that has a member within the distance, or begins one."""
-    clusters: list[list[str]] = []
-    for x in names:
-        for c in clusters:
-            if any(len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) <= distance or max(len(x), len(y)) <= distance for y in c):
-                c.append(x)
-                break
+def _masks(length: int, distance: int) -> list[str]:
+    """Every name of so many characters as a pattern of the characters that are kept, where as many as the distance are left out."""
+    left_out = combinations(range(length), min(distance, length))
+    return ["".join("0" if i in gone else "1" for i in range(length)) for gone in map(set, left_out)]
+
+
+def near_earlier(names: DataFrame, keys: list[str], name: str, distance: int) -> DataFrame:
+    """names (keys, name, distinct) with near: whether an earlier name of the same keys is within the distance.
+
+    Two names of the same length are within it just if they agree outside some choice of so many places. Each name is therefore listed under what is left of it by every choice, and
+    of each list only the first name counts: lists are combined before they are shuffled, and no pairs are made, however many names a key has. Names of different lengths are as far
+    apart as the longer one is long. A name is listed as often as its places can be chosen, which is meant for the distances of one or two that molecules' names take.
+    """
+    lengths = [r[0] for r in names.select(F.length(name).alias("n")).where("n IS NOT NULL").distinct().orderBy("n").collect()]  # lengths of names: a few
+    text = F.col(name)
+    listed = F.array().cast("array<struct<mask:string,rest:string>>")
+    for n in lengths:
+        if n <= distance:
+            here = F.array(F.struct(F.lit("short").alias("mask"), F.lit("").alias("rest")))
         else:
-            clusters.append([x])
-    return len(clusters)
+            masks = F.array(*[F.lit(m) for m in _masks(n, distance)])
+            letters = F.split(text, "")
+            rest = F.transform(masks, lambda m: F.struct(F.concat(F.lit(f"{n}:"), m).alias("mask"), F.array_join(F.zip_with(letters, F.split(m, ""), lambda c, k: F.when(k == "1", c).otherwise("*")), "").alias("rest")))
+            here = rest
+        listed = F.when(F.length(name) == n, here).otherwise(listed)
+    entries = names.select(*keys, name, F.explode(listed).alias("x")).select(*keys, name, "x.mask", "x.rest")
+    first = entries.groupBy(*keys, "mask", "rest").agg(F.min(name).alias("__first"))
+    back = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    first = first.withColumnsRenamed({k: f"__{k}" for k in keys} | {"mask": "__mask", "rest": "__rest"})
+    seen = entries.join(first, [*back, F.col("mask") == F.col("__mask"), F.col("rest") == F.col("__rest")])
+    return seen.groupBy(*keys, name).agg(F.max(F.col("__first") < F.col(name)).alias("near"))
 
 
 def molecule_counts(assigned: DataFrame, distance: int = 0) -> DataFrame:
-    """barcode, isoform, count: distinct molecules (umi, else the read's name). With a distance, molecules of similar names count once; they are taken by name, and
-    only the distinct names of one cell and isoform come to one task."""
+    """barcode, isoform, count: distinct molecules (umi, else the read's name).
+
+    With a distance, a name that is within it of an earlier one, in the order of names, is no molecule of its own: it belongs to the group of the first such name. Names therefore count as many
+    groups as there are names without a near earlier one.
+    """
     m = assigned.where("barcode IS NOT NULL").select("barcode", "isoform", F.coalesce("umi", "read").alias("umi")).distinct()
     if not distance:
         return m.groupBy("barcode", "isoform").agg(F.count("*").alias("count"))
-    kind = {c: m.schema[c].dataType.simpleString() for c in ("barcode", "isoform")}
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"barcode": [key[0]], "isoform": [key[1]], "count": [clustered(sorted(g["umi"]), distance)]})
-
-    return m.groupBy("barcode", "isoform").applyInPandas(run, f"barcode {kind['barcode']}, isoform {kind['isoform']}, count long")
+    m = materialize(m, "molecules")
+    return near_earlier(m, ["barcode", "isoform"], "umi", distance).groupBy("barcode", "isoform").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("count"))
 
 
 def whitelisted(reads: DataFrame, whitelist: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -112,7 +112,7 @@ def _kernel(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Outcome:
-    """expression: isoform, eff_len, theta, tpm. rounds: of each round the log-likelihood of the reads before it, up to a constant, and whether any isoform still moved."""
+    """expression: isoform, eff_len, theta, tpm. rounds: of each round the log-likelihoods of long and short reads before it, up to constants, and whether any isoform still moved."""
 
     expression: DataFrame
     rounds: list[dict]
@@ -159,8 +159,8 @@ def global_em(isoforms: DataFrame, theta: DataFrame, long: DataFrame | None = No
             given = given.unionByName(lengths)
         given = given.select("shard", "kind", "key", "value", "eff_len")
         sums = dealt.groupBy("shard").cogroup(given.groupBy("shard")).applyInPandas(_kernel, "id long, side string, q double, likely double")
-        sums = materialize(sums.groupBy("id").agg(F.sum(F.when(F.col("side") == "L", F.col("q"))).alias("l"), F.sum(F.when(F.col("side") == "S", F.col("q"))).alias("s"), F.sum("likely").alias("likely")), "sums")
-        t = sums.agg(F.coalesce(F.sum("l"), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum("likely"), F.lit(0.0))).first()
+        sums = materialize(sums.groupBy("id").agg(F.sum(F.when(F.col("side") == "L", F.col("q"))).alias("l"), F.sum(F.when(F.col("side") == "S", F.col("q"))).alias("s"), *[F.sum(F.when(F.col("side") == k, F.col("likely"))).alias(f"likely_{k}") for k in "LS"]), "sums")
+        t = sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("l", "s", "likely_L", "likely_S")]).first()
         mass = now.agg(F.sum(F.col("theta") * F.col("eff_len"))).first()[0] or 1.0
         below = F.lit((1 - alpha) * t[1] / mass) * F.col("eff_len") + F.lit(alpha * t[0])
         x = F.when(below > 0, (F.lit(1 - alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(float(alpha)) * F.coalesce("l", F.lit(0.0))) / below).otherwise(0.0)
@@ -174,7 +174,7 @@ def global_em(isoforms: DataFrame, theta: DataFrame, long: DataFrame | None = No
         if before is not names:
             discard(previous)
         previous = new
-        rounds.append({"log_likelihood": float(t[2]), "moving": moving})
+        rounds.append({"long": float(t[2]), "short": float(t[3]), "moving": moving})
         if not moving:
             break
     out = now.select("isoform", "eff_len", "theta", (F.col("theta") * 1e6).alias("tpm"))

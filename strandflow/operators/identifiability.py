@@ -59,15 +59,29 @@ def condition(a: np.ndarray, tolerance: float = 0.0) -> tuple[float, float, floa
     return top / low, float("inf"), top / low, top * low
 
 
-def k_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
-    """regions (chrom, gene, region, region_len, inner_len, isoforms) -> one row a gene. A gene's regions come to one task: they are bounded by
-    its own structure, not by reads."""
+def _matrices(regions: DataFrame, s: KSettings, make, schema: str) -> DataFrame:
+    """make(key, design matrix) of each gene, as a row. A gene's regions come to one task: they are bounded by its own structure, not by reads."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         row, rows = pd.factorize(g["region"], sort=True)
         col, cols = pd.factorize(g["isoform"], sort=True)
         a = np.zeros((len(rows), len(cols)))
         a[row, col] = g["value"]
-        return pd.DataFrame([[*key, len(cols), len(rows), *condition(a, s.tolerance)]], columns=[x.split()[0] for x in _SCHEMA.split(", ")])
+        return pd.DataFrame([[*key, len(cols), len(rows), *make(a)]], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return design_matrix(regions, s).groupBy("chrom", "gene").applyInPandas(run, schema)
+
+
+def k_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
+    """regions (chrom, gene, region, region_len, inner_len, isoforms) -> one row a gene."""
+    return _matrices(regions, s, lambda a: condition(a, s.tolerance), _SCHEMA)
+
+
+def singular_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
+    """The same with the singular values of the design matrix, largest first: as many as isoforms, those of missing regions 0."""
+
+    def values(a: np.ndarray) -> tuple[list[float]]:
+        found = np.linalg.svd(a, compute_uv=False)
+        return (np.append(found, np.zeros(max(0, a.shape[1] - len(found)))).tolist(),)
 
-    return design_matrix(regions, s).groupBy("chrom", "gene").applyInPandas(run, _SCHEMA)
+    return _matrices(regions, s, values, "chrom string, gene string, n_isoforms int, n_regions int, singular_values array<double>")
