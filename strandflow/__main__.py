@@ -56,6 +56,8 @@ def main(argv: list[str] | None = None) -> None:
     p = runs.add_parser("k-values")
     p.add_argument("--annotation", required=True)
     p.add_argument("--read-length", type=int, default=150)
+    p.add_argument("--alignments", help="K-values of the regions that these reads leave, too")
+    p.add_argument("--short", action="store_true", help="the alignments are of short reads")
     p = runs.add_parser("te-gtf")
     p.add_argument("--repeatmasker", required=True)
     for p in runs.choices.values():
@@ -84,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
         else:
             flow.cal_te(spark, a.annotation, a.elements, a.output, tables.read_quantified(spark, a.quantified) if a.quantified else None, s)
     elif a.run == "k-values":
-        flow.identifiability(spark, a.annotation, a.output, KSettings(read_length=a.read_length))
+        flow.identifiability(spark, a.annotation, a.output, KSettings(read_length=a.read_length), a.alignments, a.short)
     else:
         flow.repeatmasker_to_gtf(spark, a.repeatmasker, a.output)
 

@@ -132,6 +132,11 @@ def k_value_tables(k: DataFrame, models: DataFrame) -> dict[str, DataFrame]:
     return {"kvalues_gene.out": per_gene, "kvalues_isoform.out": per_isoform.select("isoform", "gene", "chrom", "k_value")}
 
 
+def singular_value_table(values: DataFrame) -> DataFrame:
+    """A row a gene: its singular values, largest first, joined by commas."""
+    return values.select("gene", "chrom", "n_isoforms", "n_regions", F.array_join(F.col("singular_values").cast("array<string>"), ",").alias("singular_values"))
+
+
 def expression_tables(tpm: DataFrame, isoforms: DataFrame) -> dict[str, DataFrame]:
     """expression_isoform.out and expression_gene.out. tpm: isoform, tpm; isoforms: chrom, gene, isoform."""
     t = isoforms.select("isoform", "gene", "chrom").join(tpm.select("isoform", "tpm"), "isoform", "left").fillna(0.0, ["tpm"])
