@@ -274,6 +274,70 @@ def region_read_counts(spark, sf):
     return region_counts(map_reads(reads, annotation.gene_models(ex))).select("gene", "region", "reads")
 
 
+# Reads that begin and end a little off, in loci that two genes share, one of them up to four bases to the right of the other.
+def _noisy(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Exons that overlap in part, and reads of up to three blocks whose ends and junctions are shifted, some too far."""
+    from pyspark.sql import Window
+
+    genes = _table(spark, sf, "part").select("p_brand", "p_size").distinct().withColumn("g", F.row_number().over(Window.orderBy("p_brand", "p_size")) - 1)
+    locus = F.floor(F.col("g") / 2)
+    e = _slots(spark, sf).join(genes.withColumn("at", locus * 10000 + F.col("g") % 2 * (1 + locus % 4)), ["p_brand", "p_size"])
+    start, end = (F.col("at") + 1000 * F.col("k") + 1 + 20 * (F.col("p_partkey") % 3)).cast("long"), (F.col("at") + 1000 * F.col("k") + 100 + 10 * (F.col("p_partkey") % 2)).cast("long")
+    ex = e.select("p_partkey", F.lit("1").alias("chrom"), F.lit("+").alias("strand"), _gene().alias("gene"), F.concat(F.lit("T"), "p_partkey").alias("isoform"), start.alias("start"), end.alias("end"))
+    own = ex.groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("own"))
+    li = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(own, "l_partkey")
+    i = (F.col("l_linenumber") % F.size("own")).cast("int")
+    n = 1 + (F.col("l_orderkey") % F.least(F.lit(3), F.size("own") - i)).cast("int")
+    at_ends = (F.col("l_orderkey") % 37 - 12, (F.col("l_orderkey") + F.col("l_partkey")) % 41 - 15)
+    inside = (F.col("l_partkey") + F.col("l_linenumber")) % 13 - 6
+
+    def shifted(x: Column, j: Column) -> Column:
+        return F.struct((x["start"] + F.when(j == 0, at_ends[0]).otherwise(inside)).alias("start"), (x["end"] + F.when(j == n - 1, at_ends[1]).otherwise(-inside)).alias("end"))
+
+    reads = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("read"), F.lit("1").alias("chrom"), F.transform(F.slice("own", i + 1, n), shifted).alias("blocks"))
+    return ex.drop("p_partkey"), reads
+
+
+_NOISY_EX = f"""g AS (SELECT p_brand, p_size, row_number() OVER (ORDER BY p_brand, p_size) - 1 AS g FROM (SELECT DISTINCT p_brand, p_size FROM part)),
+  ex AS (SELECT p_brand || '|' || p_size AS gene, 'T' || p_partkey AS isoform, p_partkey, CAST(g // 2 * 10000 + g % 2 * (1 + g // 2 % 4) + 1000 * k + 1 + 20 * (p_partkey % 3) AS BIGINT) AS s, CAST(g // 2 * 10000 + g % 2 * (1 + g // 2 % 4) + 1000 * k + 100 + 10 * (p_partkey % 2) AS BIGINT) AS e
+  FROM part JOIN g USING (p_brand, p_size), (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k) WHERE {_MASK})"""
+
+
+def _level(j: int) -> str:
+    """Chains of the first j blocks, in the order in which they are preferred: by overlap, its share, the chain before, and later atoms first."""
+    if j == 1:
+        return """c1 AS (SELECT read, gene, nb, r AS last, part, ov, len, row_number() OVER (PARTITION BY read, gene ORDER BY ov DESC, ov / len DESC, r DESC, l DESC) AS k FROM opt WHERE j = 1)"""
+    return f"""c{j} AS (SELECT c.read, c.gene, c.nb, o.r AS last, c.part || o.part AS part, c.ov + o.ov AS ov, c.len + o.len AS len,
+    row_number() OVER (PARTITION BY c.read, c.gene ORDER BY c.ov + o.ov DESC, (c.ov + o.ov) / (c.len + o.len) DESC, c.k, o.r DESC, o.l DESC) AS k FROM c{j - 1} c JOIN opt o ON o.read = c.read AND o.gene = c.gene AND o.j = {j} AND o.l > c.last)"""
+
+
+@query(f"""WITH {_NOISY_EX}{_REGIONS.removeprefix(_EX)},
+  sp AS (SELECT gene, min(s) AS gs, max(e) AS ge FROM ex GROUP BY gene),
+  om AS (SELECT p_partkey AS l_partkey, list({{'s': s, 'e': e}} ORDER BY s) AS own FROM ex GROUP BY p_partkey),
+  li AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem),
+  rd AS (SELECT o || ':' || n || ':' || p AS read, o, n, p, own, n % len(own) AS i, 1 + o % least(3, len(own) - n % len(own)) AS nb FROM li JOIN om ON l_partkey = p),
+  bl AS (SELECT read, nb, j, own[i + j].s + CASE WHEN j = 1 THEN o % 37 - 12 ELSE (p + n) % 13 - 6 END AS s, own[i + j].e + CASE WHEN j = nb THEN (o + p) % 41 - 15 ELSE -((p + n) % 13 - 6) END AS e FROM (SELECT *, unnest(range(1, nb + 1)) AS j FROM rd)),
+  rs AS (SELECT read, any_value(nb) AS nb, min(CASE WHEN j = 1 THEN s END) AS a, max(CASE WHEN j = nb THEN e END) AS b FROM bl GROUP BY read HAVING bool_and(e - s >= 15)),
+  ca AS (SELECT read, nb, gene FROM rs JOIN sp ON gs <= a + CASE WHEN b - a > 40 THEN 20 ELSE 2 END AND ge >= b - CASE WHEN b - a > 40 THEN 20 ELSE 2 END),
+  ai AS (SELECT *, sum(CASE WHEN s - before <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY gene ORDER BY s) AS island FROM (SELECT gene, s, e, p // 2 AS n, coalesce(lag(e) OVER (PARTITION BY gene ORDER BY s), -100) AS before FROM atom)),
+  ru AS (SELECT a.gene, a.n AS l, b.n AS r, a.s AS ls, a.e AS le, b.s AS rs, b.e AS re, list_transform(range(a.n, b.n + 1), lambda x: 'P' || (2 * x) || ':P' || (2 * x + 1)) AS part FROM ai a JOIN ai b ON a.gene = b.gene AND a.island = b.island AND a.n <= b.n),
+  opt AS (SELECT ca.read, ca.gene, ca.nb, j, l, r, part, re - ls + 1 AS len, (re - ls + 1) + (e - s + 1) - (greatest(e, re) - least(s, ls) + 1) AS ov FROM ca JOIN bl USING (read) JOIN ru ON ru.gene = ca.gene
+    WHERE re >= s - 5 AND rs < e + 5 AND le >= s - 5 AND CASE WHEN j < ca.nb THEN abs(re - e) <= 5 ELSE e - re <= 20 END AND CASE WHEN j > 1 THEN abs(ls - s) <= 5 ELSE ls - s <= 20 END),
+  {_level(1)}, {_level(2)}, {_level(3)},
+  al AS (SELECT * FROM c1 WHERE nb = 1 UNION ALL SELECT * FROM c2 WHERE nb = 2 UNION ALL SELECT * FROM c3 WHERE nb = 3),
+  kn AS (SELECT read, gene, array_to_string(part, '-') AS region, ov, len, k FROM al WHERE EXISTS (SELECT 1 FROM reg WHERE reg.gene = al.gene AND reg.region = array_to_string(al.part, '-'))),
+  be AS (SELECT * EXCLUDE k FROM kn QUALIFY row_number() OVER (PARTITION BY read, gene ORDER BY k) = 1),
+  fo AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY gene) AS k, count(*) OVER (PARTITION BY read) AS m, lead(ov) OVER (PARTITION BY read ORDER BY gene) AS ov2, lead(len) OVER (PARTITION BY read ORDER BY gene) AS len2,
+    lag(ov) OVER (PARTITION BY read ORDER BY gene) AS ov1, lag(len) OVER (PARTITION BY read ORDER BY gene) AS len1 FROM be)
+  SELECT read, gene, region, CAST(ov AS BIGINT) AS overlap, CAST(len AS BIGINT) AS region_len FROM fo WHERE m = 1 OR m = 2 AND CASE
+    WHEN k = 1 THEN NOT (abs(ov2 - ov) <= 2 AND abs(len2 - len) > 2 AND len2 < len OR ov2 - ov > 2)
+    ELSE abs(ov - ov1) <= 2 AND (abs(len - len1) <= 2 OR len < len1) OR ov - ov1 > 2 END""")
+def map_reads_noisy(spark, sf):
+    """Reads off their exons by up to 25 bases at the ends and six at junctions, genes of overlapping exons, two to a locus: tolerances, chains of several options and the band within which genes count as equal all decide."""
+    ex, reads = _noisy(spark, sf)
+    return map_reads(reads, annotation.gene_models(ex)).select("read", "gene", "region", "overlap", "region_len")
+
+
 # Transcripts of several exons, on both strands, with repeats.
 _ONE = "one AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_partkey) AS pk, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL)"
 _TRX = f"""{_ONE}, trx AS (SELECT o, (o % 3000) AS chrom, (o // 2) % 2 AS strand, n, 1000 * n + pk % 300 AS s, 1000 * n + pk % 300 + 59 + 3 * q AS e FROM one WHERE n <= 3),
