@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.config import EmSettings
-from strandflow.operators.store import discard, materialize
+from strandflow.operators.store import discard, materialize, new_dir
 
 _TINY = 1e-100
 #: Isoforms with a smaller share do not hold up the end of the iteration.
@@ -118,9 +119,19 @@ def bulk_kernel(g: pd.DataFrame, s: EmSettings, history: bool = False) -> pd.Dat
 
 
 def bulk_history(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
-    """community, isoform, theta, iteration: the thetas after each iteration, for reports. A community's classes must fit one task."""
-    c = classes(cond.select("community", "read", "isoform", F.coalesce("p", F.lit(0.0)).alias("p")))
-    return _by_community(_hits(c), lambda g: bulk_kernel(g, s, True), _schema(cond, _BULK)).withColumnRenamed("iterations", "iteration")
+    """community, isoform, theta, iteration: the thetas after each iteration, for reports; in the same two forms as bulk_em."""
+    spark = cond.sparkSession
+    c = materialize(classes(cond.select("community", "read", "isoform", F.coalesce("p", F.lit(0.0)).alias("p"))), "classes")
+    size = materialize(c.groupBy("community").agg(F.sum(F.size("hits")).alias("rows")), "communities")
+    small, large = size.where(F.col("rows") <= s.rows_in_task), size.where(F.col("rows") > s.rows_in_task)
+    rows, schema = _hits(c), _schema(cond, _BULK)
+    found = _by_community(rows.join(small.select("community"), "community", "left_semi"), lambda g: bulk_kernel(g, s, True), schema)
+    if large.limit(1).count():
+        seen: list[DataFrame] = []
+        _large(rows.join(large.select("community"), "community", "left_semi"), s, seen)
+        for x in seen:
+            found = found.unionByName(x.to(spark.createDataFrame([], schema).schema))
+    return found.withColumnRenamed("iterations", "iteration")
 
 
 def _hits(classes: DataFrame) -> DataFrame:
@@ -159,24 +170,35 @@ def bulk_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     return out.withColumn("cpm", expected / F.lit(float(total or 1)) * 1e6).withColumn("expected_reads", expected)
 
 
-def _large(rows: DataFrame, s: EmSettings) -> DataFrame:
-    """The same iteration as joins: a read's rows stay spread by read, sums by isoform are combined before the shuffle."""
-    rows = materialize(rows, "rows")
+def _large(rows: DataFrame, s: EmSettings, seen: list[DataFrame] | None = None) -> DataFrame:
+    """The same iteration as joins: rows are dealt by read once and written in buckets, so that a read's sum and shares need no shuffle of them; sums by isoform are combined before the
+    shuffle. What an iteration writes is deleted when the next one has it, unless seen gathers the thetas of each."""
+    spark = rows.sparkSession
+    table, parts = f"rows_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("*", F.xxhash64("community", "row").alias("__read"))
+    dealt.repartition(parts, "__read").write.bucketBy(parts, "__read").option("path", new_dir(spark, "rows")).saveAsTable(table)
+    rows = spark.table(table)
     n = F.count("*").over(Window.partitionBy("community"))
-    theta = materialize(rows.select("community", "isoform").distinct().withColumn("theta", 1 / n), "theta")
+    written = materialize(rows.select("community", "isoform").distinct().withColumn("theta", 1 / n), "theta")
+    theta = written
     for k in range(1, s.iterations + 1):
         q = rows.join(theta, ["community", "isoform"]).withColumn("q", F.col("p") * F.col("theta"))
-        sums = q.groupBy("community", "row").agg(F.sum("q").alias("total"))
-        dealt = q.join(sums, ["community", "row"]).withColumn("share", F.when(F.col("total") > 0, F.col("q") / F.col("total") * F.col("n")).otherwise(0.0))
+        total = F.sum("q").over(Window.partitionBy("__read", "community", "row"))
+        dealt = q.withColumn("total", total).withColumn("share", F.when(F.col("total") > 0, F.col("q") / F.col("total") * F.col("n")).otherwise(0.0))
         new = dealt.groupBy("community", "isoform").agg(F.sum("share").alias("share"))
         every = new.groupBy("community").agg(F.sum("share").alias("every"))
         value = F.when(F.col("every") > 0, F.col("share") / F.col("every")).otherwise(0.0)
         new = new.join(every, "community").withColumn("value", value).join(theta, ["community", "isoform"])
         new = materialize(new.select("community", "isoform", F.when(F.col("value") < _TINY, 0.0).otherwise(F.col("value")).alias("new"), "theta"), "theta")
         open_ = new.where((F.col("new") > _MINOR) & (F.abs(F.col("new") - F.col("theta")) > s.tolerance * F.col("new"))).limit(1).count()
-        theta = new.select("community", "isoform", F.col("new").alias("theta"))
+        if seen is None:
+            discard(written)
+        else:
+            seen.append(new.select("community", "isoform", F.col("new").alias("theta"), F.lit(k).cast("int").alias("iterations")))
+        written, theta = new, new.select("community", "isoform", F.col("new").alias("theta"))
         if not open_:
             break
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     return theta.withColumn("iterations", F.lit(k).cast("int"))
 
 

@@ -1,7 +1,8 @@
 """Queries over the driver's tables, which stand in for sequencing data, and the same in DuckDB's SQL.
 
 Isoforms are parts, genes are (brand, size), reads are lineitems of 1 to 50 bases, cells are suppliers and molecules are orders. A read fits the
-isoforms of its part's gene, and for every 97th order also those of the next size. Intervals are [partkey, partkey + quantity] on a supplier.
+isoforms of its part's gene, and for every 97th order also those of the next size. Intervals are [partkey, partkey + quantity] on a supplier, of
+odd line numbers those of isoforms, of even ones those of elements.
 """
 
 from __future__ import annotations
@@ -280,12 +281,12 @@ def gene_rollup(spark, sf):
 
 
 def _intervals(spark, sf, line: int, start: str, end: str, name: str) -> DataFrame:
-    li = _table(spark, sf, "lineitem").where(F.col("l_linenumber") == line)
+    li = _table(spark, sf, "lineitem").where(F.col("l_linenumber") % 2 == line % 2)
     return li.select(F.col("l_suppkey").alias("chrom"), F.col("l_orderkey").alias(name), F.col("l_partkey").alias(start), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias(end)).distinct()
 
 
 def _interval_sql(line: int, start: str, end: str, name: str) -> str:
-    return f"SELECT DISTINCT l_suppkey AS chrom, l_orderkey AS {name}, l_partkey AS {start}, l_partkey + CAST(l_quantity AS BIGINT) AS {end} FROM lineitem WHERE l_linenumber = {line}"
+    return f"SELECT DISTINCT l_suppkey AS chrom, l_orderkey AS {name}, l_partkey AS {start}, l_partkey + CAST(l_quantity AS BIGINT) AS {end} FROM lineitem WHERE l_linenumber % 2 = {line % 2}"
 
 
 _EX, _TE = f"ex AS ({_interval_sql(1, 's', 'e', 'isoform')})", f"te AS ({_interval_sql(2, 'ts', 'te', 'element')})"
@@ -298,12 +299,12 @@ def interval_overlap_join(spark, sf):
     return pairs.select("chrom", "isoform", "element", "s", "ts", (F.least("e", "te") - F.greatest("s", "ts") + 1).alias("overlap"))
 
 
-_TOL = "CASE WHEN e - s + 1 > 40 THEN 20 ELSE 2 END"
+_TOL = "CASE WHEN e - s > 40 THEN 20 ELSE 2 END"
 
 
 @query(f"WITH {_EX}, {_TE} SELECT chrom, isoform, element, s, ts FROM ex JOIN te USING (chrom) WHERE ts <= s + {_TOL} AND te >= e - {_TOL}")
 def range_join_containment_tol(spark, sf):
-    tol = F.when(F.col("e") - F.col("s") + 1 > 40, 20).otherwise(2)
+    tol = F.when(F.col("e") - F.col("s") > 40, 20).otherwise(2)
     a, b = _intervals(spark, sf, 1, "s", "e", "isoform"), _intervals(spark, sf, 2, "ts", "te", "element")
     return containment_join(a, b, ["chrom"], "s", "e", "ts", "te", tol, 64).select("chrom", "isoform", "element", "s", "ts")
 
@@ -346,7 +347,7 @@ _TR = "tr AS (SELECT concat_ws(':', chrom, isoform, s, e) AS isoform, chrom, iso
 _EL = """el AS (SELECT concat_ws(':', chrom, element, ts, te) AS locus, chrom, element % 2 AS strand, ts, te, te - ts + 1 AS n,
   'class' || element % 3 AS class, 'family' || element % 11 AS family, 'subfamily' || element % 41 AS subfamily FROM te)"""
 _PAIRS = f"{_EX}, {_TE}, {_TR}, {_EL}, pairs AS (SELECT isoform, len, s, e, el.*, greatest(s, ts) AS a, least(e, te) AS b FROM tr JOIN el USING (chrom, strand) WHERE ts < e AND te > s)"
-_COVER = f"""{_PAIRS}, m AS (SELECT *, max(b) OVER (PARTITION BY isoform ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pairs),
+_COVER = f"""{_PAIRS}, m AS (SELECT *, max(b) OVER (PARTITION BY isoform ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT isoform, a, b FROM pairs)),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY isoform ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m),
 cover AS (SELECT isoform, CAST(sum(n) AS BIGINT) AS total FROM (SELECT isoform, island, max(b) - min(a) + 1 AS n FROM i GROUP BY isoform, island) GROUP BY isoform)"""
 
@@ -396,12 +397,12 @@ def bulk_te_rollup(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("""WITH x AS (SELECT DISTINCT p_brand AS gene, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+@query("""WITH x AS (SELECT DISTINCT p_brand AS gene, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem JOIN part ON l_partkey = p_partkey),
   st AS (SELECT gene, s AS pos, 1 AS d FROM x UNION ALL SELECT gene, e + 1, -1 FROM x), c AS (SELECT gene, pos, sum(d) AS d FROM st GROUP BY gene, pos),
   o AS (SELECT gene, pos, sum(d) OVER (PARTITION BY gene ORDER BY pos) AS open, lead(pos) OVER (PARTITION BY gene ORDER BY pos) - 1 AS e FROM c)
   SELECT gene, pos AS start, e AS "end", 2 * row_number() OVER (PARTITION BY gene ORDER BY pos) - 2 AS first_point FROM o WHERE open > 0 AND e > pos""")
 def exon_atoms(spark, sf):
-    li = _table(spark, sf, "lineitem").where("l_linenumber = 1").join(_table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = _table(spark, sf, "lineitem").join(_table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     ex = li.select(F.lit("1").alias("chrom"), F.col("p_brand").alias("gene"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
     return atoms(ex).select("gene", "start", "end", F.col("first_point").cast("long").alias("first_point"))
 
@@ -421,10 +422,10 @@ def id_resolver(spark, sf):
 
 
 @query("""SELECT p_partkey AS isoform, coalesce(q, p_retailprice) AS tpm FROM part LEFT JOIN
-  (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 3 GROUP BY l_partkey) ON l_partkey = p_partkey""")
+  (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_partkey % 3 > 0 GROUP BY l_partkey) ON l_partkey = p_partkey""")
 def tpm_replace_left(spark, sf):
     t = _table(spark, sf, "part").select(F.col("p_partkey").alias("isoform"), F.col("p_retailprice").alias("tpm"))
-    q = _table(spark, sf, "lineitem").where("l_linenumber = 3").select(F.col("l_partkey").alias("isoform"), F.col("l_quantity").alias("tpm"))
+    q = _table(spark, sf, "lineitem").where("l_partkey % 3 > 0").select(F.col("l_partkey").alias("isoform"), F.col("l_quantity").alias("tpm"))
     return te.replace_tpm(t, q).select("isoform", "tpm")
 
 
@@ -456,12 +457,12 @@ def pivot_counts(spark, sf):
     return te.wide(_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("barcode"), "l_returnflag", F.lit(1).alias("count")), "l_returnflag").withColumnRenamed("barcode", "l_suppkey")
 
 
-@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT l_partkey FROM lineitem WHERE l_linenumber = 2)
-  UNION ALL SELECT 'intersect', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber = 2)
-  UNION ALL SELECT 'except', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 2)""")
+@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 UNION SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0)
+  UNION ALL SELECT 'intersect', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0)
+  UNION ALL SELECT 'except', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0)""")
 def union_dedup_patterns(spark, sf):
     li = _table(spark, sf, "lineitem")
-    a, b = (li.where(F.col("l_linenumber") == k).select("l_partkey") for k in (1, 2))
+    a, b = (li.where(F.col("l_linenumber") % 2 == k).select("l_partkey") for k in (1, 0))
     sets = {"union": a.unionByName(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
     one, two, three = (x.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, x in sets.items())
     return one.unionByName(two).unionByName(three)

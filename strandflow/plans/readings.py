@@ -98,11 +98,14 @@ def attributes(spark, sf):
                     F.size("m").cast("long").alias("entries"), text.attribute(F.col("line"), "note_more").isNotNull().alias("has_more"))
 
 
-@query("""WITH n(name) AS (SELECT unnest(['chr1', 'CHR12', 'chrX', 'X', '7', 'chr1_random', 'scaffold_9', 'chrUn', '22', 'Chr03'])) SELECT name,
-  CASE WHEN contains(name, '_') THEN name WHEN regexp_matches(regexp_replace(upper(name), '^.*CHR', ''), '^[0-9]+$') THEN regexp_replace(upper(name), '^.*CHR', '') ELSE name END AS a,
+@query("""WITH n AS (SELECT (['chr', 'CHR', 'Chr', '', 'chr0', 'scaffold_', 'chrX', 'chrUn_', 'ACGT'])[1 + p_partkey % 9] || CASE WHEN p_partkey % 11 < 8 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 11 = 8 THEN 'X' WHEN p_partkey % 11 = 9 THEN 'M' ELSE 'tgca_random' END AS name FROM part)
+  SELECT name, CASE WHEN contains(name, '_') THEN name WHEN regexp_matches(regexp_replace(upper(name), '^.*CHR', ''), '^[0-9]+$') THEN regexp_replace(upper(name), '^.*CHR', '') ELSE name END AS a,
   regexp_replace(upper(name), '^.*CHR', '') AS b, regexp_replace(name, '^chr', '', 'i') AS c, reverse(translate(name, 'ACGTacgt', 'TGCAtgca')) AS d FROM n""")
 def name_normalisers(spark, sf):
-    names = spark.createDataFrame([(x,) for x in "chr1 CHR12 chrX X 7 chr1_random scaffold_9 chrUn 22 Chr03".split()], "name string")
+    first = F.element_at(F.array(*[F.lit(x) for x in ("chr", "CHR", "Chr", "", "chr0", "scaffold_", "chrX", "chrUn_", "ACGT")]), (1 + F.col("p_partkey") % 9).cast("int"))
+    k = F.col("p_partkey") % 11
+    rest = F.when(k < 8, F.col("p_size").cast("string")).when(k == 8, "X").when(k == 9, "M").otherwise("tgca_random")
+    names = _table(spark, sf, "part").select(F.concat(first, rest).alias("name"))
     n = F.col("name")
     return names.select("name", text.chrom_if_numeric(n).alias("a"), text.chrom_short(n).alias("b"), text.chrom_without_prefix(n).alias("c"), text.reverse_complement(n).alias("d"))
 
@@ -173,7 +176,7 @@ def gene_predictions(spark, sf):
 
 
 @query("""WITH c AS (SELECT 's' || s_suppkey AS name, repeat('ACGTTGCA' || substr('ACGT', 1 + CAST(s_suppkey % 4 AS INTEGER), 1), 40) AS sequence, s_suppkey FROM supplier),
-  e AS (SELECT DISTINCT l_suppkey, l_suppkey || ':' || l_partkey AS isoform, l_partkey, 1 + l_partkey % 100 AS a, 20 + l_partkey % 100 AS b, 151 + l_partkey % 50 AS a2, 160 + l_partkey % 50 AS b2 FROM lineitem WHERE l_linenumber = 1),
+  e AS (SELECT DISTINCT l_suppkey, l_suppkey || ':' || l_partkey AS isoform, l_partkey, 1 + l_partkey % 100 AS a, 20 + l_partkey % 100 AS b, 151 + l_partkey % 50 AS a2, 160 + l_partkey % 50 AS b2 FROM lineitem),
   j AS (SELECT isoform, l_partkey, substr(sequence, CAST(a AS INTEGER), 20) || substr(sequence, CAST(a2 AS INTEGER), 10) AS s FROM e JOIN c ON l_suppkey = s_suppkey)
   SELECT isoform, CASE WHEN l_partkey % 2 = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS sequence FROM j""")
 def fasta_transcripts(spark, sf):
@@ -181,7 +184,7 @@ def fasta_transcripts(spark, sf):
     sequence = F.repeat(F.concat(F.lit("ACGTTGCA"), F.substring(F.lit("ACGT"), (1 + F.col("s_suppkey") % 4).cast("int"), F.lit(1))), F.lit(40))
     lines = s.select(F.concat_ws("\n", F.concat(F.lit(">s"), "s_suppkey", F.lit(" of a supplier")), F.substring(sequence, 1, 100), F.substring(sequence, 101, 1000)).alias("value"))
     genome = fasta.read_fasta(spark, _file(lines, "genome"))
-    li = _table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
+    li = _table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
     exon = F.array(F.struct((1 + F.col("l_partkey") % 100).alias("start"), (20 + F.col("l_partkey") % 100).alias("end")), F.struct((151 + F.col("l_partkey") % 50).alias("start"), (160 + F.col("l_partkey") % 50).alias("end")))
     e = li.select(F.concat(F.lit("s"), "l_suppkey").alias("chrom"), F.concat_ws(":", "l_suppkey", "l_partkey").alias("isoform"), F.when(F.col("l_partkey") % 2 == 1, "-").otherwise("+").alias("strand"), F.explode(exon).alias("x"))
     return fasta.transcript_sequences(e.select("chrom", "isoform", "strand", "x.start", "x.end"), genome)
@@ -287,11 +290,18 @@ def sam_references(spark, sf):
     return refs.withColumn("known", F.lit(known).cast("long")).withColumn("every", F.lit(every).cast("long"))
 
 
-@query("SELECT 76 AS n, 150 AS none")
+@query("SELECT CAST(max(l_quantity) + 26 AS INTEGER) AS n, 150 AS none FROM lineitem")
 def sam_read_length(spark, sf):
-    lines = spark.createDataFrame([("r\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI",), ("r\t0\tx\t1\t9\t5S30M10N20M3D4I10=6X1S9H\t*\t0\t0\tA\tI",)], "value string").coalesce(1)
-    found = sam.infer_read_length(sam.parse_lines(lines))
-    none = sam.infer_read_length(sam.parse_lines(lines.limit(1)))
+    """The length of the first read that has one: here all are as long as the largest quantity and 26 bases, with clips, gaps and insertions. Alignments without any give the usual length."""
+    li = _table(spark, sf, "lineitem")
+    most = li.agg(F.max("l_quantity").cast("int").alias("most"))
+    name = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    cigar = F.concat(F.lit("5S"), F.col("most"), F.lit("M10N3D4I10=6X1S9H"))
+    tail = [F.lit("*"), F.lit(0), F.lit(0), F.lit("A"), F.lit("I")]
+    seen = li.crossJoin(F.broadcast(most)).select(_tabs(name, F.lit(0), F.lit("x"), F.lit(1), F.lit(9), cigar, *tail).alias("value"))
+    unseen = li.select(_tabs(name, F.lit(4), F.lit("*"), F.lit(0), F.lit(0), F.lit("*"), *tail).alias("value"))
+    found = sam.infer_read_length(sam.read_sam(spark, _file(unseen.unionByName(seen), "reads")))
+    none = sam.infer_read_length(sam.read_sam(spark, _file(unseen, "reads")))
     return spark.createDataFrame([(found, none)], "n int, none int")
 
 

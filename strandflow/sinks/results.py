@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.config import TeSettings
+from strandflow.operators.regions import coordinates, with_points
 
 
 def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> None:
@@ -137,6 +138,24 @@ def singular_value_table(values: DataFrame) -> DataFrame:
     return values.select("gene", "chrom", "n_isoforms", "n_regions", F.array_join(F.col("singular_values").cast("array<string>"), ",").alias("singular_values"))
 
 
+def matrix_dump(design: DataFrame, abundance: DataFrame, points: DataFrame, digits: int = 3) -> DataFrame:
+    """chrom, gene, region, coordinates, abundance, isoforms, row: the design matrix of every gene, a row a region with its name in coordinates, and its entries with so many decimals in the order of the gene's isoforms.
+
+    design: chrom, gene, region, isoform, value; abundance: chrom, gene, region, abundance; points: chrom, gene, at, point. Written by gene, it holds what a file for each gene would.
+    """
+    keys = ["chrom", "gene"]
+    names = design.groupBy(*keys).agg(F.sort_array(F.collect_set("isoform")).alias("isoforms"))
+    rows = design.groupBy(*keys, "region").agg(F.map_from_entries(F.collect_list(F.struct("isoform", "value"))).alias("entries")).join(names, keys)
+    row = F.array_join(F.transform("isoforms", lambda i: F.format_string(f"%.{digits}f", F.coalesce(F.element_at("entries", i), F.lit(0.0)))), ",")
+    named = with_points(rows.withColumn("row", row), points).join(abundance.select(*keys, "region", "abundance"), [*keys, "region"], "left")
+    return named.select(*keys, "region", coordinates(F.col("region"), F.col("points")).alias("coordinates"), "abundance", F.array_join("isoforms", ",").alias("isoforms"), "row")
+
+
+def write_matrices(dump: DataFrame, folder: str) -> None:
+    """A folder a gene with its matrix as text."""
+    dump.repartition("chrom", "gene").write.mode("overwrite").partitionBy("chrom", "gene").option("sep", "\t").option("header", True).csv(f"{folder}/matrix_info")
+
+
 def expression_tables(tpm: DataFrame, isoforms: DataFrame) -> dict[str, DataFrame]:
     """expression_isoform.out and expression_gene.out. tpm: isoform, tpm; isoforms: chrom, gene, isoform."""
     t = isoforms.select("isoform", "gene", "chrom").join(tpm.select("isoform", "tpm"), "isoform", "left").fillna(0.0, ["tpm"])

@@ -108,6 +108,24 @@ def detect_column(columns: list[str], names: tuple[str, ...], contains: str | No
     return found[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+#: Names of result files of other runs, in order of preference.
+RESULT_FILES = ("Isoform_abundance.out", "isoform_abundance.out", "expression_isoform.out", "LR_EM_expression.out", "SR_EM_expression.out")
+
+
+def first_result(spark: SparkSession, folder: str, candidates: tuple[str, ...] = RESULT_FILES) -> str:
+    """The first of the candidates that the folder has."""
+    for name in candidates:
+        if exists(spark, f"{folder}/{name}"):
+            return f"{folder}/{name}"
+    raise FileNotFoundError(f"{folder} has none of {', '.join(candidates)}")
+
+
 def read_quantified(spark: SparkSession, path: str) -> DataFrame:
     """isoform and tpm of a result table whose columns are known by their names."""
     t = read_table(spark, path)

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandflow.operators.assign import molecule_counts
-from strandflow.plans import contract, estimators, models, readings, regional
+from strandflow.plans import contract, estimators, models, outputs, readings, regional
 
-QUERIES = contract.QUERIES | readings.QUERIES | models.QUERIES | estimators.QUERIES | regional.QUERIES
-ORACLE_SQL = contract.ORACLE_SQL | readings.ORACLE_SQL | models.ORACLE_SQL | estimators.ORACLE_SQL | regional.ORACLE_SQL
+QUERIES = contract.QUERIES | readings.QUERIES | models.QUERIES | estimators.QUERIES | regional.QUERIES | outputs.QUERIES
+ORACLE_SQL = contract.ORACLE_SQL | readings.ORACLE_SQL | models.ORACLE_SQL | estimators.ORACLE_SQL | regional.ORACLE_SQL | outputs.ORACLE_SQL
 SF = os.environ.get("CONTRACT_SF_DIR", "/root/testdata/sf0.001")
 
 
