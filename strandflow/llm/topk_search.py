@@ -91,6 +91,57 @@ def best_of_block(query_ids: np.ndarray, queries: list, ids: np.ndarray, rows: l
     return found
 
 
+def _dense(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and weights (doubles, shorter vectors filled with zeros) of a block's rows, straight from its buffers."""
+    lists = block.field("weights")
+    at = lists.offsets.to_numpy()
+    n = np.diff(at)
+    out = np.zeros((len(n), int(n.max(initial=0))))
+    out[np.arange(out.shape[1]) < n[:, None]] = lists.values.to_numpy()[at[0] : at[-1]] if len(n) else []
+    return block.field("id").to_numpy(), out
+
+
+class _Block:
+    """A block of candidates: their ids and, made once for all blocks of queries that meet it, for each term the positions of the rows that hold it and their weights."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.rows = rows
+        self.ids, dense = _dense(rows)
+        self.largest = float(np.abs(dense).max(initial=0))
+        self.lists = []
+        if self.largest < EXACT:
+            whole = dense.astype(np.int64)
+            for t in range(whole.shape[1]):
+                at = np.flatnonzero(whole[:, t])
+                self.lists.append((None if len(at) == len(whole) else at, whole[at, t]))
+
+    def best(self, rows: pa.StructArray, k: int) -> list[tuple[int, int, int]]:
+        """What best_of_block finds, with arrays where all sums fit a long."""
+        query_ids, dense = _dense(rows)
+        reach = np.abs(dense).sum(1).max(initial=0)
+        if not max(reach, 1.0) * max(self.largest, 1.0) < EXACT:
+            q, c = rows.to_pylist(), self.rows.to_pylist()
+            return best_of_block(query_ids, [x["weights"] for x in q], self.ids, [x["weights"] for x in c], k)
+        found = []
+        for i, q in enumerate(dense.astype(np.int64)):
+            score = np.zeros(len(self.ids), np.int64)
+            for t in np.flatnonzero(q[: len(self.lists)]):
+                at, weights = self.lists[t]
+                if at is None:
+                    score += q[t] * weights
+                else:
+                    score[at] += q[t] * weights
+            own = np.flatnonzero(self.ids != query_ids[i])
+            s = score[own]
+            if len(s) > k:
+                # All rows that reach the k-th score, so that ties are broken by id and not by the selection.
+                own = own[s >= np.partition(s, len(s) - k)[len(s) - k]]
+                s = score[own]
+            best = np.lexsort((self.ids[own], -s))[:k]
+            found += zip([i] * len(best), self.ids[own[best]].tolist(), s[best].tolist(), strict=True)
+        return found
+
+
 def _wide(score: int) -> bytes | None:
     """A score that is no long, as bytes in its order; None for a long."""
     return None if -(1 << 63) <= score < 1 << 63 else (score + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big")
@@ -108,10 +159,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     parts, groups = max(1, -(-n_rows // CANDIDATES)), max(1, -(-n_queries // QUERIES))
 
     def packed(df: DataFrame, column: str, number: int) -> DataFrame:
-        """One row a block, with the vectors in an array."""
+        """One row a block, with the vectors in an array, in an order of their own."""
         block = F.pmod(F.col("h"), F.lit(number)).cast("int").alias(column)
         one = F.struct("id", "weights")
-        return df.groupBy(block).agg(F.collect_list(one).alias(column + "_rows"))
+        return df.groupBy(block).agg(F.array_sort(F.collect_list(one)).alias(column + "_rows"))
 
     candidates = packed(rows, "part", parts)
     # The stated query set against all rows: each block of queries goes to every block of candidates.
@@ -119,13 +170,16 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     met = queries.join(candidates.hint("shuffle_hash"), "part")
 
     def run(batches):
+        part, block = None, None
         for b in batches:
             t = {"group": [], "query": [], "query_id": [], "vec_id": [], "score": [], "side": [], "wide": []}
+            parts = b.column("part").to_pylist()
             for row in range(b.num_rows):
-                q, c = b.column("group_rows")[row].as_py(), b.column("part_rows")[row].as_py()
-                q.sort(key=lambda x: (x["id"], x["weights"]))
-                query_ids = np.array([x["id"] for x in q], np.int64)
-                found = best_of_block(query_ids, [x["weights"] for x in q], np.array([x["id"] for x in c], np.int64), [x["weights"] for x in c], k)
+                if part != parts[row]:
+                    part, block = parts[row], _Block(b.column("part_rows").slice(row, 1).flatten())
+                asked = b.column("group_rows").slice(row, 1).flatten()
+                query_ids = asked.field("id").to_numpy()
+                found = block.best(asked, k)
                 t["group"] += [b.column("group")[row].as_py()] * len(found)
                 t["query"] += [i for i, _, _ in found]
                 t["query_id"] += [int(query_ids[i]) for i, _, _ in found]
