@@ -85,20 +85,22 @@ def pack(docs: DataFrame, size: Column, lengths: tuple[int, ...] = LENGTHS) -> D
     """A row a piece: doc_id, piece (from 0), piece_start, piece_size, bin_id, bin_start, bin_length (a permitted length).
 
     size: a Column of words a document. A document of size 0 (null or empty text) has one piece of size 0, in no bin: bin_id, bin_start and
-    bin_length are null. Repeated rows are packed each. Bins are named shard:number; which rows share a shard follows from their ids and sizes,
-    so reruns agree. An empty table gives an empty result.
+    bin_length are null. Repeated rows are packed each. Bins are named shard:number; which rows share a shard follows from their ids and pieces,
+    so reruns agree; rows without an id are spread by their place in the table, so that they do not share one. Very long documents are cut at the longest length. Further columns are not read, whatever
+    their names. An empty table gives an empty result.
     """
     top = max(lengths)
     # Sizes are written once: texts are read and counted a single time, although shards need the number of pieces first.
-    d = materialize(docs.select("doc_id", size.cast("long").alias("size")), "sizes")
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    d = materialize(docs.select("doc_id", size.cast("long").alias("size"), place.alias("place")), "sizes")
     pieces = d.agg(F.sum(F.ceil(F.col("size") / top))).first()[0] or 0
     shards = max(1, -(-int(pieces) // SHARD))
     p = d.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / top) - 1, F.lit(0)))))
     p = p.select(
-        "doc_id", "piece", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("size") - F.col("piece") * top).alias("piece_size"),
+        "doc_id", "place", "piece", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("size") - F.col("piece") * top).alias("piece_size"),
     )
     # The pieces of a very long document spread, too.
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
+    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "place", "piece"), F.lit(shards)).cast("long"))
     kept = ["doc_id", "piece", "piece_start", "piece_size"]
 
     def run(table: pa.Table) -> pa.Table:

@@ -199,3 +199,10 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert packed["piece_size"].sum() == words.sum()
     for (_, a), (_, b) in pairwise(packed.iterrows()):
         assert a["bin_id"] != b["bin_id"] or a["bin_start"] + a["piece_size"] == b["bin_start"]
+
+
+def test_packing_of_rows_without_ids(spark):
+    """Sixty thousand rows without an id share as many shards as rows with ids do."""
+    kept = packing.pack(spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 50 + 1).alias("n")), F.col("n"))
+    shards = kept.groupBy(F.split_part("bin_id", F.lit(":"), F.lit(1))).count().toPandas()["count"]
+    assert len(shards) == 3 and shards.sum() == 60_000 and shards.max() < 25_000
