@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes plaintext".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
 #: Elements that are never part of an article's text.
 CUT = frozenset(
-    "script style noscript template iframe object embed applet svg math canvas video audio nav aside footer button select option optgroup datalist input textarea "
+    "script style noscript template iframe embed applet svg annotation annotation-xml nav aside footer button select option optgroup datalist input textarea "
     "menu dialog head title meta link base noembed noframes map area".split()
 )
 #: Elements that go unless the article itself stands in them: some pages are one form.
@@ -52,6 +52,8 @@ NOISE = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications modal popup popover overlay lightbox toast paywall "
     "sharing social subscribe newsletter signup login signin searchbox hidden skiplink toolbar".split()
 )
+#: Those of lists of links, which a paragraph of prose in an article is not, whatever its class says.
+LINKS = frozenset("nav navbar navigation menu menus menubar breadcrumb breadcrumbs crumbs pager pagination toc toolbar".split())
 #: Words of reader comments. These may be longer than the article.
 COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 #: Words that may just as well name a part of the article: they cut what does not read like prose.
@@ -223,6 +225,13 @@ def _marks(node: Node) -> tuple[set[str], set[str]]:
     return out
 
 
+def _in_article(node: Node) -> bool:
+    up = node.parent
+    while up is not None and up.name not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
 def _is_noise(node: Node, page: Node) -> bool:
     """Whether the measured node goes. page: the whole page."""
     name = node.name
@@ -247,7 +256,8 @@ def _is_noise(node: Node, page: Node) -> bool:
     if name in INLINE:
         return bool(kind & {"ad", "ads", "advert", "advertisement"})
     if name in PARAGRAPHS and name != "td":
-        return bool(kind & (NOISE | COMMENTS))
+        prose = node.flow >= PROSE and 3 * node.linked < node.length and _in_article(node)
+        return bool(kind & ((NOISE - LINKS if prose else NOISE) | COMMENTS))
     marks = kind | identity
     if marks & COMMENTS and not node.holds & 1:
         return True

@@ -23,6 +23,9 @@ PAGES = {
     "heading in a block of its own": (f"<div><div class=title><h1>T</h1></div><div class=body><p>{P}</p><p>{Q}</p></div><div class=foot><a href=x>y</a></div></div>", f"T {P} {Q}"),
     "layout table": (f"<table><tr><td><a href=a>n</a><td><p>{P}<p>{Q}<td><a href=b>m</a></table>", f"{P} {Q}"),
     "references, stray quotes, white space": (f'<a title="it"s">x</a><p>{P}</p><p>a &amp;\n b&nbsp;&lt;b&gt;</p><script>var t="</p>"</script>', f"x {P} a & b <b>"),
+    "prose with a menu's class": (f'<article><p>{P}</p><p class="menu">{Q}</p><p class="menu"><a href=a>one</a> <a href=b>two</a></p><p class="advert">{Q}</p></article>', f"{P} {Q}"),
+    "formulas": (f"<article><p>{P} Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is.</p><p>{Q}</p></article>", f"{P} Energy E=m is. {Q}"),
+    "text for want of a picture": (f"<article><p>{P}</p><object data=x>A map of the town.</object><p>{Q}</p></article>", f"{P} A map of the town. {Q}"),
     "text alone": ("just text", "just text"),
     "empty": ("", ""),
 }
