@@ -351,10 +351,45 @@ def unit_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
 def unit_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     """cond (community, barcode, umi, isoform, p) -> community, barcode, isoform, theta, n (molecules).
 
-    One shuffle, by community and cell. Python gets sorted batches of many small cells; it holds a batch and the cell that the batch ends in.
+    One shuffle, by community and cell. Python gets sorted batches of many small cells; it holds a batch and the cell that the batch ends in. A cell of more than s.rows_in_task rows in
+    one community iterates as joins and grouped sums.
     """
+    spark = cond.sparkSession
     t = {c: cond.schema[c].dataType.simpleString() for c in ("community", "barcode", "isoform")}
     schema = f"community {t['community']}, barcode {t['barcode']}, isoform {t['isoform']}, theta double, n bigint"
 
-    sorted_cells = molecules(cond.repartition(*_CELL)).sortWithinPartitions(*_CELL)
-    return sorted_cells.mapInPandas(lambda b: _whole_groups(b, _CELL, lambda g: unit_kernel(g, s)), schema)
+    def small(rows: DataFrame) -> DataFrame:
+        return molecules(rows.repartition(*_CELL)).sortWithinPartitions(*_CELL).mapInPandas(lambda b: _whole_groups(b, _CELL, lambda g: unit_kernel(g, s)), schema)
+
+    large = materialize(cond.groupBy(*_CELL).agg(F.count("*").alias("rows")).where(F.col("rows") > s.rows_in_task).drop("rows"), "large")
+    if large.isEmpty():
+        return small(cond)
+    own = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _CELL]
+    found = _unit_large(cond.alias("l").join(large.alias("r"), own, "left_semi"), s)
+    return small(cond.alias("l").join(large.alias("r"), own, "left_anti")).unionByName(found.to(spark.createDataFrame([], schema).schema))
+
+
+def _unit_large(cond: DataFrame, s: EmSettings) -> DataFrame:
+    """The same iteration as joins: a molecule's rows meet by a window, sums by isoform are combined before the shuffle. A cell that has settled stands still."""
+    mol = materialize(molecules(cond), "molecules")
+    cell, of = Window.partitionBy(*_CELL), Window.partitionBy(*_CELL, "umi")
+    hits = F.sum((F.col("p") > 0).cast("int")).over(of)
+    start = mol.withColumn("alone", ((F.col("p") > 0) & (hits == 1)).cast("double")).groupBy(*_CELL, "isoform").agg(F.sum("alone").alias("x"))
+    total = F.sum("x").over(cell)
+    start = start.withColumn("theta", F.when(total > 0, F.col("x") / total).otherwise(1 / F.count("*").over(cell)))
+    theta = materialize(start.select(*_CELL, "isoform", "theta", F.lit(True).alias("going")), "theta")
+    for _ in range(s.iterations):
+        q = mol.join(theta, [*_CELL, "isoform"]).where("going").withColumn("q", F.col("p") * F.col("theta"))
+        whole = F.sum("q").over(of)
+        x = q.withColumn("x", F.when(whole > 0, F.col("q") / whole).otherwise(0.0)).groupBy(*_CELL, "isoform").agg(F.sum("x").alias("x"))
+        n = theta.join(x, [*_CELL, "isoform"], "left").withColumn("total", F.sum("x").over(cell))
+        n = n.withColumn("new", F.when(F.col("going") & (F.col("total") > 0), F.col("x") / F.col("total")).otherwise(F.col("theta")))
+        moved = F.max(F.abs(F.col("new") - F.col("theta"))).over(cell)
+        going = F.col("going") & (F.coalesce("total", F.lit(0.0)) > 0) & (moved >= s.tolerance)
+        new = materialize(n.withColumn("on", going).select(*_CELL, "isoform", F.col("new").alias("theta"), F.col("on").alias("going")), "theta")
+        discard(theta)
+        theta = new
+        if theta.where("going").isEmpty():
+            break
+    size = mol.groupBy(*_CELL).agg(F.countDistinct("umi").alias("n"))
+    return theta.drop("going").join(size, _CELL)

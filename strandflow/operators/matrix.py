@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.store import materialize
 
+#: Bytes of a matrix that are put together by copying.
+COPIED = 256 << 20
+
 
 def apportion(theta: DataFrame, keys: list[str]) -> DataFrame:
     """theta (keys, isoform, theta, n) -> count: floor(theta n), and one more for the largest remainders until n are given out. Of equal remainders the higher isoform comes first."""
@@ -33,7 +37,7 @@ def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, r
 
     counts: barcode, row and count. features: row, and gene for the second column; without it, the rows that have counts. Barcodes without counts have no column.
     Names get their numbers by a global sort with a count of each partition before, so that no single task sees them all; files are put together from
-    the sorted parts, by copying.
+    the sorted parts.
     """
     spark = counts.sparkSession
     c = materialize(per_million(counts.where(F.col("count") != 0)), "counts")
@@ -50,15 +54,32 @@ def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, r
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
-    """One file of all lines, in their order: the parts are written at once and copied one after the other."""
+    """All lines in their order, from parts that are written at once. Up to COPIED bytes become one file by copying. Beyond that nothing goes through the driver: a store that can put files together
+    does so, in others the ordered parts stay as a folder of that name, which the readers of this library take as well."""
     spark, parts = lines.sparkSession, f"{path}.parts"
     lines.write.mode("overwrite").text(parts)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    folder, to = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(conf)
-    with_data = sorted(str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
-    for p in with_data:
+    found = sorted(((str(f.getPath()), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")))
+    fs.delete(to, True)
+    if sum(n for _, n in found) > COPIED:
+        filled = [jvm.org.apache.hadoop.fs.Path(p) for p, n in found if n]
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(filled) - 1)
+        for i, p in enumerate(filled[1:]):
+            rest[i] = p
+        try:
+            if len(filled) > 1:
+                fs.concat(filled[0], rest)
+            fs.rename(filled[0], to)
+            fs.delete(folder, True)
+        except Py4JJavaError as e:
+            if "UnsupportedOperationException" not in str(e.java_exception.getClass()):
+                raise
+            fs.rename(folder, to)
+        return
+    out = fs.create(to, True)
+    for p, _ in found:
         part = fs.open(jvm.org.apache.hadoop.fs.Path(p))
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
         part.close()

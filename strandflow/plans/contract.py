@@ -251,6 +251,13 @@ def unit_em_one_iteration(spark, sf):
     return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
 
 
+@query(f"{_COMM_UNIT} SELECT community, barcode, isoform, round(theta, 9) AS theta, n FROM theta")
+def unit_em_joined(spark, sf):
+    """The form for cells that no task can hold."""
+    out = unit_em(_community_cells(spark, sf), EmSettings(iterations=1, rows_in_task=0))
+    return out.select("community", "barcode", "isoform", F.round("theta", 9).alias("theta"), "n")
+
+
 _SHARE = """share AS (SELECT l_suppkey AS barcode, l_partkey AS isoform, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
 s2 AS (SELECT barcode, isoform, q, sum(q) OVER (PARTITION BY barcode) AS total, CAST(count(*) OVER (PARTITION BY barcode) AS BIGINT) AS n FROM share),
 s3 AS (SELECT barcode, isoform, q / total AS theta, n FROM s2),

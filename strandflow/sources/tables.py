@@ -29,13 +29,18 @@ def find_mex(spark: SparkSession, folder: str) -> str:
     raise FileNotFoundError(f"no matrix.mtx below {folder}")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) with where they stand: file, block within it, and a number that grows within the block. Spark reads files, and their blocks, in an order of its own."""
+    m = F.col("_metadata")
+    return spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 1-based numbers: the place in its split, after the lines of all splits before."""
-    rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    rows = rows.select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sizes.select("part", before.alias("before")), "part").select((F.col("before") + F.col("at") + 1).alias("no"), "value")
+    """Lines with their 1-based numbers, over all files of a folder in the order of their names. The window sees one row a block."""
+    rows = _placed(spark, path)
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.withColumn("before", before), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("no"), "value")
 
 
 def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> DataFrame:
@@ -47,14 +52,14 @@ def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> Da
     barcodes = _numbered(spark, _file(spark, at, "barcodes.tsv")).select(F.col("no").alias("col"), F.trim("value").alias("barcode"))
     f = F.split("value", "\t")
     features = _numbered(spark, _file(spark, at, "features.tsv")).select(F.col("no").alias("row"), f[0].alias("feature"), F.try_element_at(f, F.lit(2)).alias("alternate"))
-    lines = spark.read.text(_file(spark, at, matrix)).withColumn("line", F.monotonically_increasing_id()).where(~F.col("value").startswith("%"))
-    first = lines.orderBy("line").select("value").first()
+    lines = _placed(spark, _file(spark, at, matrix)).where(~F.col("value").startswith("%"))
+    first = lines.orderBy("file", "block", "id").first()
     size = [int(x) for x in first[0].split()] if first else [0, 0, 0]
     if [features.count(), barcodes.count()] != size[:2]:
         raise ValueError(f"the matrix in {at} has size {size[:2]}, its lists have {features.count()} features and {barcodes.count()} barcodes")
     v = F.split(F.trim("value"), r"\s+")
-    least = lines.agg(F.min("line")).first()[0] or 0
-    entries = lines.where(F.col("line") > least).select(v[0].cast("long").alias("row"), v[1].cast("long").alias("col"), v[2].cast("double").alias("value"))
+    rest = lines.where((F.col("file") != first["file"]) | (F.col("block") != first["block"]) | (F.col("id") != first["id"])) if first else lines
+    entries = rest.select(v[0].cast("long").alias("row"), v[1].cast("long").alias("col"), v[2].cast("double").alias("value"))
     return entries.join(features, "row").join(barcodes, "col").select("barcode", "feature", "alternate", "value")
 
 

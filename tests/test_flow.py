@@ -114,3 +114,18 @@ def test_unused_mappings_by_quality(spark, files):
     m = MapSettings(multi_mapping="unique_only")
     reads, _ = flow.mapped_reads(spark, f"{files}/a.gtf", f"{files}/cells.sam", m)
     assert reads.agg(F.countDistinct("read")).first()[0] == 4
+
+
+def test_a_matrix_too_large_to_copy(spark, tmp_path, monkeypatch):
+    """Its parts stay in their order, and are read like a file."""
+    from strandflow.operators import matrix
+
+    monkeypatch.setattr(matrix, "COPIED", 0)
+    rows = [(f"c{i % 7}", f"t{i % 11}", i + 1) for i in range(77)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        matrix.write_mex(spark.createDataFrame(rows, "barcode string, isoform string, count long"), str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = tables.read_mex(spark, str(tmp_path / "m")).collect()
+    assert sorted((r["barcode"], r["feature"], r["value"]) for r in back) == sorted((b, t, float(n)) for b, t, n in rows) and (tmp_path / "m" / "matrix.mtx").is_dir()
