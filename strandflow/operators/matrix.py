@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +73,7 @@ def _write_lines(lines: DataFrame, path: str) -> None:
                 fs.concat(filled[0], rest)
             fs.rename(filled[0], to)
             fs.delete(folder, True)
-        except Py4JJavaError as e:
-            if "UnsupportedOperationException" not in str(e.java_exception.getClass()):
-                raise
+        except UnsupportedOperationException:
             fs.rename(folder, to)
         return
     out = fs.create(to, True)
