@@ -60,9 +60,9 @@ def test_both_kinds_until_they_settle(kinds, alpha):
     """Shards of a few rows and of all give the same as a plain loop, round for round."""
     rows, eff, long, short, iso = kinds
     start = estimators.start_theta(iso, None, None, GlobalSettings(start="uniform"))
-    want, k = plain_em({x[:3]: x[3] for x in rows}, dict.fromkeys(eff, 1 / 33), eff, alpha, 0.5, 12)
+    want, k = plain_em({x[:3]: x[3] for x in rows}, dict.fromkeys(eff, 1 / 33), eff, alpha, 0.5, 5)
     for held in (10, 10**6):
-        out = estimators.global_em(iso, start, long, short, alpha, s=GlobalSettings(tolerance=0.5, iterations=12, rows_in_shard=held))
+        out = estimators.global_em(iso, start, long, short, alpha, s=GlobalSettings(tolerance=0.5, iterations=5, rows_in_shard=held))
         assert {r["isoform"]: r["theta"] for r in out.expression.collect()} == pytest.approx(want, abs=1e-9) and len(out.rounds) == k
     if alpha == 1.0:
         likely = [x["long"] for x in out.rounds]
