@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +31,32 @@ def new_dir(spark: SparkSession, what: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), {}, {}
+
+
+@contextmanager
+def _files_deleted(spark: SparkSession) -> Iterator[None]:
+    """The setting holds from the first of a session's writers to its last, whatever threads these are in."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        if not _WRITERS.get(key):
+            _BEFORE[key] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITERS[key] = _WRITERS.get(key, 0) + 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS[key] -= 1
+            if not _WRITERS[key]:
+                before = _BEFORE.pop(key)
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def write(df: DataFrame, path: str, *by: str) -> None:
     """Write df as Parquet, in folders by the columns named. What has been written needs its shuffles no longer, so their files go at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
-    try:
+    with _files_deleted(df.sparkSession):
         (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    finally:
-        if before is None:
-            conf.unset(_CLEANUP)
-        else:
-            conf.set(_CLEANUP, before)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
