@@ -351,7 +351,7 @@ def unit_kernel(g: pd.DataFrame, s: EmSettings) -> pd.DataFrame:
 def unit_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     """cond (community, barcode, umi, isoform, p) -> community, barcode, isoform, theta, n (molecules).
 
-    One shuffle, by community and cell. Python gets sorted batches of many small cells; it holds a batch and the cell that the batch ends in. A cell of more than s.rows_in_task rows in
+    Molecules are written once; one shuffle more, by community and cell. Python gets sorted batches of many small cells; it holds a batch and the cell that the batch ends in. A cell of more than s.rows_in_task rows in
     one community iterates as joins and grouped sums.
     """
     spark = cond.sparkSession
@@ -359,19 +359,20 @@ def unit_em(cond: DataFrame, s: EmSettings = EmSettings()) -> DataFrame:
     schema = f"community {t['community']}, barcode {t['barcode']}, isoform {t['isoform']}, theta double, n bigint"
 
     def small(rows: DataFrame) -> DataFrame:
-        return molecules(rows.repartition(*_CELL)).sortWithinPartitions(*_CELL).mapInPandas(lambda b: _whole_groups(b, _CELL, lambda g: unit_kernel(g, s)), schema)
+        return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(lambda b: _whole_groups(b, _CELL, lambda g: unit_kernel(g, s)), schema)
 
-    large = materialize(cond.groupBy(*_CELL).agg(F.count("*").alias("rows")).where(F.col("rows") > s.rows_in_task).drop("rows"), "large")
+    mol = materialize(molecules(cond), "molecules")
+    large = materialize(mol.groupBy(*_CELL).agg(F.count("*").alias("rows")).where(F.col("rows") > s.rows_in_task).drop("rows"), "large")
     if large.isEmpty():
-        return small(cond)
+        return small(mol)
     own = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _CELL]
-    found = _unit_large(cond.alias("l").join(large.alias("r"), own, "left_semi"), s)
-    return small(cond.alias("l").join(large.alias("r"), own, "left_anti")).unionByName(found.to(spark.createDataFrame([], schema).schema))
+    found = _unit_large(mol.alias("l").join(large.alias("r"), own, "left_semi"), s)
+    return small(mol.alias("l").join(large.alias("r"), own, "left_anti")).unionByName(found.to(spark.createDataFrame([], schema).schema))
 
 
-def _unit_large(cond: DataFrame, s: EmSettings) -> DataFrame:
+def _unit_large(mol: DataFrame, s: EmSettings) -> DataFrame:
     """The same iteration as joins: a molecule's rows meet by a window, sums by isoform are combined before the shuffle. A cell that has settled stands still."""
-    mol = materialize(molecules(cond), "molecules")
+    mol = materialize(mol, "cells")
     cell, of = Window.partitionBy(*_CELL), Window.partitionBy(*_CELL, "umi")
     hits = F.sum((F.col("p") > 0).cast("int")).over(of)
     start = mol.withColumn("alone", ((F.col("p") > 0) & (hits == 1)).cast("double")).groupBy(*_CELL, "isoform").agg(F.sum("alone").alias("x"))
