@@ -13,9 +13,12 @@ COPIED = 256 << 20
 
 
 def apportion(theta: DataFrame, keys: list[str]) -> DataFrame:
-    """theta (keys, isoform, theta, n) -> count: floor(theta n), and one more for the largest remainders until n are given out. Of equal remainders the higher isoform comes first."""
+    """theta (keys, isoform, theta, n) -> count: floor(theta n), and one more for the largest remainders until n are given out. Of equal remainders the higher isoform comes first.
+
+    Remainders are equal if they agree in nine places: what a double makes of equal shares differs in the last bits.
+    """
     share = F.col("theta") * F.col("n")
-    t = theta.withColumn("count", F.floor(share)).withColumn("__rest", share - F.floor(share))
+    t = theta.withColumn("count", F.floor(share)).withColumn("__rest", F.round((share - F.floor(share)) * 1e9))
     order = Window.partitionBy(*keys).orderBy(F.col("__rest").desc(), F.col("isoform").desc())
     t = t.withColumn("__k", F.row_number().over(order)).withColumn("__short", F.col("n") - F.sum("count").over(Window.partitionBy(*keys)))
     return t.withColumn("count", F.col("count") + (F.col("__k") <= F.col("__short")).cast("long")).drop("__k", "__rest", "__short")
