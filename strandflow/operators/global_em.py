@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.config import GlobalSettings
+from strandflow.operators.classes import number, sharded
 from strandflow.operators.likelihood import cdf_at, conditional_probabilities, cumulative, initial_theta, length_histogram, probability, tail_support, with_read_length
 from strandflow.operators.store import discard, materialize, new_dir
 
@@ -119,14 +120,14 @@ class Outcome:
 
 
 def _rows(side: str, reads: DataFrame, refreshed: bool) -> DataFrame:
-    """Reads (read, isoform, p; with a refreshed likelihood also p_alone and read_len) of the same values as one row with their number n."""
+    """Reads (read, isoform, p; with a refreshed likelihood also p_alone and read_len) of the same values as one row with their number n, which they may have already. home: a number of the first isoform; rows that share their isoforms share it."""
     hit = F.struct("isoform", F.coalesce("p", F.lit(0.0)).alias("p"), *([F.coalesce("p_alone", F.lit(0.0)).alias("p_alone")] if refreshed else []))
     keys = ["read", "read_len"] if refreshed else ["read"]
-    per_read = reads.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    same = per_read.groupBy(*keys[1:], "hits").agg(F.count("*").alias("n"))
-    h = same.select(F.lit(side).alias("side"), F.xxhash64(F.lit(side), *keys[1:], "hits").alias("row"), *keys[1:], "n", F.explode("hits").alias("h"))
+    per_read = reads.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.max(number(reads)).alias("n"))
+    same = per_read.groupBy(*keys[1:], "hits").agg(F.sum("n").alias("n"))
+    h = same.select(F.lit(side).alias("side"), F.xxhash64(F.lit(side), *keys[1:], "hits").alias("row"), F.xxhash64(F.col("hits")[0]["isoform"]).alias("home"), *keys[1:], "n", F.explode("hits").alias("h"))
     more = [F.col("h.p_alone").alias("p_alone"), F.col("read_len").cast("long").alias("read_len")] if refreshed else [F.lit(0.0).alias("p_alone"), F.lit(0).cast("long").alias("read_len")]
-    return h.select("side", "row", "n", "h.isoform", "h.p", *more)
+    return h.select("side", "row", "home", "n", "h.isoform", "h.p", *more)
 
 
 def global_em(isoforms: DataFrame, theta: DataFrame, long: DataFrame | None = None, short: DataFrame | None = None, alpha: float = 1.0, support=None, s: GlobalSettings = GlobalSettings()) -> Outcome:
@@ -141,9 +142,8 @@ def global_em(isoforms: DataFrame, theta: DataFrame, long: DataFrame | None = No
     parts = [_rows(side, reads, support is not None and side == "L") for side, reads in (("L", long), ("S", short)) if reads is not None]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = materialize(rows.join(names.select("isoform", "id"), "isoform").drop("isoform"), "rows")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // s.rows_in_shard))
+    dealt, shards = sharded(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), s.rows_in_shard)
     table = f"shards_{uuid.uuid4().hex}"
-    dealt = rows.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
     dealt.repartition(shards, "shard").write.bucketBy(shards, "shard").option("path", new_dir(spark, "shards")).saveAsTable(table)
     dealt = spark.table(table)
     asked = dealt.select("shard", F.lit("I").alias("kind"), F.col("id").alias("key")).distinct()
@@ -187,7 +187,7 @@ def long_read_em(read_isoform: DataFrame, isoforms: DataFrame, s: GlobalSettings
     names = isoforms.select("isoform", F.col("iso_len").cast("double").alias("eff_len"))
     rule = "LR_unique" if s.start.endswith("_unique") else "LR"
     counts = initial_theta(read_isoform, rule)
-    p = conditional_probabilities(read_isoform, isoforms, form, rule).select("read", "isoform", "p")
+    p = conditional_probabilities(read_isoform, isoforms, form, rule).select("read", "isoform", "p", number(read_isoform).alias("n"))
     return global_em(names, start_theta(names, counts, None, s), p, s=s)
 
 
@@ -195,13 +195,13 @@ def refreshed_probabilities(read_isoform: DataFrame, isoforms: DataFrame) -> tup
     """read, isoform, read_len, p and p_alone of reads with and without support, and the cumulative table of lengths."""
     r = read_isoform if "read_len" in read_isoform.columns else with_read_length(read_isoform)
     cdf = materialize(cumulative(length_histogram(r)), "lengths")
-    r = r.join(cdf.select("read_len", "pdf"), "read_len").join(cdf_at(isoforms, cdf), "iso_len")
+    r = r.join(cdf.select("read_len", "pdf"), "read_len").join(materialize(cdf_at(isoforms, cdf), "cdf"), "iso_len")
     one = F.lit(1.0)
 
     def p(form: str) -> Column:
         return probability(form, F.col("pdf"), F.col("cdf"), one, F.col("iso_len"), F.col("read_len"))
 
-    return r.select("read", "isoform", "read_len", p("form_2").alias("p"), p("no_isoform_specific").alias("p_alone")), cdf
+    return r.select("read", "isoform", "read_len", number(read_isoform).alias("n"), p("form_2").alias("p"), p("no_isoform_specific").alias("p_alone")), cdf
 
 
 def iterative_em(read_isoform: DataFrame, isoforms: DataFrame, s: GlobalSettings = GlobalSettings(), plain: bool = False) -> Outcome:
@@ -233,6 +233,6 @@ def support_by_length(read_isoform: DataFrame, isoforms: DataFrame, theta: DataF
 def plain_probabilities(read_isoform: DataFrame, isoforms: DataFrame, theta: DataFrame) -> DataFrame:
     """read, isoform, p: the share of reads of the read's length, over the thetas of the isoforms that are long enough, over the start places. What is infinite, negative or below 1e-100 is 0."""
     p, cdf = refreshed_probabilities(read_isoform, isoforms)
-    sm = tail_support(isoforms.select("isoform", "iso_len").join(theta, "isoform"), cdf.select("read_len"), None)
+    sm = materialize(tail_support(isoforms.select("isoform", "iso_len").join(theta, "isoform"), cdf.select("read_len"), None), "support")
     value = F.try_divide("p_alone", "sm")
     return p.join(sm, "read_len").select("read", "isoform", F.when(value > _TINY, value).otherwise(0.0).alias("p"))
