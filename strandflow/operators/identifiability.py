@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandflow.config import KSettings
 from strandflow.functions.text import region_type
+from strandflow.operators.em import _whole_groups as whole_groups
 
 _SCHEMA = "chrom string, gene string, n_isoforms int, n_regions int, k_value double, condition double, generalised double, product double"
 
@@ -59,29 +62,53 @@ def condition(a: np.ndarray, tolerance: float = 0.0) -> tuple[float, float, floa
     return top / low, float("inf"), top / low, top * low
 
 
-def _matrices(regions: DataFrame, s: KSettings, make, schema: str) -> DataFrame:
-    """make(key, design matrix) of each gene, as a row. A gene's regions come to one task: they are bounded by its own structure, not by reads."""
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        row, rows = pd.factorize(g["region"], sort=True)
-        col, cols = pd.factorize(g["isoform"], sort=True)
-        a = np.zeros((len(rows), len(cols)))
-        a[row, col] = g["value"]
-        return pd.DataFrame([[*key, len(cols), len(rows), *make(a)]], columns=[x.split()[0] for x in schema.split(", ")])
-
-    return design_matrix(regions, s).groupBy("chrom", "gene").applyInPandas(run, schema)
+def stacks(g: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The matrices of many whole genes (chrom, gene, region, isoform, value), those of one shape as a stack: their keys and the stack, rows and columns in order of their names."""
+    gene = g.groupby(["chrom", "gene"], sort=False, dropna=False).ngroup().to_numpy()
+    place = []
+    for name in ("region", "isoform"):
+        code, names = pd.factorize(g[name], sort=True)
+        both, at = np.unique(gene * (len(names) + 1) + code, return_inverse=True)
+        first = np.searchsorted(both, np.arange(gene.max() + 1) * (len(names) + 1))
+        place.append((at - first[gene], np.diff(np.append(first, len(both)))))
+    keys = g[["chrom", "gene"]].iloc[np.unique(gene, return_index=True)[1]].reset_index(drop=True)
+    (row, rows), (col, cols) = place
+    shape = rows * (cols.max() + 1) + cols
+    for x in np.unique(shape):
+        here = np.flatnonzero(shape == x)
+        at = np.full(len(keys), -1)
+        at[here] = np.arange(len(here))
+        mine = at[gene] >= 0
+        a = np.zeros((len(here), rows[here[0]], cols[here[0]]))
+        a[at[gene[mine]], row[mine], col[mine]] = g["value"].to_numpy(float)[mine]
+        yield keys.iloc[here], a
+
+
+def _matrices(regions: DataFrame, s: KSettings, make: Callable[[np.ndarray], list], schema: str) -> DataFrame:
+    """make(stack of design matrices), a row of values for each gene. A gene's regions come to one task: they are bounded by its own structure, not by reads. Python gets many whole genes at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for keys, a in stacks(g):
+            values = pd.DataFrame(make(a), columns=names[4:])
+            out.append(pd.concat([keys.reset_index(drop=True), pd.DataFrame({names[2]: a.shape[2], names[3]: a.shape[1]}, index=range(len(a))), values], axis=1))
+        return pd.concat(out, ignore_index=True)
+
+    rows = design_matrix(regions, s).repartition("chrom", "gene").sortWithinPartitions("chrom", "gene")
+    return rows.mapInPandas(lambda b: whole_groups(b, ["chrom", "gene"], kernel), schema)
 
 
 def k_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
     """regions (chrom, gene, region, region_len, inner_len, isoforms) -> one row a gene."""
-    return _matrices(regions, s, lambda a: condition(a, s.tolerance), _SCHEMA)
+    return _matrices(regions, s, lambda a: [condition(x, s.tolerance) for x in a], _SCHEMA)
 
 
 def singular_values(regions: DataFrame, s: KSettings = KSettings()) -> DataFrame:
     """The same with the singular values of the design matrix, largest first: as many as isoforms, those of missing regions 0."""
 
-    def values(a: np.ndarray) -> tuple[list[float]]:
+    def values(a: np.ndarray) -> list[tuple[list[float]]]:
         found = np.linalg.svd(a, compute_uv=False)
-        return (np.append(found, np.zeros(max(0, a.shape[1] - len(found)))).tolist(),)
+        return [(x,) for x in np.pad(found, ((0, 0), (0, a.shape[2] - found.shape[1]))).tolist()]
 
     return _matrices(regions, s, values, "chrom string, gene string, n_isoforms int, n_regions int, singular_values array<double>")

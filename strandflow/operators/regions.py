@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandflow.config import KSettings
 from strandflow.functions.text import exon_count, region_type
 from strandflow.operators.annotation import GENE
-from strandflow.operators.identifiability import region_lengths
+from strandflow.operators.em import _whole_groups as whole_groups
+from strandflow.operators.identifiability import region_lengths, stacks
 
 REGION = [*GENE, "region"]
 
@@ -80,16 +81,18 @@ def full_length(regions: DataFrame) -> DataFrame:
 
 
 def _full_rank(occupied: DataFrame) -> DataFrame:
-    """chrom, gene, full: whether the regions tell all the gene's isoforms (n) apart. A gene's regions come to one task."""
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        row, rows = pd.factorize(g["region"])
-        col, cols = pd.factorize(g["isoform"])
-        a = np.zeros((len(rows), int(g["n"].iloc[0])))
-        a[row, col] = 1
-        return pd.DataFrame({"chrom": [key[0]], "gene": [key[1]], "full": [bool(np.linalg.matrix_rank(a) == a.shape[1])]})
-
-    return occupied.groupBy(*GENE).applyInPandas(run, "chrom string, gene string, full boolean")
+    """chrom, gene, full: whether the regions tell all the gene's isoforms (n) apart. A gene's regions come to one task; Python gets many whole genes at a time."""
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        n = g.drop_duplicates(GENE).set_index(GENE)["n"]
+        out = []
+        for keys, a in stacks(g):
+            every = n.loc[pd.MultiIndex.from_frame(keys)].to_numpy()
+            out.append(keys.assign(full=(a.shape[2] == every) & (np.linalg.matrix_rank(a) == every)))
+        return pd.concat(out, ignore_index=True)
+
+    rows = occupied.select(*REGION, "isoform", "n", F.lit(1.0).alias("value")).repartition(*GENE).sortWithinPartitions(*GENE)
+    return rows.mapInPandas(lambda b: whole_groups(b, GENE, kernel), "chrom string, gene string, full boolean")
 
 
 def with_reads(regions: DataFrame, counts: DataFrame, policy: str = "all", short: bool = False) -> DataFrame:
