@@ -65,9 +65,9 @@ def runs(values: Column, make) -> Column:
 def regions(models: DataFrame) -> DataFrame:
     """chrom, gene, region, region_len, n_atoms, inner_len, first_len, last_len, isoforms. Their number grows with the square of an isoform's atoms: for K-values and small genes."""
     i = models.select(*GENE, "atoms", F.explode("isoforms").alias("i"))
-    # Isoforms of the same atoms have the same runs, which are made once.
-    i = i.groupBy(*GENE, F.col("i.atom_ids").alias("atom_ids")).agg(F.first("atoms").alias("atoms"), F.collect_list("i.isoform").alias("names"))
-    own = F.transform("atom_ids", lambda k: F.element_at("atoms", k + 1))
+    # Isoforms of the same atoms have the same runs, which are made once, from atoms that are looked up before they are grouped.
+    own = F.transform("i.atom_ids", lambda k: F.element_at("atoms", k + 1)).alias("atom_ids")
+    i = i.select(*GENE, own, F.col("i.isoform").alias("isoform")).groupBy(*GENE, "atom_ids").agg(F.collect_list("isoform").alias("names"))
 
     def region(a):
         name = F.array_join(F.transform(a, lambda x: F.concat(F.lit("P"), x["first_point"].cast("string"), F.lit(":P"), x["last_point"].cast("string"))), "-")
@@ -75,7 +75,7 @@ def regions(models: DataFrame) -> DataFrame:
                         F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 2, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"] + 1).alias("inner_len"),
                         *[(F.element_at(a, k)["end"] - F.element_at(a, k)["start"] + 1).alias(n) for n, k in (("first_len", 1), ("last_len", -1))])
 
-    r = i.select(*GENE, "names", F.explode(runs(own, region)).alias("r"))
+    r = i.select(*GENE, "names", F.explode(runs(F.col("atom_ids"), region)).alias("r"))
     return r.groupBy(*GENE, "r.region").agg(
         F.first("r.region_len").alias("region_len"), F.first("r.n_atoms").alias("n_atoms"), F.first("r.inner_len").alias("inner_len"),
         F.first("r.first_len").alias("first_len"), F.first("r.last_len").alias("last_len"), F.sort_array(F.flatten(F.collect_list("names"))).alias("isoforms")

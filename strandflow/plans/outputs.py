@@ -51,11 +51,11 @@ def matrix_info(spark, sf):
     """The design matrix of every gene, written by gene and read again."""
     r = materialize(models._regions(spark, sf), "regions")
     a = reg.abundance(r.join(models._region_reads(r), ["chrom", "gene", "region"]))
-    d = results.matrix_dump(design_matrix(r, KSettings(read_length=80)), a, annotation.point_index(annotation.atoms(models._exons(spark, sf))), digits=6)
+    rows, isoforms = results.matrix_dump(design_matrix(r, KSettings(read_length=80)), a, annotation.point_index(annotation.atoms(models._exons(spark, sf))), digits=6)
     path = new_dir(spark, "matrices")
-    few = d.withColumn("gene", F.regexp_replace("gene", r"\|", "~"))
-    results.write_matrices(few, path)
-    back = spark.read.option("sep", "\t").option("header", True).schema("region string, coordinates string, abundance double, isoforms string, row string, chrom string, gene string").csv(f"{path}/matrix_info")
+    few = [t.withColumn("gene", F.regexp_replace("gene", r"\|", "~")) for t in (rows, isoforms)]
+    results.write_matrices(*few, path)
+    back = tables.read_matrices(spark, path)
     return back.select(F.regexp_replace("gene", "~", "|").alias("gene"), "region", "coordinates", F.round("abundance", 6).alias("abundance"), "isoforms", "row")
 
 

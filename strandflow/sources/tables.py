@@ -63,6 +63,19 @@ def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> Da
     return entries.join(features, "row").join(barcodes, "col").select("barcode", "feature", "alternate", "value")
 
 
+def read_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """chrom, gene, region, coordinates, abundance, isoforms, row: design matrices that results.write_matrices wrote, with all columns in the order of the isoforms' names. Rows get their isoforms last,
+    so that no whole row is shuffled."""
+    text = spark.read.option("sep", "\t").option("header", True)
+    rows = text.schema("region string, coordinates string, abundance double, columns string, chrom string, gene string").csv(f"{folder}/matrix_info")
+    each = text.schema("chrom string, gene string, isoform string, k int").csv(f"{folder}/matrix_isoforms")
+    sorted_ = each.groupBy("chrom", "gene").agg(F.sort_array(F.collect_list(F.struct("isoform", "k"))).alias("each"))
+    names = sorted_.select("chrom", "gene", F.array_join("each.isoform", ",").alias("isoforms"), F.col("each.k").alias("ks"))
+    found = rows.withColumn("columns", F.split("columns", ",")).join(names, ["chrom", "gene"])
+    row = F.array_join(F.transform("ks", lambda k: F.element_at("columns", k)), ",").alias("row")
+    return found.select("chrom", "gene", "region", "coordinates", "abundance", "isoforms", row)
+
+
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("barcode")).where("barcode <> ''").distinct()
 
