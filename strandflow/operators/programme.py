@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.annotation import GENE
-from strandflow.operators.em import _whole_groups
+from strandflow.operators.em import _starts, _whole_groups
+from strandflow.operators.store import materialize
+
+#: Genes of so many isoforms at most are solved together.
+TOGETHER = 16
 
 
 def least_squares(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -41,32 +45,80 @@ def least_squares(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
     return x
 
 
+def least_squares_of_many(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """least_squares of a stack of small problems, all in the same step at a time. Variables of no target and no tie to others stay 0."""
+    x, free, n = np.zeros(target.shape), np.zeros(target.shape, bool), target.shape[1]
+    scale = 1e-12 * np.maximum(1.0, np.abs(target).max(1, initial=0))
+    live = np.arange(len(target))
+    for _ in range(10 * n + 10):
+        slope = target[live] - np.einsum("gij,gj->gi", gram[live], x[live])
+        slope[free[live]] = -np.inf
+        enter = slope.argmax(1)
+        up = slope[np.arange(len(live)), enter] > scale[live]
+        live, enter = live[up], enter[up]
+        if not len(live):
+            break
+        free[live, enter] = True
+        inner = live
+        while len(inner):
+            f = free[inner]
+            m = np.where(f[:, :, None] & f[:, None, :], gram[inner], 0) + np.eye(n) * ~f[:, None, :]
+            best = np.where(f, np.linalg.solve(m, np.where(f, target[inner], 0)[..., None])[..., 0], 0)
+            low = f & (best <= 0)
+            more = low.any(1)
+            x[inner[~more]] = best[~more]
+            inner, low, best = inner[more], low[more], best[more]
+            now = x[inner]
+            step = np.where(low, now / np.maximum(now - best, 1e-300), np.inf).min(1, initial=np.inf, keepdims=True)
+            now = np.maximum(now + np.where(np.isinf(step), 0, step) * (best - now), 0)
+            free[inner] &= now > 0
+            x[inner] = np.where(free[inner], now, 0)
+            inner = inner[free[inner].any(1)]
+    return x
+
+
 def _kernel(g: pd.DataFrame, alpha: float, beta: float, bounds: bool) -> pd.DataFrame:
     """g: chrom, gene, side, region, isoform, value, b of whole genes, sorted by gene."""
-    out = []
-    for key, gene in g.groupby(GENE, sort=False):
-        col, isoforms = pd.factorize(gene["isoform"], sort=True)
-        n = len(isoforms)
-        gram, target, low = beta * np.eye(n), np.zeros(n), np.zeros(n)
-        for side, weight in (("L", alpha), ("S", 1 - alpha)):
-            here = (gene["side"] == side).to_numpy()
-            if not here.any() or not weight:
-                continue
-            row, regions = pd.factorize(gene["region"][here])
-            a, b = np.zeros((len(regions), n)), np.zeros(len(regions))
-            a[row, col[here]] = gene["value"].to_numpy(float)[here]
-            b[row] = gene["b"].to_numpy(float)[here]
-            if side == "S" and b.sum():
-                b = b / b.sum()
-            gram += weight * a.T @ a
-            target += weight * a.T @ b
+    first = _starts(g, GENE)
+    gene = np.cumsum(first) - 1
+    code, names = pd.factorize(g["isoform"], sort=True)
+    both, at = np.unique(gene * (len(names) + 1) + code + 1, return_inverse=True)
+    home = both // (len(names) + 1)
+    col, size = at - np.searchsorted(home, np.arange(gene[-1] + 1))[gene], np.bincount(home)
+    long = (g["side"] == "L").to_numpy()
+    weight = np.where(long, alpha, 1 - alpha)
+    region, regions = pd.factorize(g["region"])
+    x = np.zeros(len(both))
+    small = size <= TOGETHER
+    for genes in (*([np.flatnonzero(small)] if small.any() else []), *np.flatnonzero(~small)[:, None]):
+        place = np.full(len(size), -1)
+        place[genes] = np.arange(len(genes))
+        n = size[genes].max()
+        gram, target, low = np.tile(beta * np.eye(n), (len(genes), 1, 1)), np.zeros((len(genes), n)), np.zeros((len(genes), n))
+        mine = np.flatnonzero((place[gene] >= 0) & (weight != 0))
+        if len(mine):
+            key, row, of = np.unique((gene[mine] * 2 + ~long[mine]) * (len(regions) + 1) + region[mine] + 1, return_index=True, return_inverse=True)
+            owner, side = place[gene[mine][row]], long[mine][row]
+            a, b = np.zeros((len(key), n)), np.zeros(len(key))
+            a[of, col[mine]] = g["value"].to_numpy(float)[mine]
+            b[of] = g["b"].to_numpy(float)[mine]
+            total = np.bincount(owner[~side], b[~side], len(genes))
+            b = np.where(~side & (total[owner] != 0), b / np.where(total[owner] != 0, total[owner], 1), b)
+            w, has, starts = weight[mine][row][:, None], *np.unique(owner, return_index=True)
+            # Few variables: sums of the regions' products. Many: one gene alone.
+            gram[has] += np.add.reduceat((w * a)[:, :, None] * a[:, None, :], starts) if n <= TOGETHER else ((w * a).T @ a)[None]
+            target[has] += np.add.reduceat(w * a * b[:, None], starts)
             if bounds:
-                for i in np.flatnonzero((a != 0).sum(1) == 1):
-                    j = int(np.flatnonzero(a[i])[0])
-                    low[j] = max(low[j], b[i] / a[i, j])
-        x = low + least_squares(gram, target - gram @ low)
-        out.append(pd.DataFrame({"chrom": key[0], "gene": key[1], "isoform": isoforms, "x": x}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"chrom": [], "gene": [], "isoform": [], "x": []})
+                alone = np.flatnonzero((a != 0).sum(1) == 1)
+                j = (a[alone] != 0).argmax(1)
+                np.maximum.at(low, (owner[alone], j), b[alone] / a[alone, j])
+        rest = target - np.einsum("gij,gj->gi", gram, low)
+        found = low + (least_squares_of_many(gram, rest) if n <= TOGETHER else least_squares(gram[0], rest[0])[None])
+        here = np.flatnonzero(place[home] >= 0)
+        x[here] = found[place[home[here]], (np.arange(len(home)) - np.searchsorted(home, home))[here]]
+    keys = g[GENE][first].reset_index(drop=True).iloc[home].reset_index(drop=True)
+    label = np.append(np.asarray(names, object), None)[both % (len(names) + 1) - 1]
+    return keys.assign(isoform=label, x=x)
 
 
 def solve_genes(long: DataFrame, short: DataFrame | None = None, alpha: float = 1.0, beta: float = 1e-6, bounds: bool = False) -> DataFrame:
@@ -112,9 +164,10 @@ def estimate(long: DataFrame, short: DataFrame | None = None, alpha: float = 1.0
     """
     x = solve_genes(long, short, alpha, beta, bounds)
     total = F.sum("x").over(Window.partitionBy(*GENE))
-    x = x.withColumn("x", F.when(total > 0, F.col("x") / total).otherwise(0.0))
-    reads = long.select(*GENE, "region", "b").distinct().groupBy(*GENE).agg(F.sum("b").alias("reads"))
+    # The programme is solved once, whatever asks for its shares.
+    x = materialize(x.withColumn("x", F.when(total > 0, F.col("x") / total).otherwise(0.0)), "shares")
     if linear:
+        reads = long.select(*GENE, "region", "b").distinct().groupBy(*GENE).agg(F.sum("b").alias("reads"))
         return x.join(reads, GENE, "left").select(*GENE, "isoform", (F.col("x") * F.coalesce("reads", F.lit(0.0))).alias("count"))
     return x.join(reassign(long, x), [*GENE, "isoform"], "left").select(*GENE, "isoform", F.coalesce("count", F.lit(0.0)).alias("count"))
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,23 @@ def test_programme_is_optimal(spark, alpha, bounds):
         assert (v >= low - 1e-12).all() and (slope >= -1e-7).all() and (np.abs(slope[v > low + 1e-9]) < 1e-7).all()
 
 
+@pytest.mark.parametrize("bounds", [False, True])
+def test_many_genes_are_solved_together(bounds, monkeypatch):
+    """Small genes as each alone, in few steps for all; a gene of many isoforms beside them."""
+    rng = np.random.default_rng(3)
+    rows = [("1", f"g{g:04}", "LS"[r % 2], f"r{r}", f"t{i:02}", float(rng.random()), float(rng.integers(0, 9))) for g in range(300) for r in range(6) for i in rng.choice(5, 3, False)]
+    rows += [("1", "h", "L", f"r{r}", f"t{i:02}", float(rng.random()), float(rng.integers(0, 9))) for r in range(30) for i in range(20)]
+    g = pd.DataFrame(rows, columns=["chrom", "gene", "side", "region", "isoform", "value", "b"])
+    calls, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *x: calls.append(1) or solve(*x))
+    got = programme._kernel(g, 0.4, 1e-6, bounds)
+    assert len(calls) < 200
+    alone = pd.concat([programme._kernel(h, 0.4, 1e-6, bounds) for _, h in g.groupby("gene")], ignore_index=True)
+    pd.testing.assert_frame_equal(got, alone, rtol=1e-7, atol=1e-9)
+    gram, target = np.stack([m.T @ m + 1e-6 * np.eye(5) for m in rng.normal(size=(200, 4, 5))]), rng.normal(size=(200, 5))
+    assert programme.least_squares_of_many(gram, target) == pytest.approx(np.array([programme.least_squares(a, t) for a, t in zip(gram, target, strict=True)]), rel=1e-5, abs=1e-5)
+
+
 def test_reads_dealt_again(spark):
     kind = "chrom string, gene string, region string, isoform string, value double, b double"
     d = spark.createDataFrame([("1", "g", "a", "t1", 0.5, 4.0), ("1", "g", "ab", "t1", 0.5, 6.0), ("1", "g", "ab", "t2", 1.0, 6.0), ("1", "h", "x", "u1", 1.0, 3.0), ("1", "h", "x", "u2", 0.5, 3.0)], kind)
