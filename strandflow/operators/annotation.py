@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.intervals import merge_intervals
+from strandflow.operators.store import dealt, materialize
 
 GENE = ["chrom", "gene"]
+#: Bases of a gene whose cuts one task orders, where genes are spread.
+SLICE = 1 << 16
 
 
 def isoforms(exons: DataFrame) -> DataFrame:
@@ -22,13 +25,16 @@ def merge_copies(isoforms: DataFrame) -> DataFrame:
     return isoforms.groupBy(*GENE, "strand", "exons", "iso_len").agg(F.min("isoform").alias("isoform"), F.sort_array(F.collect_set("isoform")).alias("copies"))
 
 
-def atoms(exons: DataFrame) -> DataFrame:
+def atoms(exons: DataFrame, rows: int | None = None) -> DataFrame:
     """chrom, gene, start, end, first_point, last_point: pieces between the cut points (starts and ends + 1) that an exon covers.
 
-    Pieces of one base are dropped. Points count the remaining pieces' starts and ends from 0.
+    Pieces of one base are dropped. Points count the remaining pieces' starts and ends from 0. A gene's cuts are ordered in one task; for genes of very many exons rows says how many there are in
+    all, and one task orders those of SLICE bases.
     """
-    e = exons.select(*GENE, "start", "end").distinct()
-    steps = e.select(*GENE, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    both = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))
+    if rows is not None:
+        return _spread_atoms(exons.select(*GENE, F.explode(both).alias("x")), 2 * rows)
+    steps = exons.select(*GENE, "start", "end").distinct().select(*GENE, F.explode(both).alias("x"))
     cuts = steps.groupBy(*GENE, F.col("x.at").alias("start")).agg(F.sum("x.d").alias("d"))
     order = Window.partitionBy(*GENE).orderBy("start")
     pieces = cuts.withColumn("open", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("end", F.lead("start").over(order) - 1)
@@ -36,6 +42,24 @@ def atoms(exons: DataFrame) -> DataFrame:
     return pieces.select(*GENE, "start", "end", (2 * F.col("k") - 2).alias("first_point"), (2 * F.col("k") - 1).alias("last_point"))
 
 
+def _spread_atoms(steps: DataFrame, rows: int) -> DataFrame:
+    """atoms from steps (chrom, gene, x of at and d): slices of SLICE bases hold at most as many cuts, and only a row a slice is ordered by gene: what is open before it, where the next one begins, and
+    its pieces. Exons that are listed twice open and close twice."""
+    part = [*GENE, "slice"]
+    s = dealt(steps.select(*GENE, F.floor(F.col("x.at") / SLICE).alias("slice"), F.col("x.at").alias("start"), F.col("x.d").alias("d")), rows, *part)
+    c = materialize(s.groupBy(*part, "start").agg(F.sum("d").alias("d")), "cuts")
+    gene, own = Window.partitionBy(*GENE).orderBy("slice"), Window.partitionBy(*part).orderBy("start")
+    before = gene.rowsBetween(Window.unboundedPreceding, -1)
+    s = c.groupBy(*part).agg(F.sum("d").alias("d"), F.min("start").alias("first"))
+    s = s.select(*part, F.coalesce(F.sum("d").over(before), F.lit(0)).alias("before"), F.lead("first").over(gene).alias("next"))
+    p = dealt(c, rows, *part).join(s, part).withColumn("open", F.col("before") + F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    p = p.withColumn("end", F.coalesce(F.lead("start").over(own), "next") - 1).where("open > 0 AND end > start").withColumn("k", F.row_number().over(own))
+    p = materialize(p.select(*part, "start", "end", "k"), "pieces")
+    n = p.groupBy(*part).agg(F.count("*").alias("n")).withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    k = F.col("n") + F.col("k")
+    return p.join(n, part).select(*GENE, "start", "end", (2 * k - 2).alias("first_point"), (2 * k - 1).alias("last_point"))
+
+
 def point_index(atoms: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("start").alias("at"), F.col("first_point").alias("point")), F.struct(F.col("end").alias("at"), F.col("last_point").alias("point")))
     return atoms.select(*GENE, F.explode(both).alias("x")).select(*GENE, "x.at", F.format_string("P%d", "x.point").alias("point"))
