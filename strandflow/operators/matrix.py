@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.store import materialize
@@ -50,20 +50,39 @@ def write_mex(counts: DataFrame, path: str, features: DataFrame | None = None, r
     _write_lines(rows.orderBy("row").select(F.concat_ws("\t", row, "__of", F.lit("Gene Expression"))), f"{path}/features.tsv")
     e = materialize(c.join(rows.drop("__of"), row).join(cols, "barcode").select("row", "col", "count", "cpm"), "entries")
     size = f"{rows.count()} {cols.count()} {e.count()}"
-    for name, kind, value in (("matrix.mtx", "integer", F.format_string("%d %d %d", "row", "col", "count")), ("cpm_matrix.mtx", "real", F.format_string("%d %d %.4f", "row", "col", "cpm"))):
-        lines = [f"%%MatrixMarket matrix coordinate {kind} general", f'%metadata_json: {{"software_version": "{version}"}}', size]
-        top = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "col long, row long, value string")
-        _write_lines(top.unionByName(e.select("col", "row", value.alias("value"))).orderBy("col", "row").select("value"), f"{path}/{name}")
+    kinds = {"matrix.mtx": "integer", "cpm_matrix.mtx": "real"}
+    head = [(0, i, name, x) for name, kind in kinds.items() for i, x in enumerate((f"%%MatrixMarket matrix coordinate {kind} general", f'%metadata_json: {{"software_version": "{version}"}}', size))]
+    at = F.concat_ws(" ", "row", "col")
+    lines = F.array(F.struct(F.lit("matrix.mtx").alias("name"), F.concat_ws(" ", at, "count").alias("value")), F.struct(F.lit("cpm_matrix.mtx").alias("name"), F.concat_ws(" ", at, F.format_string("%.4f", "cpm")).alias("value")))
+    # Entries are put in order once; each part then has its lines of both files.
+    top = spark.createDataFrame(head, "col long, row long, name string, value string").groupBy("col", "row").agg(F.collect_list(F.struct("name", "value")).alias("lines"))
+    both = top.select("col", "row", F.lit(None).cast("long").alias("count"), F.lit(None).cast("double").alias("cpm"), "lines").unionByName(e.select("col", "row", F.col("count").cast("long"), "cpm", F.lit(None).cast(top.schema["lines"].dataType).alias("lines")))
+    both = both.repartitionByRange("col", "row").select("col", "row", F.inline(F.coalesce("lines", lines)))
+    both = both.sortWithinPartitions("name", "col", "row").select("name", "value")
+    parts = f"{path}/entries.parts"
+    both.write.mode("overwrite").partitionBy("name").text(parts)
+    for name in kinds:
+        _put_together(spark, f"{parts}/name={name}", f"{path}/{name}")
+    _filesystem(spark, parts)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
     """All lines in their order, from parts that are written at once. Up to COPIED bytes become one file by copying. Beyond that nothing goes through the driver: a store that can put files together
     does so, in others the ordered parts stay as a folder of that name, which the readers of this library take as well."""
-    spark, parts = lines.sparkSession, f"{path}.parts"
+    parts = f"{path}.parts"
     lines.write.mode("overwrite").text(parts)
+    _put_together(lines.sparkSession, parts, path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _put_together(spark: SparkSession, parts: str, path: str) -> None:
+    """The folder of parts becomes the file."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder, to = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
+    (fs, folder), to = _filesystem(spark, parts), jvm.org.apache.hadoop.fs.Path(path)
     found = sorted(((str(f.getPath()), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")))
     fs.delete(to, True)
     if sum(n for _, n in found) > COPIED:

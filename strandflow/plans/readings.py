@@ -316,9 +316,7 @@ def mex_round_trip(spark, sf):
     features = _table(spark, sf, "part").select(F.concat(F.lit("T"), "p_partkey").alias("isoform"), F.concat_ws("|", "p_brand", "p_size").alias("gene"))
     path = new_dir(spark, "matrix")
     write_mex(c, f"{path}/isoform", features)
-    back = tables.read_mex(spark, path)
-    cpm = tables.read_mex(spark, path, "cpm_matrix.mtx").select("barcode", "feature", F.col("value").alias("cpm"))
-    return back.join(cpm, ["barcode", "feature"]).select("barcode", "feature", "alternate", "value", "cpm")
+    return tables.read_mex_pair(spark, path).select("barcode", "feature", "alternate", "value", "cpm")
 
 
 @query(f"""WITH {_COUNTS} SELECT count(DISTINCT barcode) AS cells, count(DISTINCT CASE WHEN n > 0 THEN barcode END) AS nonzero_cells, count(DISTINCT CASE WHEN n > 0 THEN isoform END) AS nonzero_isoforms,

@@ -43,24 +43,42 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(sizes.withColumn("before", before), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("no"), "value")
 
 
-def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> DataFrame:
-    """(barcode, feature, alternate, value) of a sparse matrix: features are rows and barcodes columns, counted from 1, plain or gzip.
-
-    A matrix whose size line disagrees with the lists of barcodes and features is an error.
-    """
-    at = find_mex(spark, folder)
+def _lists(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Features by row and barcodes by col, and how many there are of each."""
     barcodes = _numbered(spark, _file(spark, at, "barcodes.tsv")).select(F.col("no").alias("col"), F.trim("value").alias("barcode"))
     f = F.split("value", "\t")
     features = _numbered(spark, _file(spark, at, "features.tsv")).select(F.col("no").alias("row"), f[0].alias("feature"), F.try_element_at(f, F.lit(2)).alias("alternate"))
+    return features, barcodes, [features.count(), barcodes.count()]
+
+
+def _entries(spark: SparkSession, at: str, matrix: str, listed: list[int]) -> DataFrame:
+    """row, col, value."""
     lines = _placed(spark, _file(spark, at, matrix)).where(~F.col("value").startswith("%"))
     first = lines.orderBy("file", "block", "id").first()
     size = [int(x) for x in first[0].split()] if first else [0, 0, 0]
-    if [features.count(), barcodes.count()] != size[:2]:
-        raise ValueError(f"the matrix in {at} has size {size[:2]}, its lists have {features.count()} features and {barcodes.count()} barcodes")
+    if listed != size[:2]:
+        raise ValueError(f"the matrix in {at} has size {size[:2]}, its lists have {listed[0]} features and {listed[1]} barcodes")
     v = F.split(F.trim("value"), r"\s+")
     rest = lines.where((F.col("file") != first["file"]) | (F.col("block") != first["block"]) | (F.col("id") != first["id"])) if first else lines
-    entries = rest.select(v[0].cast("long").alias("row"), v[1].cast("long").alias("col"), v[2].cast("double").alias("value"))
-    return entries.join(features, "row").join(barcodes, "col").select("barcode", "feature", "alternate", "value")
+    return rest.select(v[0].cast("long").alias("row"), v[1].cast("long").alias("col"), v[2].cast("double").alias("value"))
+
+
+def read_mex(spark: SparkSession, folder: str, matrix: str = "matrix.mtx") -> DataFrame:
+    """(barcode, feature, alternate, value) of a sparse matrix: features are rows and barcodes columns, counted from 1, plain or gzip.
+
+    A matrix whose size line disagrees with the lists of barcodes and features is an error.
+    """
+    at = find_mex(spark, folder)
+    features, barcodes, listed = _lists(spark, at)
+    return _entries(spark, at, matrix, listed).join(features, "row").join(barcodes, "col").select("barcode", "feature", "alternate", "value")
+
+
+def read_mex_pair(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", cpm: str = "cpm_matrix.mtx") -> DataFrame:
+    """(barcode, feature, alternate, value, cpm) of the entries that both matrices have: they meet by their numbers, and get their names once."""
+    at = find_mex(spark, folder)
+    features, barcodes, listed = _lists(spark, at)
+    both = _entries(spark, at, matrix, listed).join(_entries(spark, at, cpm, listed).withColumnRenamed("value", "cpm"), ["row", "col"])
+    return both.join(features, "row").join(barcodes, "col").select("barcode", "feature", "alternate", "value", "cpm")
 
 
 def read_matrices(spark: SparkSession, folder: str) -> DataFrame:
