@@ -65,9 +65,9 @@ _ITERATIONS = f"""WITH {contract._COND}, {contract._rounds(3, "cond")}, links AS
 
 
 def _iterations(spark, sf, s: EmSettings):
-    cond = contract._class_communities(spark, sf)
+    cond = contract._class_communities(spark, sf)[0]
     n = cond.select("community", "read", "n").distinct().groupBy("community").agg(F.sum("n").alias("n"))
-    h = bulk_history(cond, s)
+    h = contract._of_alike(spark, sf, bulk_history(cond, s))
     t = results.iterations(h, contract._isoforms(spark, sf)).join(n, "community")
     return t.select("Isoform", "Gene", "iteration", F.round(F.col("theta") * F.col("n"), 6).alias("reads"))
 
